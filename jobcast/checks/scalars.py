@@ -28,7 +28,7 @@ def _parse(spark, sf_dir):
 @query("strip_timezone", """
 select job_id, adt - interval 9 hour as adt, sdt from jobs""")
 def _strip(spark, sf_dir):
-    local = jobs(spark, sf_dir).select("job_id", "adt", F.col("sdt").cast("timestamp").alias("sdt"))
+    local = jobs(spark, sf_dir).select("job_id", "adt", S.instant_utc(F.col("sdt")).alias("sdt"))
     return S.strip_timezone(S.strip_timezone(local, ["adt"], "Asia/Tokyo"), ["sdt"])
 
 

@@ -12,9 +12,30 @@ from pyspark.sql import types as T
 SWF_STATUS = {"completed": 1, "FAILED": 0, "CANCELLED": 5}
 
 
+def whole_and_fraction(interval: Column) -> Column:
+    """An interval between timestamps in seconds, exact to the microsecond."""
+    return interval.cast("interval second").cast("decimal(18,6)")
+
+
 def seconds_between(start: Column | str, end: Column | str) -> Column:
-    """Elapsed seconds as a double, fractions included."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
+    """Elapsed seconds as a double, fractions included, whatever the session's zone."""
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    return whole_and_fraction(as_col(end) - as_col(start)).cast("double")
+
+
+def epoch_of(kind: T.DataType) -> Column:
+    """1970-01-01 00:00 UTC as a value of the given timestamp type."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_seconds(F.lit(0))
+
+
+def naive_utc(instant: Column) -> Column:
+    return epoch_of(T.TimestampNTZType()) + (instant - epoch_of(T.TimestampType()))
+
+
+def instant_utc(naive: Column) -> Column:
+    return epoch_of(T.TimestampType()) + (naive - epoch_of(T.TimestampNTZType()))
 
 
 def parse_timestamps(df: DataFrame, cols: Sequence[str], fmt: str | None = None,
@@ -38,17 +59,13 @@ def parse_timestamps(df: DataFrame, cols: Sequence[str], fmt: str | None = None,
 def strip_timezone(df: DataFrame, cols: Sequence[str], tz: str | None = None) -> DataFrame:
     """Zone-aware instants to naive UTC.
 
-    With ``tz``, naive wall-clock values of that zone; without, instants of the
-    session's zone. Both become ``timestamp_ntz`` in UTC.
+    With ``tz``, the columns hold naive wall-clock values of that zone; without,
+    they hold instants. Both become ``timestamp_ntz`` in UTC.
     """
-    changed = {}
-    for c in cols:
-        if tz is None:
-            changed[c] = F.convert_timezone(
-                F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
-        else:
-            changed[c] = F.convert_timezone(F.lit(tz), F.lit("UTC"), F.col(c).cast("timestamp_ntz"))
-    return df.withColumns(changed)
+    if tz is None:
+        return df.withColumns({c: naive_utc(F.col(c)) for c in cols})
+    return df.withColumns({c: F.convert_timezone(
+        F.lit(tz), F.lit("UTC"), F.col(c).cast("timestamp_ntz")) for c in cols})
 
 
 def wait_time(df: DataFrame, submit: str, start: str, out: str = "wait_time") -> DataFrame:
@@ -85,8 +102,7 @@ def time_limit_seconds(df: DataFrame, col: str, strict: bool = True,
 
 def epoch_relative_submit(df: DataFrame, col: str, out: str = "submit_time") -> DataFrame:
     """Whole seconds since the earliest value of the trace."""
-    since_epoch = F.floor(F.timestamp_diff(
-        "MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(col)) / F.lit(1e6))
+    since_epoch = F.floor(whole_and_fraction(F.col(col) - epoch_of(df.schema[col].dataType))).cast("long")
     first = df.agg(F.min(since_epoch).alias("first")).scalar()
     return df.withColumn(out, since_epoch - first)
 

@@ -25,15 +25,19 @@ TILE_POINTS = 4096
 TILE_ROWS = 256
 
 
-def feature_vectors(df: DataFrame, features: Sequence[str], scale: bool, out: str = "__vec") -> DataFrame:
-    """``df`` plus a vector of imputed (and scaled) features; the features themselves stay as they are."""
+def work_names(features: Sequence[str]) -> list[str]:
+    return [f"__f{i}" for i in range(len(features))]
+
+
+def feature_vectors(df: DataFrame, features: Sequence[str], scale: bool) -> DataFrame:
+    """``df`` plus imputed (and scaled) copies of the features and their vector."""
     check_features(df, features)
-    work = [f"__f{i}" for i in range(len(features))]
+    work = work_names(features)
     copied = df.withColumns({w: F.col(f).cast("double") for w, f in zip(work, features)})
     ready = mean_impute(copied, work)
     if scale:
         ready = minmax_scale(ready, work)
-    return VectorAssembler(inputCols=work, outputCol=out).transform(ready).drop(*work)
+    return VectorAssembler(inputCols=work, outputCol="__vec").transform(ready)
 
 
 def kmeans_group_jobs(df: DataFrame, features: Sequence[str], k: int, seed: int = 42,
@@ -41,13 +45,14 @@ def kmeans_group_jobs(df: DataFrame, features: Sequence[str], k: int, seed: int
     """``df`` with its ``cluster``, and the fitted model holding the centres."""
     vectors = feature_vectors(df, features, scale)
     model = KMeans(k=k, seed=seed, featuresCol="__vec", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("__vec"), model
+    return model.transform(vectors).drop("__vec", *work_names(features)), model
 
 
 def fitted_curve(df: DataFrame, features: Sequence[str], max_k: int, scale: bool, seed: int,
                  measure: Callable[[KMeansModel, DataFrame], tuple]) -> list[tuple]:
     """``measure`` of a k-means fit for each k from 2 on; fits share one kept vector column."""
-    vectors = feature_vectors(df, features, scale).select("__vec").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = feature_vectors(df, features, scale).select("__vec", *work_names(features)).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
     def one(k: int) -> tuple:
         model = KMeans(k=k, seed=seed, featuresCol="__vec", predictionCol="cluster").fit(vectors)
@@ -70,6 +75,12 @@ def mean_silhouette(model: KMeansModel, vectors: DataFrame) -> tuple[float]:
     return (float(evaluator.evaluate(model.transform(vectors))),)
 
 
+def exact_silhouette(model: KMeansModel, vectors: DataFrame) -> tuple[float]:
+    work = [c for c in vectors.columns if c != "__vec"]
+    placed = model.transform(vectors).drop("__vec")
+    return (float(silhouette_exact(placed, work, "cluster").first()["silhouette"]),)
+
+
 def wcss_curve(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: bool = True,
                seed: int = 42) -> DataFrame:
     """Within-cluster sum of squares for k = 2..max_k."""
@@ -78,17 +89,21 @@ def wcss_curve(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: b
 
 
 def silhouette_curve(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: bool = True,
-                     seed: int = 42) -> DataFrame:
-    """Mean silhouette for k = 2..max_k, in squared distances, whose cost is linear in the rows."""
-    rows = fitted_curve(df, features, max_k, scale, seed, mean_silhouette)
+                     seed: int = 42, exact: bool = False) -> DataFrame:
+    """Mean silhouette for k = 2..max_k.
+
+    In squared distances, at a cost linear in the rows; ``exact`` takes plain distances (see ``silhouette_exact``).
+    """
+    measure = exact_silhouette if exact else mean_silhouette
+    rows = fitted_curve(df, features, max_k, scale, seed, measure)
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
 def optimal_k(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: bool = False,
-              seed: int = 42) -> DataFrame:
+              seed: int = 42, exact: bool = False) -> DataFrame:
     """The elbow's and the silhouette's choice of k, from one fit per k on unscaled features."""
-    rows = fitted_curve(df, features, max_k, scale, seed,
-                        lambda m, v: (*cost(m, v), *mean_silhouette(m, v)))
+    measure = exact_silhouette if exact else mean_silhouette
+    rows = fitted_curve(df, features, max_k, scale, seed, lambda m, v: (*cost(m, v), *measure(m, v)))
     curve = df.sparkSession.createDataFrame(
         [("all", *r) for r in rows], "curve string, k int, wcss double, silhouette double")
     return elbow_k(curve, ["curve"]).join(silhouette_k(curve, ["curve"]), "curve").drop("curve")

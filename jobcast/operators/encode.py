@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobcast.operators.scaling import BROADCAST_ROWS, fits_broadcast, number_sorted
-from jobcast.session import store
 
 HOT_ENTRIES = 1000
 HASH_SPREAD = 4096
@@ -67,8 +66,7 @@ def label_encode(df: DataFrame, cols: Sequence[str], as_string: bool = False,
                           for i, c in enumerate(group)])
         values = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
                   .groupBy("which", "value").agg(F.count("*").alias("n")))
-        numbered = store(number_sorted(values, ["which", "value"], "categories", "place"), "dictionary",
-                         ("which",))
+        numbered = number_sorted(values, ["which", "value"], "categories", "place")
         sizes = {r["which"]: r["size"] for r in
                  numbered.groupBy("which").agg(F.count("*").alias("size")).collect()}
         starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(group)))]
@@ -86,7 +84,7 @@ def first_seen_id(df: DataFrame, col: str, order_cols: Sequence[str], out: str |
     firsts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.min(F.struct(*order_cols)).alias("first"), F.count("*").alias("n"))
     numbered = number_sorted(firsts, ["first", "value"], "first-seen", "place")
-    entries = store(numbered.select("value", "n", (F.col("place") + 1).alias("code")), "ids")
+    entries = numbered.select("value", "n", (F.col("place") + 1).alias("code"))
     out = out or col + "_id"
     return attach_code(df, col, entries, "__id", max_rows).withColumn(
         out, F.coalesce("__id", F.lit(default))).drop("__id")

@@ -60,8 +60,8 @@ def number_sorted(df: DataFrame, order: Sequence[str], name: str, out: str = "ro
     """
     spark = df.sparkSession
     placed = (
-        df.repartitionByRange(*[F.col(c) for c in order])
-        .sortWithinPartitions(*order)
+        df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order])
+        .sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
         .withColumn("__part", F.spark_partition_id())
         .withColumn("__at", F.monotonically_increasing_id()
                     - F.shiftleft(F.spark_partition_id().cast("long"), 33))
@@ -87,22 +87,23 @@ def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequen
     offset and only slices are ranked by a window. A group holding most of the rows
     is therefore spread over up to 4096 tasks, with one shuffle of the rows.
     """
-    keys = [*by, "__slice"]
-    sliced = df.withColumn("__hash", hash32).withColumn(
-        "__slice", F.shiftright("__hash", HASH_BITS - SLICE_BITS).cast("int"))
-    counts = sliced.groupBy(*keys).agg(F.count("*").alias("__n"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
+    # A struct equals another with the same NULLs, so it serves as key for nullable groups; grouping,
+    # window and join share it and the rows are shuffled once.
+    group = F.struct(*by).alias("__group") if by else F.struct(F.lit(0).alias("all")).alias("__group")
+    sliced = df.withColumn("__hash", hash32).withColumn("__key", F.struct(
+        group, F.shiftright("__hash", HASH_BITS - SLICE_BITS).cast("int").alias("__slice")))
+    counts = sliced.groupBy(F.col("__key").alias("__of")).agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy("__of.__group")
     starts = counts.select(
-        *[F.col(k).alias("__k_" + k) for k in keys],
-        F.coalesce(F.sum("__n").over(group.orderBy("__slice").rowsBetween(
+        "__of",
+        F.coalesce(F.sum("__n").over(whole.orderBy("__of.__slice").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(group).alias(size),
+        F.sum("__n").over(whole).alias(size),
     )
     local = sliced.withColumn("__local", F.row_number().over(
-        Window.partitionBy(*keys).orderBy("__hash", *tie)))
-    on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(starts["__k_" + k]) for k in keys])
+        Window.partitionBy("__key").orderBy("__hash", *tie)))
     return (
-        local.join(starts, on)
+        local.join(starts, F.col("__key") == F.col("__of"))
         .withColumn(out, F.col("__before") + F.col("__local"))
-        .drop("__hash", "__slice", "__before", "__local", *["__k_" + k for k in keys])
+        .drop("__hash", "__key", "__of", "__before", "__local")
     )

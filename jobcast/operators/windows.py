@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobcast.functions.scalar import seconds_between
 from jobcast.operators.scaling import attach, fits_broadcast
 from jobcast.session import store
 
@@ -22,7 +23,7 @@ def window_table(spark: SparkSession, start: str, end: str, size_days: int, step
     """
     first, last = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
     if step.upper() == "1M":
-        clock = first - F.date_trunc("day", first).cast("timestamp_ntz")
+        clock = first - F.to_date(first).cast("timestamp_ntz")
         months = F.explode(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"),
                                       F.expr("interval 1 month")))
         starts = (spark.range(1).select(months.alias("m"), clock.alias("clock"))
@@ -42,8 +43,8 @@ def assign_windows_tumbling(df: DataFrame, ts: str, size_days: int, start: str,
     origin = F.lit(start).cast("timestamp_ntz")
     at = F.col(ts).cast("timestamp_ntz")
     length = int(size_days) * DAY
-    number = F.floor(F.timestamp_diff("SECOND", origin, at) / F.lit(length))
-    begin = F.timestamp_add("SECOND", (number * length).cast("long"), origin)
+    number = F.floor(seconds_between(origin, at) / F.lit(length))
+    begin = F.timestamp_add("SECOND", number * length, origin)
     placed = df.where(at >= origin).withColumn("window_start", begin).withColumn(
         "window_end", F.col("window_start") + F.expr(f"interval {int(size_days)} day"))
     if last_start is not None:

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from jobcast.functions.filters import check_features, drop_incomplete
 from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.scaling import attach
-from jobcast.operators.sampling import split_hash
+from jobcast.operators.sampling import split_exact, split_hash
 from jobcast.operators.windows import assign_windows_sliding, nearest_center, window_table
-from jobcast.plans.train import FIT_THREADS, predict_global, predict_per_cluster, train_global_gbt, train_variants
+from jobcast.plans.train import (
+    FIT_THREADS, of_group, predict_global, predict_per_cluster, train_global_gbt, train_variants)
 from jobcast.session import fresh_path, store
 from jobcast.sources.predictions import SCHEMA, scan_predictions, sink_predictions
 from jobcast.spec import TraceSpec
@@ -26,11 +27,13 @@ TEST_SEED = 33
 GROUPED = ("clustering_xgb", "clustering_rf", "resampled_xgb", "resampled_rf")
 
 
-def windowed_jobs(df: DataFrame, spec: TraceSpec) -> DataFrame:
-    """Jobs of every window with their test flag, stored by window."""
+def windowed_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False) -> DataFrame:
+    """Jobs of every window with their test flag, from a hash or as an exact share of the window."""
     windows = window_table(df.sparkSession, spec.first_window, spec.last_window, spec.window_days,
                            spec.window_step)
     sliced = assign_windows_sliding(inf_to_null(df), windows, spec.end).drop("window_end")
+    if exact_split:
+        return split_exact(sliced, spec.key, ["window_start"], TEST_FRACTION, TEST_SEED)
     return split_hash(sliced, spec.key, TEST_FRACTION, TEST_SEED)
 
 
@@ -46,7 +49,7 @@ def fit_centers(train: DataFrame, work: Sequence[str], k: int, seed: int = 42) -
     assembler = VectorAssembler(inputCols=list(work), outputCol="__vec")
 
     def fit(window) -> list[tuple]:
-        rows = train.where(F.col("window_start") == F.lit(window))
+        rows = of_group(train, ["window_start"], (window,))
         model = KMeans(k=k, seed=seed, featuresCol="__vec").fit(assembler.transform(rows).select("__vec"))
         return [(window, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
 
@@ -56,7 +59,7 @@ def fit_centers(train: DataFrame, work: Sequence[str], k: int, seed: int = 42) -
     return spark.createDataFrame(rows, f"window_start {kind}, cluster int, center array<double>")
 
 
-def grouped_jobs(df: DataFrame, spec: TraceSpec) -> DataFrame:
+def grouped_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False) -> DataFrame:
     """Windowed jobs with their cluster.
 
     Training rows are placed with gaps filled by the window's means; test rows
@@ -64,7 +67,7 @@ def grouped_jobs(df: DataFrame, spec: TraceSpec) -> DataFrame:
     take part in grouping and are left out afterwards.
     """
     check_features(df, spec.features)
-    jobs = windowed_jobs(df, spec)
+    jobs = windowed_jobs(df, spec, exact_split)
     gap = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in jobs.columns])
     jobs = jobs.withColumn("__gap", gap)
     kept = store(jobs.select(*used_columns(spec), "__gap"), "windowed", ("window_start",))
@@ -95,9 +98,9 @@ def as_results(preds: DataFrame, spec: TraceSpec) -> DataFrame:
 
 
 def experiment_baseline(df: DataFrame, spec: TraceSpec, preset: str = "reference",
-                        root: str | None = None) -> DataFrame:
+                        root: str | None = None, exact_split: bool = False) -> DataFrame:
     """One model per window over all its jobs; returns the stored predictions."""
-    jobs = store(drop_incomplete(windowed_jobs(df, spec)).select(*used_columns(spec)), "windowed",
+    jobs = store(drop_incomplete(windowed_jobs(df, spec, exact_split)).select(*used_columns(spec)), "windowed",
                  ("window_start",))
     trained = train_global_gbt(jobs.where(~F.col("is_test")), spec.features, spec.target, preset,
                                by=["window_start"], key=spec.key)
@@ -106,9 +109,10 @@ def experiment_baseline(df: DataFrame, spec: TraceSpec, preset: str = "reference
 
 
 def experiment_grouped(df: DataFrame, spec: TraceSpec, preset: str = "reference",
-                       variants: Sequence[str] = GROUPED, root: str | None = None) -> DataFrame:
+                       variants: Sequence[str] = GROUPED, root: str | None = None,
+                       exact_split: bool = False) -> DataFrame:
     """K-means groups per window and one model per group and variant; returns the stored predictions."""
-    jobs = store(grouped_jobs(df, spec), "grouped", ("window_start",))
+    jobs = store(grouped_jobs(df, spec, exact_split), "grouped", ("window_start",))
     trained = train_variants(jobs.where(~F.col("is_test")), spec.features, spec.target, variants, preset,
                              key=spec.key)
     preds = predict_per_cluster(jobs.where("is_test"), trained, spec.biases, spec.request, spec.key)

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from jobcast.functions.filters import drop_incomplete
 from jobcast.functions.scalar import inf_to_null
@@ -108,7 +109,9 @@ def score(rows: DataFrame, models: dict[str, object], features: Sequence[str], t
 def of_group(df: DataFrame, by: Sequence[str], group: tuple) -> DataFrame:
     """A group's rows; a partition filter where ``df`` is stored by group."""
     for c, v in zip(by, group):
-        df = df.where(F.col(c) == F.lit(v).cast(df.schema[c].dataType))
+        kind = df.schema[c].dataType
+        value = F.lit(str(v)).cast(kind) if isinstance(kind, TimestampNTZType) else F.lit(v).cast(kind)
+        df = df.where(F.col(c) == value)
     return df
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/jobcast/{name}-{uuid.uuid4().hex}"
 
 
+def gathered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Bring the rows of an output partition together before writing it.
+
+    Otherwise every task would add a file to every partition. Adaptive
+    execution splits a large partition among several tasks and merges small ones.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and return the stored table.
 
@@ -58,5 +68,5 @@ def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    gathered(df, partition_by).write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobcast.session import gathered
+
 PARTITIONS = ("trace", "target", "model", "bias", "window_size", "window_start")
 SCHEMA = (
     "job_id bigint, cluster int, pred double, act double, req double, trace string, target string, "
@@ -16,7 +18,7 @@ SCHEMA = (
 
 def sink_predictions(df: DataFrame, root: str) -> None:
     """Write frames under ``root``; only the experiments contained in ``df`` are replaced."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(df, PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITIONS).parquet(root))
 
 
@@ -28,5 +30,5 @@ def scan_predictions(spark: SparkSession, root: str, models: Sequence[str] | Non
     for name, chosen in (("model", models), ("bias", biases), ("window_start", windows)):
         if chosen is not None:
             kind = df.schema[name].dataType
-            df = df.where(F.col(name).isin(*[F.lit(x).cast(kind) for x in chosen]))
+            df = df.where(F.col(name).isin(*[F.lit(str(x)).cast(kind) for x in chosen]))
     return df

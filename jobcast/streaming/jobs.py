@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
-from jobcast.functions.scalar import inf_to_null
+from jobcast.functions.scalar import inf_to_null, instant_utc, naive_utc
 from jobcast.operators.metrics import BIAS_TYPES
 from jobcast.operators.windows import nearest_center
 from jobcast.plans.train import GroupModels, score
@@ -23,11 +24,12 @@ def stream_window_stats(stream: DataFrame, ts: str, size: str, slide: str, water
     Partial aggregates per window keep the state to one row per open window;
     rows later than the watermark are dropped.
     """
-    timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", watermark)
+    naive = isinstance(stream.schema[ts].dataType, TimestampNTZType)  # watermarks need instants
+    timed = stream.withColumn("__ts", instant_utc(F.col(ts)) if naive else F.col(ts)).withWatermark("__ts", watermark)
     return timed.groupBy(F.window("__ts", size, slide, offset)).agg(
         F.count("*").alias("n_jobs"), F.avg(wait).alias("mean_wait"), F.avg(run).alias("mean_run")).select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"), "n_jobs", "mean_wait", "mean_run")
+        naive_utc(F.col("window.start")).alias("window_start"),
+        naive_utc(F.col("window.end")).alias("window_end"), "n_jobs", "mean_wait", "mean_run")
 
 
 def run_available(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -88,8 +90,10 @@ def stream_suggest(stream: DataFrame, centers: Sequence[Sequence[float]], traine
             buffers[(tuple(r[c] for c in trained.by), r["model"])] = r[bias_type] or 0.0
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        suggestions(batch, centers, trained, group_of, buffers, key).write.mode("overwrite").parquet(
+        rows = batch.persist()  # each cluster's model reads the batch once
+        suggestions(rows, centers, trained, group_of, buffers, key).write.mode("overwrite").parquet(
             f"{sink}/out/batch={batch_id}")
+        rows.unpersist()
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", sink + "/state")
             .trigger(availableNow=True).start())

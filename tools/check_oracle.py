@@ -68,6 +68,8 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = local_session(8)
+    if os.environ.get("CHECK_ZONE"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["CHECK_ZONE"])
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
