@@ -8,10 +8,24 @@ from jobcast.operators import cluster as C
 MAX_K = 5
 
 
-@query("kmeans_group_jobs")
+@query("kmeans_group_jobs", """
+, p as (select job_id, cast(k % 2 as int) as side, coalesce(mszl, avg(mszl) over ()) / 16384 as m, nnumr from finished)
+select job_id, side as cluster_rank, count(*) over (partition by side) as n_jobs,
+  round(avg(nnumr) over (partition by side), 6) as center_nodes,
+  round(avg(m) over (partition by side), 6) as center_memory from p""")
 def _group(spark, sf_dir):
-    placed, _ = C.kmeans_group_jobs(finished(spark, sf_dir), SPEC.features, SPEC.clusters)
-    return placed.select("job_id", "cluster")
+    """Two queues far apart, so that the best grouping is known; ids are ranked by centre."""
+    rows = finished(spark, sf_dir).select(
+        "job_id", "nnumr", ((F.col("k") % 2) * 1000).cast("double").alias("queue"),
+        (F.col("mszl") / 16384).alias("memory"))
+    placed, model = C.kmeans_group_jobs(rows, ["queue", "nnumr", "memory"], 2)
+    ranked = sorted(range(2), key=lambda i: model.clusterCenters()[i][0])
+    centers = spark.createDataFrame(
+        [(int(c), rank, int(model.summary.clusterSizes[c]), *[float(x) for x in model.clusterCenters()[c][1:]])
+         for rank, c in enumerate(ranked)],
+        "cluster int, cluster_rank int, n_jobs long, center_nodes double, center_memory double")
+    return rounded(placed.join(F.broadcast(centers), "cluster").select(
+        "job_id", "cluster_rank", "n_jobs", "center_nodes", "center_memory"))
 
 
 @query("wcss_curve")

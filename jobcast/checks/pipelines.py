@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from jobcast.checks.aggregates import METRICS, ROUND_METRICS
 from jobcast.checks.registry import FIRST, LAST, finished, jobs, query, rounded, window_preds
-from jobcast.checks.training import HALF_MONTHS, trace
+from jobcast.checks.training import (
+    BIAS_LIST, BUFFER_OF, HALF_MONTHS, LEAVES, LOG_LEAF, ROWS, buffers_sql, trace)
 from jobcast.operators.metrics import BIAS_TYPES, apply_bias, group_mean_predictor, underpred_bias, window_metrics
 from jobcast.operators.sampling import split_hash
 from jobcast.operators.windows import assign_windows_tumbling
@@ -112,14 +113,43 @@ def _swf(spark, sf_dir):
     return rounded(to_swf(named, FUGAKU.with_(key="job_id")))
 
 
-@query("experiment_baseline")
+def experiment_sql(models: dict[str, str], keys: str) -> str:
+    """Predictions of single trees: leaf means per window, frequency and nodes, buffers per ``keys``."""
+    leaves = " union all ".join(
+        f"select '{m}' as model, window_start, freq_req, nnumr, {leaf} as pred from clean "
+        "where not is_test and not is_val group by window_start, freq_req, nnumr" for m, leaf in models.items())
+    on = " and ".join(f"b.{c} = s.{c}" for c in keys.split(", "))
+    return ROWS.replace("nnumr, cast", "nnumr, freq_req, cast") + f"""
+, clean as (select * from rows where not isinf(freq_req)),
+leaf as ({leaves}),
+scored as (select job_id, c.window_start, c.freq_req, leaf.model, is_test, y, req, pred from clean c join leaf
+  on leaf.window_start = c.window_start and leaf.freq_req = c.freq_req and leaf.nnumr = c.nnumr where is_test or is_val)
+""" + buffers_sql("(select * from scored where not is_test)", keys) + f"""
+select job_id, s.window_start, s.model, t.bias, y as act, req, round(pred + {BUFFER_OF}, 4) as pred,
+  'fugaku' as trace, 'run_time' as target, 16 as window_size
+from scored s join buffers b on {on} cross join {BIAS_LIST} where is_test"""
+
+
+@query("experiment_baseline", experiment_sql({"baseline": LOG_LEAF}, "window_start, model"))
 def _baseline(spark, sf_dir):
-    return experiment_baseline(trace(spark, sf_dir), HALF_MONTHS, "fast")
+    return rounded(experiment_baseline(trace(spark, sf_dir).drop("mszl", "cnumr"), LEAVES, "one_tree").drop("cluster"), 4)
 
 
-@query("experiment_grouped")
+@query("experiment_grouped", experiment_sql(
+    {"clustering_xgb": LOG_LEAF, "clustering_rf": "avg(y)"}, "window_start, freq_req, model"))
 def _grouped(spark, sf_dir):
-    return experiment_grouped(trace(spark, sf_dir), HALF_MONTHS, "fast")
+    return rounded(experiment_grouped(trace(spark, sf_dir).drop("mszl", "cnumr"), LEAVES, "one_tree",
+                                      ["clustering_xgb", "clustering_rf"]).drop("cluster"), 4)
+
+
+@query("experiment_baseline_ensembles")
+def _baseline_ensembles(spark, sf_dir):
+    return evaluate_results(experiment_baseline(trace(spark, sf_dir), HALF_MONTHS, "fast"))
+
+
+@query("experiment_grouped_ensembles")
+def _grouped_ensembles(spark, sf_dir):
+    return evaluate_results(experiment_grouped(trace(spark, sf_dir), HALF_MONTHS, "fast"))
 
 
 @query("evaluate_results", METRICS + """, pooled as (select window_size, model, bias, count(*) as n_jobs,

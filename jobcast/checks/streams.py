@@ -1,7 +1,8 @@
 from __future__ import annotations
 
-from jobcast.checks.registry import SPEC, jobs_of, query, rounded
-from jobcast.checks.training import HALF_MONTHS, trace
+from jobcast.checks.registry import jobs_of, query, rounded
+from jobcast.checks.training import LEAVES, ROWS, buffers_sql, trace
+from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.cluster import kmeans_group_jobs
 from jobcast.plans.train import train_variants
 from jobcast.session import fresh_path
@@ -26,12 +27,23 @@ def _stats(spark, sf_dir):
     return rounded(run_available(stats, spark, "window-stats"))
 
 
-@query("stream_suggest")
+@query("stream_suggest", ROWS.replace("nnumr, cast", "nnumr, freq_req, cast") + """
+, clean as (select * from rows where not isinf(freq_req)),
+leaf as (select freq_req, nnumr, avg(y) as pred from clean where not is_val group by all),
+scored as (select clean.freq_req, 'clustering_rf' as model, y, pred from clean join leaf
+  on leaf.freq_req = clean.freq_req and leaf.nnumr = clean.nnumr where is_val)
+""" + buffers_sql("scored", "freq_req, model") + """
+select job_id, 'clustering_rf' as model, round(pred + two_sigma, 4) as suggested from jobs
+  join leaf on leaf.freq_req = jobs.freq_req and leaf.nnumr = jobs.nnumr
+  join buffers on buffers.freq_req = jobs.freq_req""")
 def _suggest(spark, sf_dir):
-    rows = trace(spark, sf_dir).na.drop("any")
-    placed, model = kmeans_group_jobs(rows, SPEC.features, HALF_MONTHS.clusters)
-    trained = train_variants(placed, SPEC.features, "run_time", ["clustering_rf"], "fast", by=["cluster"])
+    """Train on the finished jobs, then suggest a request for every submitted one."""
+    features = list(LEAVES.features)
+    rows = inf_to_null(trace(spark, sf_dir).select("job_id", "run_time", *features)).na.drop("any")
+    placed, model = kmeans_group_jobs(rows, features, LEAVES.clusters)
+    trained = train_variants(placed, features, "run_time", ["clustering_rf"], "one_tree", by=["cluster"])
     sink = fresh_path(spark, "suggestions")
     centers = [list(c) for c in model.clusterCenters()]
-    stream_suggest(job_stream(spark, sf_dir), centers, trained, "two_sigma", sink, key="job_id").awaitTermination()
-    return spark.read.schema("job_id long, cluster int, model string, suggested double").parquet(sink + "/out")
+    stream_suggest(job_stream(spark, sf_dir), centers, trained, "two_sigma", sink).awaitTermination()
+    kept = spark.read.schema("job_id long, model string, suggested double").parquet(sink + "/out")
+    return rounded(kept.drop("batch"), 4)

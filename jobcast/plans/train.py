@@ -42,7 +42,13 @@ FAST = {
     "global_gbt": {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3968571956999504,
                    "subsamplingRate": 0.747747407403972, "featureSubsetStrategy": "0.6280085182287491"},
 }
-PRESETS = {"reference": REFERENCE, "fast": FAST}
+# A single tree without sampling predicts the mean of its leaf, which SQL can recompute.
+ONE_TREE = {
+    "gbt": {"maxIter": 1, "maxDepth": 5},
+    "rf": {"numTrees": 1, "maxDepth": 5, "featureSubsetStrategy": "all", "bootstrap": False},
+    "global_gbt": {"maxIter": 1, "maxDepth": 5},
+}
+PRESETS = {"reference": REFERENCE, "fast": FAST, "one_tree": ONE_TREE}
 
 
 @dataclass
