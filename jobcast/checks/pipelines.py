@@ -13,7 +13,7 @@ from jobcast.plans.evaluate import evaluate_results
 from jobcast.plans.experiment import experiment_baseline, experiment_grouped
 from jobcast.plans.preprocess import preprocess_eagle, preprocess_fugaku, preprocess_m100
 from jobcast.plans.swf import to_swf
-from jobcast.session import fresh_path
+from jobcast.session import fresh_path, store
 from jobcast.spec import FUGAKU
 
 SECOND = "yyyy-MM-dd HH:mm:ss"
@@ -190,12 +190,11 @@ window_preds2 as (select rows.window_start, 3 as window_size, 'group_mean' as mo
        + f"select window_size, window_start, model, bias, {ROUND_METRICS} from wm")
 def group_mean_experiment(spark, sf_dir):
     """How often would each buffer have killed the job? The whole chain with the group mean as its model."""
-    rows = split_windows(spark, sf_dir)
     by = ["window_start", "jnam"]
-    train = rows.where(~F.col("is_test"))
-    fit, held_out = train.where(~F.col("is_val")), train.where("is_val")
-    biases = underpred_bias(group_mean_predictor(fit, held_out, "run_time", by), by)
-    scored = group_mean_predictor(fit, rows.where("is_test"), "run_time", by).select(
-        "job_id", *by, F.lit(3).alias("window_size"), F.lit("group_mean").alias("model"), "act",
-        F.col("elpl").alias("req"), "pred")
-    return rounded(window_metrics(apply_bias(scored, biases, BIAS_TYPES, by)), 4)
+    rows = store(split_windows(spark, sf_dir).select(
+        "job_id", *by, "run_time", F.col("elpl").alias("req"), "is_test", "is_val"), "split-jobs")
+    fits = rows.where(~F.col("is_test") & ~F.col("is_val"))
+    scored = store(group_mean_predictor(fits, rows.where("is_test or is_val"), "run_time", by).select(
+        *by, "is_test", F.lit(3).alias("window_size"), F.lit("group_mean").alias("model"), "act", "req", "pred"), "scored")
+    biases = underpred_bias(scored.where(~F.col("is_test")), by)
+    return rounded(window_metrics(apply_bias(scored.where("is_test"), biases, BIAS_TYPES, by)), 4)

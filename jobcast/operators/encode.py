@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobcast.operators.scaling import BROADCAST_ROWS, fits_broadcast, number_sorted
+from jobcast.operators.scaling import BROADCAST_ROWS, number_sorted
 
 HOT_ENTRIES = 1000
 HASH_SPREAD = 4096
@@ -21,16 +22,16 @@ def split_hash32(key: str, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def attach_code(df: DataFrame, col: str, dictionary: DataFrame, out: str,
+def attach_code(df: DataFrame, col: str, dictionary: DataFrame, size: int, out: str,
                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add the code of ``col`` from a stored table ``(value, n, code)``; no code for NULL.
+    """Add the code of ``col`` from a table ``(value, n, code)`` of ``size`` rows; no code for NULL.
 
     A small dictionary is broadcast. A large one is joined by shuffle after
     its most frequent entries, at most ``HOT_ENTRIES``, have been broadcast:
     rows they cover are spread evenly instead of following their hot value.
     """
     value = F.col(col)
-    if fits_broadcast(dictionary, max_rows):
+    if size <= max_rows:
         entries = dictionary.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
         return df.join(F.broadcast(entries), value == F.col("__value"), "left").withColumn(
             out, F.col("__code")).drop("__value", "__code")
@@ -48,33 +49,41 @@ def attach_code(df: DataFrame, col: str, dictionary: DataFrame, out: str,
         "__hot", "__hot_code", "__open", "__spread", "__value", "__code", "__side")
 
 
+SLOTS = ("long", "double", "string")
+
+
+def slot_of(kind: T.DataType) -> str:
+    """The dictionary column that keeps values of this type in their own order."""
+    if isinstance(kind, T.IntegralType):
+        return "long"
+    return "double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "string"
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], as_string: bool = False,
                  max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Each category becomes its 0-based place among the sorted values of its column.
 
     With ``as_string`` values are ordered as text and a missing one is the text
     ``nan``; otherwise they keep their own order and a missing one comes last.
-    All columns of one type share a single dictionary pass over the trace.
+    One pass over the trace collects the categories of all columns.
     """
     if as_string:
         df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
-    by_type = defaultdict(list)
-    for c in cols:
-        by_type[df.schema[c].dataType.simpleString()].append(c)
-    for group in by_type.values():
-        pairs = F.array(*[F.struct(F.lit(i).alias("which"), F.col(c).alias("value"))
-                          for i, c in enumerate(group)])
-        values = (df.select(F.inline(pairs)).where(F.col("value").isNotNull())
-                  .groupBy("which", "value").agg(F.count("*").alias("n")))
-        numbered = number_sorted(values, ["which", "value"], "categories", "place")
-        sizes = {r["which"]: r["size"] for r in
-                 numbered.groupBy("which").agg(F.count("*").alias("size")).collect()}
-        starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(group)))]
-        for i, c in enumerate(group):
-            entries = numbered.where(F.col("which") == i).select(
-                "value", "n", (F.col("place") - starts[i]).alias("code"))
-            coded = attach_code(df, c, entries, "__new_" + c, max_rows)
-            df = coded.withColumn(c, F.coalesce("__new_" + c, F.lit(sizes.get(i, 0)))).drop("__new_" + c)
+    slots = {c: slot_of(df.schema[c].dataType) for c in cols}
+    entries = F.array(*[F.struct(F.lit(i).alias("which"), *[
+        (F.col(c) if slot == slots[c] else F.lit(None)).cast(slot).alias(slot) for slot in SLOTS]) for i, c in enumerate(cols)])
+    order = ["which", *SLOTS]
+    present = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS])
+    values = df.select(F.inline(entries)).where(present).groupBy(*order).agg(F.count("*").alias("n"))
+    numbered, _ = number_sorted(values, order, "categories", "place")
+    sizes = {r["which"]: r["size"] for r in
+             numbered.groupBy("which").agg(F.count("*").alias("size")).collect()}
+    starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(cols)))]
+    for i, c in enumerate(cols):
+        own = numbered.where(F.col("which") == i).select(
+            F.col(slots[c]).alias("value"), "n", (F.col("place") - starts[i]).alias("code"))
+        coded = attach_code(df, c, own, sizes.get(i, 0), "__new_" + c, max_rows)
+        df = coded.withColumn(c, F.coalesce("__new_" + c, F.lit(sizes.get(i, 0)))).drop("__new_" + c)
     return df
 
 
@@ -83,17 +92,17 @@ def first_seen_id(df: DataFrame, col: str, order_cols: Sequence[str], out: str |
     """1-based ids of the values of ``col`` in order of first appearance; NULL gives ``default``."""
     firsts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.min(F.struct(*order_cols)).alias("first"), F.count("*").alias("n"))
-    numbered = number_sorted(firsts, ["first", "value"], "first-seen", "place")
+    numbered, size = number_sorted(firsts, ["first", "value"], "first-seen", "place")
     entries = numbered.select("value", "n", (F.col("place") + 1).alias("code"))
     out = out or col + "_id"
-    return attach_code(df, col, entries, "__id", max_rows).withColumn(
+    return attach_code(df, col, entries, size, "__id", max_rows).withColumn(
         out, F.coalesce("__id", F.lit(default))).drop("__id")
 
 
 def sequential_job_number(df: DataFrame, order_cols: Sequence[str], out: str = "job_number") -> DataFrame:
     """1..n in the given order, which must end in a unique key."""
-    return number_sorted(df, list(order_cols), "numbered", "__place").withColumn(
-        out, F.col("__place") + 1).drop("__place")
+    numbered, _ = number_sorted(df, list(order_cols), "numbered", "__place")
+    return numbered.withColumn(out, F.col("__place") + 1).drop("__place")
 
 
 def sort_trace(df: DataFrame, cols: Sequence[str]) -> DataFrame:

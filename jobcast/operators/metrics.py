@@ -138,19 +138,19 @@ def underpred_bias(val_preds: DataFrame, by: Sequence[str], approx: bool = False
     Groups without a shortfall keep a row with ``n_under`` 0 and NULL buffers.
     """
     by = list(by)
-    short = val_preds.select(*by, F.when(F.col("act") > F.col("pred"), gap()).alias("short"))
-    base = short.groupBy(*by).agg(
-        F.avg("short").alias("mean"), F.stddev_pop("short").alias("std_dev"),
-        F.count("short").alias("n_under"))
-    middle = store(exact_quantile(short, "short", by, 0.5, "middle", approx), "shortfall-median")
+    short = F.when(F.col("act") > F.col("pred"), gap())
+    base = val_preds.groupBy(*by).agg(
+        F.avg(short).alias("mean"), F.stddev_pop(short).alias("std_dev"), F.count(short).alias("n_under"))
+    # Both medians read the shortfalls alone.
+    shortfalls = store(val_preds.select(*by, short.alias("short")).where(F.col("short").isNotNull()), "shortfalls")
+    middle = exact_quantile(shortfalls, "short", by, 0.5, "middle", approx)
     if by:
-        centred = attach(short.where(F.col("short").isNotNull()), middle, by)
+        centred = attach(shortfalls, store(middle, "shortfall-median"), by)
     else:
-        centred = short.where(F.col("short").isNotNull()).withColumn("middle", middle.scalar())
-    spread = exact_quantile(
-        centred.select(*by, F.abs(F.col("short") - F.col("middle")).alias("off")), "off", by, 0.5, "mad", approx)
-    spread = store(spread, "shortfall-mad")
-    joined = attach(base, spread, by) if by else base.withColumn("mad", spread.scalar())
+        centred = shortfalls.withColumn("middle", middle.scalar())
+    off = centred.select(*by, F.abs(F.col("short") - F.col("middle")).alias("off"))
+    spread = exact_quantile(off, "off", by, 0.5, "mad", approx)
+    joined = attach(base, store(spread, "shortfall-mad"), by) if by else base.withColumn("mad", spread.scalar())
     return joined.select(*by, "mean", "mad", "std_dev", (F.col("std_dev") * 2).alias("two_sigma"), "n_under")
 
 

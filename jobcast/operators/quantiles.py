@@ -16,18 +16,22 @@ MARGIN = 5.0 / ACCURACY
 
 
 def exact_quantile(df: DataFrame, value: str, by: Sequence[str], p: float = 0.5,
-                   out: str = "quantile", approx: bool = False) -> DataFrame:
+                   out: str = "quantile", approx: bool = False, one_task_rows: int = 100_000) -> DataFrame:
     """One row per group with the linearly interpolated ``p`` quantile of ``value``.
 
-    A sketch brackets the wanted rank, rows below the bracket are only
-    counted and rows inside it are counted per value. The final ordering
+    Groups are counted first. Where the largest has more than ``one_task_rows``,
+    a sketch brackets the wanted rank, rows below the bracket are only
+    counted and rows inside it are counted per value. The final ordering then
     sees about a thousandth of a group's distinct values, so
-    no task holds a whole group. ``approx`` stops at the sketch.
+    no task holds a whole group. ``approx`` answers from the sketch alone.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
     if approx:
         return rows.groupBy(*by).agg(F.percentile_approx("__v", F.lit(p), F.lit(ACCURACY)).alias(out))
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= one_task_rows:
+        return rows.groupBy(*by).agg(F.percentile("__v", F.lit(p)).alias(out))
     sketch = rows.groupBy(*by).agg(
         F.percentile_approx("__v", F.array(F.lit(max(0.0, p - MARGIN)), F.lit(min(1.0, p + MARGIN))),
                             F.lit(ACCURACY)).alias("__b"),

@@ -50,11 +50,11 @@ def attach_group_stats(df: DataFrame, stats: Sequence[Column], by: Sequence[str]
     return attach(df, store(df.groupBy(*by).agg(*stats), name), by)
 
 
-def number_sorted(df: DataFrame, order: Sequence[str], name: str, out: str = "row_number") -> DataFrame:
-    """0-based positions of ``df`` in ``order`` (which must be unique), with no single-task sort.
+def number_sorted(df: DataFrame, order: Sequence[str], name: str, out: str) -> tuple[DataFrame, int]:
+    """0-based positions of ``df`` in ``order`` (which must be unique), and the row count.
 
-    Rows are range-partitioned and sorted, written once with their place in
-    the partition, and shifted by the sizes of the partitions before. The
+    No task sorts everything: rows are range-partitioned and sorted, written once
+    with their place in the partition, and shifted by the sizes of the partitions before. The
     range split samples whole order tuples, so one frequent leading value is
     spread over several partitions.
     """
@@ -72,11 +72,12 @@ def number_sorted(df: DataFrame, order: Sequence[str], name: str, out: str = "ro
     before = [0, *accumulate(n for _, n in sizes)]
     offsets = spark.createDataFrame(
         [(part, start) for (part, _), start in zip(sizes, before)], "__part int, __before long")
-    return (
+    numbered = (
         stored.join(F.broadcast(offsets), "__part")
         .withColumn(out, F.col("__at") + F.col("__before"))
         .drop("__part", "__at", "__before")
     )
+    return numbered, before[-1]
 
 
 def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequence[str],

@@ -17,7 +17,7 @@ from jobcast.operators.scaling import attach
 from jobcast.operators.sampling import split_exact, split_hash
 from jobcast.operators.windows import assign_windows_sliding, nearest_center, window_table
 from jobcast.plans.train import (
-    FIT_THREADS, of_group, predict_global, predict_per_cluster, train_global_gbt, train_variants)
+    FIT_THREADS, GROUP, of_group, predict_global, predict_per_cluster, prepare_rows, train_global_gbt, train_variants)
 from jobcast.session import fresh_path, store
 from jobcast.sources.predictions import SCHEMA, scan_predictions, sink_predictions
 from jobcast.spec import TraceSpec
@@ -78,7 +78,6 @@ def grouped_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False) -> D
         w: F.when(F.col("is_test"), F.col(f).cast("double")).otherwise(
             F.coalesce(F.col(f).cast("double"), F.col("__m" + w))) for f, w in work.items()})
     filled = filled.drop(*["__m" + w for w in work.values()])
-    filled = store(filled, "grouping", ("window_start",))
     centers = fit_centers(filled.where(~F.col("is_test")), list(work.values()), spec.clusters)
     placed = nearest_center(filled, list(work.values()), centers, ["window_start"])
     return placed.where(F.col("cluster").isNotNull() & ~F.col("__gap")).drop(*work.values(), "__gap")
@@ -100,11 +99,11 @@ def as_results(preds: DataFrame, spec: TraceSpec) -> DataFrame:
 def experiment_baseline(df: DataFrame, spec: TraceSpec, preset: str = "reference",
                         root: str | None = None, exact_split: bool = False) -> DataFrame:
     """One model per window over all its jobs; returns the stored predictions."""
-    jobs = store(drop_incomplete(windowed_jobs(df, spec, exact_split)).select(*used_columns(spec)), "windowed",
-                 ("window_start",))
-    trained = train_global_gbt(jobs.where(~F.col("is_test")), spec.features, spec.target, preset,
-                               by=["window_start"], key=spec.key)
-    preds = predict_global(jobs.where("is_test"), trained, spec.biases, spec.request, spec.key)
+    jobs = drop_incomplete(windowed_jobs(df, spec, exact_split)).select(*used_columns(spec))
+    rows = prepare_rows(jobs, spec.features, spec.target, ["window_start"], spec.key, spec.request, ["is_test"])
+    trained = train_global_gbt(rows.where(~F.col("is_test")), spec.features, spec.target, preset,
+                               by=["window_start"], key=spec.key, prepared=True)
+    preds = predict_global(rows.where("is_test"), trained, spec.biases, spec.request, spec.key, prepared=True)
     return kept_results(preds, spec, root, ["baseline"])
 
 
@@ -112,10 +111,11 @@ def experiment_grouped(df: DataFrame, spec: TraceSpec, preset: str = "reference"
                        variants: Sequence[str] = GROUPED, root: str | None = None,
                        exact_split: bool = False) -> DataFrame:
     """K-means groups per window and one model per group and variant; returns the stored predictions."""
-    jobs = store(grouped_jobs(df, spec, exact_split), "grouped", ("window_start",))
-    trained = train_variants(jobs.where(~F.col("is_test")), spec.features, spec.target, variants, preset,
-                             key=spec.key)
-    preds = predict_per_cluster(jobs.where("is_test"), trained, spec.biases, spec.request, spec.key)
+    rows = prepare_rows(grouped_jobs(df, spec, exact_split), spec.features, spec.target, GROUP, spec.key,
+                        spec.request, ["is_test"])
+    trained = train_variants(rows.where(~F.col("is_test")), spec.features, spec.target, variants, preset,
+                             key=spec.key, prepared=True)
+    preds = predict_per_cluster(rows.where("is_test"), trained, spec.biases, spec.request, spec.key, prepared=True)
     return kept_results(preds, spec, root, variants)
 
 

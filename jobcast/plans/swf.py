@@ -26,12 +26,11 @@ def to_swf(df: DataFrame, spec: TraceSpec = FUGAKU, strict_case: bool = False) -
     order = [spec.submit, spec.key]
     needed = df.select(spec.key, spec.submit, F.col(spec.state).alias("__state"), "usr", "jnam", "usctmut",
                        *[F.col(src).cast("double").alias(src) for src in SWF_SOURCES.values()])
-    numbered = sequential_job_number(needed, order)
+    numbered = epoch_relative_submit(sequential_job_number(needed, order), spec.submit, out="submit_time")
     numbered = first_seen_id(numbered, "usr", ["job_number"], "user_id")
     numbered = first_seen_id(numbered, "jnam", ["job_number"], "executable_number")
     rated = safe_ratio(numbered, "usctmut", "cnumat", out="avg_cpu_time")
     coded = status_code_map(rated, "__state", strict_case=strict_case)
-    timed = epoch_relative_submit(coded, spec.submit, out="submit_time")
-    renamed = timed.withColumns({out: F.col(src) for out, src in SWF_SOURCES.items()})
+    renamed = coded.withColumns({out: F.col(src) for out, src in SWF_SOURCES.items()})
     filled = fill_missing(renamed, {c: -1 for c in SWF_SOURCES})
     return filled.withColumns({c: F.lit(-1) for c in SWF_UNKNOWN}).select(*SWF_COLUMNS)

@@ -79,6 +79,19 @@ def clean_rows(df: DataFrame, features: Sequence[str], target: str,
     return whole.withColumns({c: F.col(c).cast("double") for c in {*features, target}})
 
 
+def prepare_rows(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = GROUP,
+                 key: str = "job_id", request: str | None = None, keep: Sequence[str] = (),
+                 complete_on: Sequence[str] | None = None) -> DataFrame:
+    """Clean rows with their validation flag, stored by group so that a fit reads its own group only."""
+    rows = clean_rows(df, features, target, complete_on)
+    if request:
+        rows = rows.withColumn("req", F.col(request).cast("double"))
+    extra = ["req"] if request else []
+    rows = rows.select(*dict.fromkeys([*by, key, *features, target, *extra, *keep]))
+    flagged = split_hash(rows, key, VALIDATION_FRACTION, VALIDATION_SEED, "is_val")
+    return store(flagged, "model-rows", tuple(by))
+
+
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__vec").transform(df)
 
@@ -144,12 +157,11 @@ def score_groups(df: DataFrame, trained: GroupModels, keep: Sequence[str], name:
 def train_variants(df: DataFrame, features: Sequence[str], target: str, variants: Iterable[str],
                    preset: str = "reference", by: Sequence[str] = GROUP, key: str = "job_id",
                    method: str = "draw", leaky: bool = False, min_rows: int = 2,
-                   complete_on: Sequence[str] | None = None) -> GroupModels:
+                   complete_on: Sequence[str] | None = None, prepared: bool = False) -> GroupModels:
     """Fit each variant on 60 % of each group and learn its buffers on the other 40 %.
 
-    Rows are stored once, partitioned by group, so that a fit reads its own
-    group only; Spark ML spreads each fit over the cluster and a few fits run
-    side by side. ``method`` is ``draw`` (copies) or ``weights`` for balanced
+    Spark ML spreads each fit over the cluster and a few fits run side by side.
+    ``prepared`` says that ``df`` comes from ``prepare_rows``. ``method`` is ``draw`` (copies) or ``weights`` for balanced
     variants; ``leaky`` lets the balanced sample draw from validation rows too.
     """
     variants, by, features = list(variants), list(by), list(features)
@@ -158,9 +170,7 @@ def train_variants(df: DataFrame, features: Sequence[str], target: str, variants
         raise ValueError(f"unknown variants: {unknown}; choose from {list(VARIANTS)}")
     if method not in ("draw", "weights"):
         raise ValueError(f"method must be 'draw' or 'weights', not {method!r}")
-    rows = clean_rows(df, features, target, complete_on).select(*dict.fromkeys([*by, key, *features, target]))
-    rows = split_hash(rows, key, VALIDATION_FRACTION, VALIDATION_SEED, "is_val")
-    rows = store(rows, "train-rows", tuple(by))
+    rows = df if prepared else prepare_rows(df, features, target, by, key, complete_on=complete_on)
     counted = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("is_val")).alias("fit")).where(
         (F.col("n") >= min_rows) & (F.col("fit") > 0))
     groups = [tuple(r[c] for c in by) for r in counted.collect()]  # one row per window and cluster
@@ -215,15 +225,11 @@ def train_global_gbt(df: DataFrame, features: Sequence[str], target: str, preset
 
 def predict_per_cluster(df: DataFrame, trained: GroupModels, bias_types: Sequence[str],
                         request: str | None = None, key: str = "job_id",
-                        complete_on: Sequence[str] | None = None) -> DataFrame:
+                        complete_on: Sequence[str] | None = None, prepared: bool = False) -> DataFrame:
     """``(by..., job_id, model, bias, pred, act[, req])``; rows of a group without a model are left out."""
     by = list(trained.by)
-    extra = [request] if request else []
-    rows = clean_rows(df, trained.features, trained.target, complete_on).select(
-        *dict.fromkeys([*by, key, *trained.features, trained.target, *extra]))
-    if request:
-        rows = rows.withColumn("req", F.col(request).cast("double"))
-    rows = store(rows, "score-rows", tuple(by))
+    rows = df if prepared else prepare_rows(df, trained.features, trained.target, by, key, request,
+                                            complete_on=complete_on)
     keep = [*by, key] + (["req"] if request else [])
     scored = score_groups(rows, trained, keep, "scored")
     return apply_bias(scored, trained.biases, bias_types, [*by, "model"])
