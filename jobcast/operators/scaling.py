@@ -13,7 +13,7 @@ from jobcast.session import store
 
 BROADCAST_ROWS = 100_000
 HASH_BITS = 32
-SLICE_BITS = 12
+SLICE_BITS = 14
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -86,7 +86,7 @@ def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequen
 
     The hash's leading bits cut every group into slices; slice counts give each slice's
     offset and only slices are ranked by a window. A group holding most of the rows
-    is therefore spread over up to 4096 tasks, with one shuffle of the rows.
+    is therefore spread over up to 16384 tasks, with one shuffle of the rows.
     """
     # A struct equals another with the same NULLs, so it serves as key for nullable groups; grouping,
     # window and join share it and the rows are shuffled once.

@@ -16,8 +16,7 @@ from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.scaling import attach
 from jobcast.operators.sampling import split_exact, split_hash
 from jobcast.operators.windows import assign_windows_sliding, nearest_center, window_table
-from jobcast.plans.train import (
-    FIT_THREADS, GROUP, of_group, predict_global, predict_per_cluster, prepare_rows, train_global_gbt, train_variants)
+from jobcast.plans.train import FIT_THREADS, GROUP, fit_and_score, of_group, prepare_rows
 from jobcast.session import fresh_path, store
 from jobcast.sources.predictions import SCHEMA, scan_predictions, sink_predictions
 from jobcast.spec import TraceSpec
@@ -101,9 +100,8 @@ def experiment_baseline(df: DataFrame, spec: TraceSpec, preset: str = "reference
     """One model per window over all its jobs; returns the stored predictions."""
     jobs = drop_incomplete(windowed_jobs(df, spec, exact_split)).select(*used_columns(spec))
     rows = prepare_rows(jobs, spec.features, spec.target, ["window_start"], spec.key, spec.request, ["is_test"])
-    trained = train_global_gbt(rows.where(~F.col("is_test")), spec.features, spec.target, preset,
-                               by=["window_start"], key=spec.key, prepared=True)
-    preds = predict_global(rows.where("is_test"), trained, spec.biases, spec.request, spec.key, prepared=True)
+    preds = fit_and_score(rows, spec.features, spec.target, ["baseline"], preset, spec.biases,
+                          ["window_start"], spec.key)
     return kept_results(preds, spec, root, ["baseline"])
 
 
@@ -113,9 +111,7 @@ def experiment_grouped(df: DataFrame, spec: TraceSpec, preset: str = "reference"
     """K-means groups per window and one model per group and variant; returns the stored predictions."""
     rows = prepare_rows(grouped_jobs(df, spec, exact_split), spec.features, spec.target, GROUP, spec.key,
                         spec.request, ["is_test"])
-    trained = train_variants(rows.where(~F.col("is_test")), spec.features, spec.target, variants, preset,
-                             key=spec.key, prepared=True)
-    preds = predict_per_cluster(rows.where("is_test"), trained, spec.biases, spec.request, spec.key, prepared=True)
+    preds = fit_and_score(rows, spec.features, spec.target, variants, preset, spec.biases, GROUP, spec.key)
     return kept_results(preds, spec, root, variants)
 
 

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from jobcast.functions.filters import drop_incomplete
 from jobcast.functions.scalar import inf_to_null
@@ -134,49 +134,64 @@ def of_group(df: DataFrame, by: Sequence[str], group: tuple) -> DataFrame:
     return df
 
 
-def score_groups(df: DataFrame, trained: GroupModels, keep: Sequence[str], name: str) -> DataFrame:
-    """Score each group with its own models; every group is written by its own Spark job."""
-    spark = df.sparkSession
+def written_by_group(spark: SparkSession, groups: Sequence, rows_of, schema, name: str) -> DataFrame:
+    """Each group's rows, written by Spark jobs of which a few run side by side, as one table."""
+    if not groups:
+        raise ValueError("no group has enough rows for a model")
     root = fresh_path(spark, name)
+    with ThreadPoolExecutor(FIT_THREADS) as pool:
+        list(pool.map(lambda item: rows_of(item[1]).write.parquet(f"{root}/part={item[0]}"), enumerate(groups)))
+    return spark.read.schema(schema).parquet(*[f"{root}/part={n}" for n in range(len(groups))])
 
-    def write(item: tuple[int, tuple]) -> None:
-        number, group = item
-        rows = of_group(df, trained.by, group)
-        score(rows, trained.of(group), trained.features, trained.target, keep).write.parquet(
-            f"{root}/part={number}")
 
-    groups = list(enumerate(trained.groups()))
-    if not groups:
-        raise ValueError("no group has a model")
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
-        list(pool.map(write, groups))
-    schema = score(df, trained.of(groups[0][1]), trained.features, trained.target, keep).schema
-    return spark.read.schema(schema).parquet(*[f"{root}/part={n}" for n, _ in groups])
+def scored_schema(df: DataFrame, keep: Sequence[str]) -> StructType:
+    return (StructType([df.schema[c] for c in keep]).add("act", "double").add("model", "string")
+            .add("pred", "double"))
 
 
-def train_variants(df: DataFrame, features: Sequence[str], target: str, variants: Iterable[str],
-                   preset: str = "reference", by: Sequence[str] = GROUP, key: str = "job_id",
-                   method: str = "draw", leaky: bool = False, min_rows: int = 2,
-                   complete_on: Sequence[str] | None = None, prepared: bool = False) -> GroupModels:
-    """Fit each variant on 60 % of each group and learn its buffers on the other 40 %.
+def score_groups(df: DataFrame, trained: GroupModels, keep: Sequence[str]) -> DataFrame:
+    """Score each group with its own models."""
+    def rows_of(group: tuple) -> DataFrame:
+        return score(of_group(df, trained.by, group), trained.of(group), trained.features, trained.target, keep)
 
-    Spark ML spreads each fit over the cluster and a few fits run side by side.
-    ``prepared`` says that ``df`` comes from ``prepare_rows``. ``method`` is ``draw`` (copies) or ``weights`` for balanced
-    variants; ``leaky`` lets the balanced sample draw from validation rows too.
-    """
-    variants, by, features = list(variants), list(by), list(features)
+    return written_by_group(df.sparkSession, trained.groups(), rows_of, scored_schema(df, keep), "scored")
+
+
+@dataclass
+class TrainingRows:
+    """The fitting parts of all groups, plain and balanced, and the groups that have enough rows."""
+
+    plain: DataFrame
+    balanced: DataFrame | None
+    weight: str | None
+    groups: dict[tuple, int]
+    by: list[str]
+
+    def fit(self, group: tuple, variant: str, features: Sequence[str], target: str, preset: str):
+        """The group's model, or None if the logarithm leaves no rows."""
+        if on_log_scale(variant) and self.groups[group] == 0:
+            return None
+        resampled = VARIANTS[variant][1]
+        part = of_group(self.balanced if resampled else self.plain, self.by, group)
+        return fit_one(part, features, target, variant, preset, self.weight if resampled else None)
+
+
+def training_rows(rows: DataFrame, target: str, variants: Sequence[str], by: Sequence[str], key: str,
+                  method: str, leaky: bool, min_rows: int) -> TrainingRows:
     unknown = [v for v in variants if v not in VARIANTS]
     if unknown:
         raise ValueError(f"unknown variants: {unknown}; choose from {list(VARIANTS)}")
     if method not in ("draw", "weights"):
         raise ValueError(f"method must be 'draw' or 'weights', not {method!r}")
-    rows = df if prepared else prepare_rows(df, features, target, by, key, complete_on=complete_on)
-    counted = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(~F.col("is_val")).alias("fit")).where(
+    by = list(by)
+    fitting = ~F.col("is_val")
+    counted = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(fitting).alias("fit"),
+        F.count_if(fitting & (F.col(target) > 0)).alias("positive")).where(
         (F.col("n") >= min_rows) & (F.col("fit") > 0))
-    groups = [tuple(r[c] for c in by) for r in counted.collect()]  # one row per window and cluster
-    plain = rows.where(~F.col("is_val"))
-    weight = None
-    balanced = plain
+    groups = {tuple(r[c] for c in by): r["positive"] for r in counted.collect()}  # a row per window and cluster
+    plain = rows.where(fitting)
+    balanced = weight = None
     if any(VARIANTS[v][1] for v in variants):
         source = rows if leaky else plain
         if method == "draw":
@@ -184,24 +199,57 @@ def train_variants(df: DataFrame, features: Sequence[str], target: str, variants
         else:
             weight = "weight"
             balanced = store(balance_weights(source, target, by), "weighted-rows", tuple(by))
-    trained = GroupModels(tuple(features), target, tuple(by))
+    return TrainingRows(plain, balanced, weight, groups, by)
 
-    def fit(item: tuple[tuple, str]) -> tuple:
-        group, variant = item
-        resampled = VARIANTS[variant][1]
-        part = of_group(balanced if resampled else plain, by, group)
-        if on_log_scale(variant) and part.where(F.col(target) > 0).isEmpty():
-            return item, None
-        return item, fit_one(part, features, target, variant, preset, weight if resampled else None)
 
+def train_variants(df: DataFrame, features: Sequence[str], target: str, variants: Iterable[str],
+                   preset: str = "reference", by: Sequence[str] = GROUP, key: str = "job_id",
+                   method: str = "draw", leaky: bool = False, min_rows: int = 2,
+                   complete_on: Sequence[str] | None = None) -> GroupModels:
+    """Fit each variant on 60 % of each group and learn its buffers on the other 40 %.
+
+    Spark ML spreads each fit over the cluster and a few fits run side by side.
+    ``method`` is ``draw`` (copies) or ``weights`` for balanced variants;
+    ``leaky`` lets the balanced sample draw from validation rows too.
+    """
+    variants, by, features = list(variants), list(by), list(features)
+    rows = prepare_rows(df, features, target, by, key, complete_on=complete_on)
+    source = training_rows(rows, target, variants, by, key, method, leaky, min_rows)
+    trained = GroupModels(tuple(features), target, tuple(by))
+    wanted = [(g, v) for g in source.groups for v in variants]
     with ThreadPoolExecutor(FIT_THREADS) as pool:
-        fitted = pool.map(fit, [(g, v) for g in groups for v in variants])
-        trained.models = {item: model for item, model in fitted if model is not None}
-    held_out = score_groups(rows.where("is_val"), trained, by, "validation")
+        models = pool.map(lambda item: source.fit(*item, features, target, preset), wanted)
+        trained.models = {item: model for item, model in zip(wanted, models) if model is not None}
+    held_out = score_groups(rows.where("is_val"), trained, by)
     trained.biases = store(underpred_bias(held_out, [*by, "model"]), "buffers")
     return trained
 
 
+def fit_and_score(rows: DataFrame, features: Sequence[str], target: str, variants: Iterable[str], preset: str,
+                  bias_types: Sequence[str], by: Sequence[str] = GROUP, key: str = "job_id",
+                  method: str = "draw", min_rows: int = 2) -> DataFrame:
+    """Predictions for the test rows of ``prepare_rows`` output, from models fitted on the others.
+
+    A group's models are dropped once its validation and test rows are scored,
+    in one pass, so the driver holds the models of a few groups only.
+    """
+    variants, by = list(variants), list(by)
+    source = training_rows(rows.where(~F.col("is_test")), target, variants, by, key, method, False, min_rows)
+    keep = [*by, key, "is_test"] + (["req"] if "req" in rows.columns else [])
+    judged = rows.where(F.col("is_test") | F.col("is_val"))
+
+    def rows_of(group: tuple) -> DataFrame:
+        models = {v: source.fit(group, v, features, target, preset) for v in variants}
+        models = {v: m for v, m in models.items() if m is not None}
+        return score(of_group(judged, by, group), models, features, target, keep)
+
+    if all(on_log_scale(v) for v in variants):
+        source.groups = {g: n for g, n in source.groups.items() if n > 0}
+    scored = written_by_group(rows.sparkSession, list(source.groups), rows_of, scored_schema(rows, keep), "scored")
+    biases = underpred_bias(scored.where(~F.col("is_test")), [*by, "model"])
+    return apply_bias(scored.where("is_test").drop("is_test"), biases, bias_types, [*by, "model"])
+
+
 def train_cluster_gbt(df: DataFrame, features: Sequence[str], target: str, preset: str = "reference",
                       **options) -> GroupModels:
     return train_variants(df, features, target, ["clustering_xgb"], preset, **options)
@@ -225,13 +273,11 @@ def train_global_gbt(df: DataFrame, features: Sequence[str], target: str, preset
 
 def predict_per_cluster(df: DataFrame, trained: GroupModels, bias_types: Sequence[str],
                         request: str | None = None, key: str = "job_id",
-                        complete_on: Sequence[str] | None = None, prepared: bool = False) -> DataFrame:
+                        complete_on: Sequence[str] | None = None) -> DataFrame:
     """``(by..., job_id, model, bias, pred, act[, req])``; rows of a group without a model are left out."""
     by = list(trained.by)
-    rows = df if prepared else prepare_rows(df, trained.features, trained.target, by, key, request,
-                                            complete_on=complete_on)
-    keep = [*by, key] + (["req"] if request else [])
-    scored = score_groups(rows, trained, keep, "scored")
+    rows = prepare_rows(df, trained.features, trained.target, by, key, request, complete_on=complete_on)
+    scored = score_groups(rows, trained, [*by, key] + (["req"] if request else []))
     return apply_bias(scored, trained.biases, bias_types, [*by, "model"])
 
 

@@ -46,9 +46,19 @@ def workspace(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{workspace(spark)}/jobcast/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A folder name below the workspace that nothing else uses."""
-    return f"{workspace(spark)}/jobcast/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them can be used no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def gathered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:

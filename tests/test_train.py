@@ -78,9 +78,9 @@ def test_experiments_fill_one_store(spark, sf_dir):
     first = experiment_grouped(trace(spark, sf_dir), spec, "one_tree", ["clustering_rf"], root, exact_split=True)
     n = first.count()
     experiment_grouped(trace(spark, sf_dir), spec, "one_tree", ["resampled_rf"], root, exact_split=True)
-    both = scan_predictions(spark, root)
-    assert both.count() == 2 * n
+    assert scan_predictions(spark, root).count() == 2 * n
     experiment_grouped(trace(spark, sf_dir), spec, "one_tree", ["resampled_rf"], root, exact_split=True)
+    both = scan_predictions(spark, root)
     assert both.count() == 2 * n  # a repeated experiment replaces its own results
     plan = scan_predictions(spark, root, models=["resampled_rf"], windows=["2024-01-01"])
     assert "PartitionFilters: [" in plan._jdf.queryExecution().executedPlan().toString()
