@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobcast.operators.encode import split_hash32
-from jobcast.operators.scaling import attach, attach_group_stats, rank_in_groups
+from jobcast.operators.scaling import attach, attach_group_stats, first_by_hash, rank_in_groups
 from jobcast.session import store
 from jobcast.spec import TraceSpec
 
@@ -24,9 +24,8 @@ def split_hash(df: DataFrame, key: str, test_fraction: float, seed: int, out: st
 def split_exact(df: DataFrame, key: str, by: Sequence[str], test_fraction: float, seed: int,
                 out: str = "is_test") -> DataFrame:
     """Exactly ``ceil(test_fraction * n)`` test rows of each group, chosen by hash order."""
-    ranked = rank_in_groups(df, list(by), split_hash32(key, seed), [key], "__rank", "__size")
-    return ranked.withColumn(
-        out, F.col("__rank") <= F.ceil(F.lit(float(test_fraction)) * F.col("__size"))).drop("__rank", "__size")
+    wanted = F.ceil(F.lit(float(test_fraction)) * F.col("__size"))
+    return first_by_hash(df, by, split_hash32(key, seed), key, wanted, "__size", out)
 
 
 def split_success_failure(df: DataFrame, spec: TraceSpec) -> DataFrame:

@@ -13,7 +13,7 @@ from jobcast.session import store
 
 BROADCAST_ROWS = 100_000
 HASH_BITS = 32
-SLICE_BITS = 14
+SLICE_BITS = 12
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -80,27 +80,37 @@ def number_sorted(df: DataFrame, order: Sequence[str], name: str, out: str) -> t
     return numbered, before[-1]
 
 
-def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequence[str],
-                   out: str = "rank", size: str = "group_size") -> DataFrame:
-    """1-based rank by a 32-bit hash within each group, plus the group's size.
+def slice_key(by: Sequence[str]) -> Column:
+    """Group and leading hash bits as one struct.
 
-    The hash's leading bits cut every group into slices; slice counts give each slice's
-    offset and only slices are ranked by a window. A group holding most of the rows
-    is therefore spread over up to 16384 tasks, with one shuffle of the rows.
+    A struct equals another with the same NULLs, so it is a join key for nullable groups too.
     """
-    # A struct equals another with the same NULLs, so it serves as key for nullable groups; grouping,
-    # window and join share it and the rows are shuffled once.
-    group = F.struct(*by).alias("__group") if by else F.struct(F.lit(0).alias("all")).alias("__group")
-    sliced = df.withColumn("__hash", hash32).withColumn("__key", F.struct(
-        group, F.shiftright("__hash", HASH_BITS - SLICE_BITS).cast("int").alias("__slice")))
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    return F.struct(group.alias("__group"), F.shiftright("__hash", HASH_BITS - SLICE_BITS).cast("int").alias("__slice"))
+
+
+def slice_starts(sliced: DataFrame, size: str) -> DataFrame:
+    """Rows of the group before each slice, of the slice and of the whole group; keyed by ``__of``."""
     counts = sliced.groupBy(F.col("__key").alias("__of")).agg(F.count("*").alias("__n"))
-    whole = Window.partitionBy("__of.__group")
-    starts = counts.select(
-        "__of",
+    whole = Window.partitionBy("__of.__group")  # at most 4096 slices per group
+    return counts.select(
+        "__of", "__n",
         F.coalesce(F.sum("__n").over(whole.orderBy("__of.__slice").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
         F.sum("__n").over(whole).alias(size),
     )
+
+
+def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequence[str],
+                   out: str = "rank", size: str = "group_size") -> DataFrame:
+    """1-based rank by a 32-bit hash within each group, plus the group's size.
+
+    The hash's leading bits cut every group into slices; slice counts give each slice's
+    offset and only slices are ranked by a window. A group holding most of the rows
+    is therefore spread over up to 4096 tasks, and window and join share one shuffle of the rows.
+    """
+    sliced = df.withColumn("__hash", hash32).withColumn("__key", slice_key(by))
+    starts = slice_starts(sliced, size).drop("__n")
     local = sliced.withColumn("__local", F.row_number().over(
         Window.partitionBy("__key").orderBy("__hash", *tie)))
     return (
@@ -108,3 +118,27 @@ def rank_in_groups(df: DataFrame, by: Sequence[str], hash32: Column, tie: Sequen
         .withColumn(out, F.col("__before") + F.col("__local"))
         .drop("__hash", "__key", "__of", "__before", "__local")
     )
+
+
+def first_by_hash(df: DataFrame, by: Sequence[str], hash32: Column, tie: str, wanted: Column,
+                  size: str, out: str) -> DataFrame:
+    """Flag the ``wanted`` (of the group's ``size``) rows of each group that come first by hash.
+
+    Slice counts tell in which slice a group's last wanted row lies; only that
+    slice is ordered. Its hash and key are the group's limit, with which every
+    row is compared where it is: the rows are not shuffled.
+    """
+    by = list(by)
+    sliced = df.select(*by, tie, hash32.alias("__hash")).withColumn("__key", slice_key(by))
+    cut = slice_starts(sliced, size).withColumn("__rest", wanted - F.col("__before")).where(
+        (F.col("__rest") > 0) & (F.col("__rest") <= F.col("__n"))).select(F.col("__of").alias("__key"), "__rest")
+    near = attach(sliced, store(cut, "cut-slices"), ["__key"], how="inner")
+    order = Window.partitionBy("__key").orderBy("__hash", tie)
+    limits = near.withColumn("__local", F.row_number().over(order)).where(
+        F.col("__local") == F.col("__rest")).select(*by, F.struct("__hash", F.col(tie).alias("__tie")).alias("__limit"))
+    mine = F.struct(hash32.alias("__hash"), F.col(tie).alias("__tie"))
+    if by:
+        limited = attach(df, store(limits, "limits"), by)
+    else:
+        limited = df.withColumn("__limit", limits.scalar())
+    return limited.withColumn(out, F.coalesce(mine <= F.col("__limit"), F.lit(False))).drop("__limit")
