@@ -36,4 +36,4 @@ from jobcast.sources.traces import scan_csv_bz2_trace, scan_parquet_trace
 from jobcast.spec import EAGLE, FUGAKU, M100, TraceSpec
 from jobcast.streaming.jobs import run_available, stream_suggest, stream_window_stats
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [name for name, value in list(globals().items()) if callable(value) or isinstance(value, TraceSpec)]

@@ -7,7 +7,7 @@ from importlib import import_module
 from jobcast.checks.registry import ORACLES, QUERIES
 
 SECTIONS = ("sources", "scalars", "filters", "windows", "aggregates", "ordering", "sampling",
-            "clustering", "training", "pipelines", "streams")
+            "clustering", "training", "plans", "streams")
 for _section in SECTIONS:
     import_module(f"jobcast.checks.{_section}")
 

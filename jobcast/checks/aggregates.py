@@ -249,7 +249,7 @@ m as (select window_start, jnam, avg(run_time) as pred from w where not is_test
 select job_id, window_start, jnam, round(pred, 6) as pred, run_time as act
 from w join m using (window_start, jnam) where is_test""")
 def _mean(spark, sf_dir):
-    from jobcast.checks.pipelines import split_windows
+    from jobcast.checks.plans import split_windows
 
     rows = split_windows(spark, sf_dir)
     out = M.group_mean_predictor(rows.where(~F.col("is_test")), rows.where("is_test"), "run_time",

@@ -28,14 +28,31 @@ def _group(spark, sf_dir):
         "job_id", "cluster_rank", "n_jobs", "center_nodes", "center_memory"))
 
 
-@query("wcss_curve")
+SIDES = """
+, p0 as (select k % 2 as q, (run_time - min(run_time) over ()) / (max(run_time) over () - min(run_time) over ()) as r
+  from finished),
+p as (select q, r, q * q + r * r as sq from p0),
+s as (select q, count(*) as n, avg(q) as mq, avg(r) as mr, avg(sq) as ms from p group by q)
+"""
+
+
+def sides(spark, sf_dir):
+    """Two queues far apart, for which the best two groups are known."""
+    return finished(spark, sf_dir).select(((F.col("k") % 2) * 1000).alias("queue"), "run_time")
+
+
+@query("wcss_curve", SIDES + """
+select 2 as k, round(sum(power(p.q - mq, 2) + power(r - mr, 2)), 6) as wcss from p join s on s.q = p.q""")
 def _wcss(spark, sf_dir):
-    return C.wcss_curve(finished(spark, sf_dir), SPEC.features, MAX_K)
+    return rounded(C.wcss_curve(sides(spark, sf_dir), ["queue", "run_time"], 2))
 
 
-@query("silhouette_curve")
+@query("silhouette_curve", SIDES + """
+, d as (select (o.ms - 2 * (p.q * o.mq + r * o.mr) + sq) * o.n / (o.n - 1) as a,
+    t.ms - 2 * (p.q * t.mq + r * t.mr) + sq as b from p join s o on o.q = p.q join s t on t.q <> p.q)
+select 2 as k, round(avg((b - a) / greatest(a, b)), 6) as silhouette from d""")
 def _silhouette(spark, sf_dir):
-    return C.silhouette_curve(finished(spark, sf_dir), SPEC.features, MAX_K)
+    return rounded(C.silhouette_curve(sides(spark, sf_dir), ["queue", "run_time"], 2))
 
 
 @query("silhouette_exact", """

@@ -31,6 +31,31 @@ def fugaku_trace(df):
                      "cnumat", "usctmut", "mmszu", F.col("run_time").alias("duration"))
 
 
+def m100_trace(df):
+    hour = lambda c: F.date_format(c, "yyyy:MM:dd HH")
+    return df.select(
+        F.col("job_id").alias("array_job_id"), F.col("usr").alias("cpus_alloc_layout"),
+        hour("edt").alias("end_time"), (F.col("user_id") % 7).alias("group_id"), "job_id",
+        F.col("jnam").alias("nodes"), F.col("cnumr").alias("num_cpus"), F.col("nnumr").alias("num_nodes"),
+        "partition", F.col("k").alias("priority"), "qos", hour("sdt").alias("start_time"),
+        hour("adt").alias("submit_time"), "time_limit_str", "user_id",
+        F.upper("exit_state").alias("job_state"))
+
+
+def eagle_trace(df):
+    return df.select(
+        "job_id",
+        F.when(F.col("exit_state") == "failed", "TIMEOUT").otherwise(F.upper("exit_state")).alias("state"),
+        F.col("usr").alias("user"),
+        F.when(F.col("k") % 10 != 3, F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string"))).alias("account"),
+        "partition", "qos", F.col("jnam").alias("name"), F.concat(F.lit("/home/"), "usr").alias("work_dir"),
+        F.concat(F.lit("sbatch, "), "jnam", F.lit(" -n "), F.col("k").cast("string")).alias("submit_line"),
+        F.date_format("adt", SECOND).alias("submit_time"), F.date_format("sdt", SECOND).alias("start_time"),
+        F.date_format("edt", SECOND).alias("end_time"), "run_time", F.col("elpl").alias("wallclock_req"),
+        F.col("cnumr").alias("processors_req"), F.col("mszl").alias("mem_req"), F.col("nnumr").alias("nodes_req"),
+        F.col("cnumat").alias("gpus_req"))
+
+
 @query("preprocess_fugaku", """
 , s as (select * from jobs where exit_state = 'completed' and run_time is distinct from 0)
 select dense_rank() over (order by jid) - 1 as jid, dense_rank() over (order by usr) - 1 as usr,
@@ -55,14 +80,7 @@ select job_id as array_job_id, usr as cpus_alloc_layout, end_time, user_id % 7 a
 from s where exit_state = 'completed' and execution_time is distinct from 0""")
 def _m100(spark, sf_dir):
     path = fresh_path(spark, "trace")
-    hour = lambda c: F.date_format(c, "yyyy:MM:dd HH")
-    jobs(spark, sf_dir).select(
-        F.col("job_id").alias("array_job_id"), F.col("usr").alias("cpus_alloc_layout"),
-        hour("edt").alias("end_time"), (F.col("user_id") % 7).alias("group_id"), "job_id",
-        F.col("jnam").alias("nodes"), F.col("cnumr").alias("num_cpus"), F.col("nnumr").alias("num_nodes"),
-        "partition", F.col("k").alias("priority"), "qos", hour("sdt").alias("start_time"),
-        hour("adt").alias("submit_time"), "time_limit_str", "user_id",
-        F.upper("exit_state").alias("job_state")).write.parquet(path)
+    m100_trace(jobs(spark, sf_dir)).write.parquet(path)
     return preprocess_m100(spark, path)
 
 
@@ -75,19 +93,12 @@ select dense_rank() over (order by job_id::varchar) - 1 as job_id, 'COMPLETED' a
   dense_rank() over (order by partition) - 1 as partition, dense_rank() over (order by qos) - 1 as qos,
   dense_rank() over (order by jnam) - 1 as name, dense_rank() over (order by '/home/' || usr) - 1 as work_dir,
   dense_rank() over (order by 'sbatch, ' || jnam || ' -n ' || k) - 1 as submit_line,
-  submit as submit_time, start as start_time, run_time, elpl as wallclock_req,
+  submit as submit_time, start as start_time, strftime(edt, '%Y-%m-%d %H:%M:%S') as end_time, run_time,
+  elpl as wallclock_req, cnumr as processors_req, mszl as mem_req, nnumr as nodes_req, cnumat as gpus_req,
   (epoch_us(start) - epoch_us(submit)) / 1e6 as wait_time from t""")
 def _eagle(spark, sf_dir):
     path = fresh_path(spark, "trace")
-    trace_rows = jobs(spark, sf_dir).select(
-        "job_id",
-        F.when(F.col("exit_state") == "failed", "TIMEOUT").otherwise(F.upper("exit_state")).alias("state"),
-        F.col("usr").alias("user"),
-        F.when(F.col("k") % 10 != 3, F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string"))).alias("account"),
-        "partition", "qos", F.col("jnam").alias("name"), F.concat(F.lit("/home/"), "usr").alias("work_dir"),
-        F.concat(F.lit("sbatch, "), "jnam", F.lit(" -n "), F.col("k").cast("string")).alias("submit_line"),
-        F.date_format("adt", SECOND).alias("submit_time"), F.date_format("sdt", SECOND).alias("start_time"),
-        "run_time", F.col("elpl").alias("wallclock_req"))
+    trace_rows = eagle_trace(jobs(spark, sf_dir))
     trace_rows.write.option("header", True).option("compression", "bzip2").csv(path)
     success, _ = preprocess_eagle(spark, path, trace_rows.schema)
     return success

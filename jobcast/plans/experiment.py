@@ -88,8 +88,9 @@ def as_results(preds: DataFrame, spec: TraceSpec) -> DataFrame:
         preds = preds.withColumn("cluster", F.lit(None).cast("int"))
     if "req" not in preds.columns:
         preds = preds.withColumn("req", F.lit(None).cast("double"))
-    named = preds.withColumnRenamed(spec.key, "job_id").withColumns({
-        "trace": F.lit(spec.name), "target": F.lit(spec.target),
+    keyed = preds.withColumnRenamed(spec.key, "job_id")
+    named = keyed.withColumns({
+        "job_id": F.col("job_id").cast("bigint"), "trace": F.lit(spec.name), "target": F.lit(spec.target),
         "window_size": F.lit(spec.window_days), "window_start": F.col("window_start").cast("timestamp_ntz")})
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     return named.select(*names)

@@ -72,18 +72,18 @@ def on_log_scale(variant: str) -> bool:
     return VARIANTS[variant][0] != "rf"
 
 
-def clean_rows(df: DataFrame, features: Sequence[str], target: str,
+def clean_rows(df: DataFrame, features: Sequence[str], target: str, key: str,
                complete_on: Sequence[str] | None = None) -> DataFrame:
-    """Rows without a gap in any column (or in ``complete_on``), with numeric features."""
+    """Rows without a gap in any column (or in ``complete_on``); features as doubles, unless one is the key."""
     whole = drop_incomplete(inf_to_null(df), complete_on)
-    return whole.withColumns({c: F.col(c).cast("double") for c in {*features, target}})
+    return whole.withColumns({c: F.col(c).cast("double") for c in {*features, target} - {key}})
 
 
 def prepare_rows(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = GROUP,
                  key: str = "job_id", request: str | None = None, keep: Sequence[str] = (),
                  complete_on: Sequence[str] | None = None) -> DataFrame:
     """Clean rows with their validation flag, stored by group so that a fit reads its own group only."""
-    rows = clean_rows(df, features, target, complete_on)
+    rows = clean_rows(df, features, target, key, complete_on)
     if request:
         rows = rows.withColumn("req", F.col(request).cast("double"))
     extra = ["req"] if request else []
