@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobcast.checks.registry import SPEC, jobs, preds, query, rounded, window_preds
+from jobcast.checks.registry import SPEC, jobs, kept, preds, query, rounded, window_preds
 from jobcast.checks.windows import CENTER_VIEW, CENTERS
 from jobcast.functions.labels import format_bounds_label, format_error_label
 from jobcast.functions.scalar import hours_minutes_units, overestimation_factor
@@ -81,7 +81,8 @@ select window_start, model, round(avg(short), 4) as mean, round(any_value(mad),
   round(stddev_pop(short), 4) as std_dev, round(2 * stddev_pop(short), 4) as two_sigma, count(short) as n_under
 from u join d using (window_start, model) group by all""")
 def _bias(spark, sf_dir):
-    plain = window_preds(spark, sf_dir).where(F.col("bias") == "none")
+    plain = kept(window_preds(spark, sf_dir).where(F.col("bias") == "none").select(
+        "window_start", "model", "act", "pred"))
     return rounded(M.underpred_bias(plain, ["window_start", "model"]), 4)
 
 
@@ -180,7 +181,7 @@ select model, bias, act_range, [0, 3600, 21600, 43200, 86400, 172800][act_range
   round(median(m), 4) as median_error_min, case when median(m) > 60 then format('{:.1f} hours', median(m) / 60)
     else format('{:.1f} minutes', median(m)) end as error_label from w group by all""")
 def _median(spark, sf_dir):
-    medians = M.median_error_by_range(window_preds(spark, sf_dir), by=["model", "bias"])
+    medians = M.median_error_by_range(kept(window_preds(spark, sf_dir)), by=["model", "bias"])
     labelled = format_error_label(format_bounds_label(medians, "range_from", "range_to"), "median_error_min")
     return rounded(labelled, 4)
 
@@ -216,7 +217,7 @@ def _kde(spark, sf_dir):
         F.struct("model", F.col("overestimation_factor").alias("factor")),
         F.struct(F.when(F.col("model") == "request_half", "user_request").alias("model"),
                  F.col("user_overestimation_factor").alias("factor")))
-    tall = factors.select(F.inline(series)).where(F.col("model").isNotNull())
+    tall = kept(factors.select(F.inline(series)).where(F.col("model").isNotNull()))
     return rounded(M.kde_density(tall, "factor", ["model"]))
 
 
@@ -236,7 +237,7 @@ select job_id, p.model, act, req, t.bias, round(pred + case t.bias when 'none' t
 from preds p join b on b.model = p.model join m on m.model = p.model
   cross join (values ('none'), ('mean'), ('mad'), ('std_dev'), ('two_sigma')) t(bias)""")
 def _apply(spark, sf_dir):
-    plain = preds(spark, sf_dir).select("job_id", "model", "act", "req", "pred")
+    plain = kept(preds(spark, sf_dir).select("job_id", "model", "act", "req", "pred"))
     biases = M.underpred_bias(plain, ["model"])
     return rounded(M.apply_bias(plain, biases, M.BIAS_TYPES, ["model"]), 4)
 

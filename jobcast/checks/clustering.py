@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobcast.checks.registry import SPEC, finished, jobs, query, rounded
+from jobcast.checks.registry import SPEC, finished, jobs, kept, query, rounded
 from jobcast.operators import cluster as C
 
 MAX_K = 5
@@ -15,9 +15,9 @@ select job_id, side as cluster_rank, count(*) over (partition by side) as n_jobs
   round(avg(m) over (partition by side), 6) as center_memory from p""")
 def _group(spark, sf_dir):
     """Two queues far apart, so that the best grouping is known; ids are ranked by centre."""
-    rows = finished(spark, sf_dir).select(
+    rows = kept(finished(spark, sf_dir).select(
         "job_id", "nnumr", ((F.col("k") % 2) * 1000).cast("double").alias("queue"),
-        (F.col("mszl") / 16384).alias("memory"))
+        (F.col("mszl") / 16384).alias("memory")))
     placed, model = C.kmeans_group_jobs(rows, ["queue", "nnumr", "memory"], 2)
     ranked = sorted(range(2), key=lambda i: model.clusterCenters()[i][0])
     centers = spark.createDataFrame(
@@ -38,7 +38,7 @@ s as (select q, count(*) as n, avg(q) as mq, avg(r) as mr, avg(sq) as ms from p
 
 def sides(spark, sf_dir):
     """Two queues far apart, for which the best two groups are known."""
-    return finished(spark, sf_dir).select(((F.col("k") % 2) * 1000).alias("queue"), "run_time")
+    return kept(finished(spark, sf_dir).select(((F.col("k") % 2) * 1000).alias("queue"), "run_time"))
 
 
 @query("wcss_curve", SIDES + """
@@ -76,4 +76,4 @@ def _exact(spark, sf_dir):
 
 @query("optimal_k")
 def _optimal(spark, sf_dir):
-    return C.optimal_k(finished(spark, sf_dir), SPEC.features, MAX_K)
+    return C.optimal_k(kept(finished(spark, sf_dir).select(*SPEC.features)), SPEC.features, MAX_K)

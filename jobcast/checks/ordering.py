@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobcast.checks.registry import FIRST, LAST, jobs, query
+from jobcast.checks.registry import FIRST, LAST, jobs, kept, query
 from jobcast.operators import encode as E
 from jobcast.operators.windows import assign_windows_tumbling
 
@@ -34,7 +34,8 @@ def curves(spark, sf_dir):
   dense_rank() over (order by case when mszl is null then 'nan' else mszl::varchar end) - 1 as mszl_text from jobs)
 select * from coded""")
 def _encode(spark, sf_dir):
-    rows = jobs(spark, sf_dir).select("job_id", "usr", "run_time", "jnam", "jid", F.col("mszl").alias("mszl_text"))
+    rows = kept(jobs(spark, sf_dir).select(
+        "job_id", "usr", "run_time", "jnam", "jid", F.col("mszl").alias("mszl_text")))
     native = E.label_encode(rows, ["usr", "run_time", "jnam", "jid"])
     return E.label_encode(native, ["mszl_text"], as_string=True)
 

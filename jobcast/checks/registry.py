@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobcast.operators.windows import assign_windows_tumbling
+from jobcast.session import store
 from jobcast.spec import FUGAKU
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in doubles}) if doubles else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The input of an operator that reads it several times, derived once."""
+    return store(df, "input")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobcast.checks.registry import FIRST, LAST, SPEC, finished, jobs, preds, query, rounded
+from jobcast.checks.registry import FIRST, LAST, SPEC, finished, jobs, kept, preds, query, rounded
 from jobcast.operators import sampling as R
 from jobcast.operators.windows import assign_windows_tumbling, nearest_center
 from jobcast.checks.windows import CENTER_VIEW, CENTERS
@@ -54,7 +54,7 @@ def _hash(spark, sf_dir):
 select job_id, window_start, r <= ceil(0.2::double * n) as is_test from w""")
 def _exact(spark, sf_dir):
     placed = assign_windows_tumbling(jobs(spark, sf_dir), "edt", 3, FIRST, LAST).select("job_id", "window_start")
-    return R.split_exact(placed, "job_id", ["window_start"], 0.2, 33)
+    return R.split_exact(kept(placed), "job_id", ["window_start"], 0.2, 33)
 
 
 @query("equal_width_bins", BINNED + "select job_id, jnam, run_time, bin from binned")
@@ -70,7 +70,7 @@ picks as (select *, ('0x' || substr(md5(concat_ws(':', jnam, bin, draw, '42')),
 select n.job_id, n.jnam, n.run_time, n.bin, p.draw from picks p
 join numbered n on n.jnam = p.jnam and n.bin = p.bin and n.r = p.pick""")
 def _balanced(spark, sf_dir):
-    rows = finished(spark, sf_dir).select("job_id", "jnam", "run_time")
+    rows = kept(finished(spark, sf_dir).select("job_id", "jnam", "run_time"))
     return R.balanced_resample(rows, "run_time", ["jnam"], "job_id")
 
 
@@ -78,5 +78,5 @@ def _balanced(spark, sf_dir):
 , sizes as (select jnam, bin, count(*) as n, max(count(*)) over (partition by jnam) as most from binned group by jnam, bin)
 select job_id, jnam, run_time, bin, round(most / n, 6) as weight from binned join sizes using (jnam, bin)""")
 def _weights(spark, sf_dir):
-    rows = finished(spark, sf_dir).select("job_id", "jnam", "run_time")
+    rows = kept(finished(spark, sf_dir).select("job_id", "jnam", "run_time"))
     return R.balance_weights(rows, "run_time", ["jnam"]).withColumn("weight", F.round("weight", 6))
