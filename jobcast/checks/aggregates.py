@@ -20,8 +20,8 @@ METRICS = """, wm as (select window_size, window_start, model, bias,
   stddev_samp(act - pred) filter (pred < act) / 3600 as ur_std_hours
   from window_preds group by window_size, window_start, model, bias)
 """
-ROUND_METRICS = ", ".join(f"round({c}, 4) as {c}" for c in (
-    "rmse", "mae", "ur", "ur_total_hours", "ur_mean_hours", "ur_std_hours"))
+ROUND_METRICS = "round(ur_total_hours, 7) as ur_total_hours, " + ", ".join(
+    f"round({c}, 4) as {c}" for c in ("rmse", "mae", "ur", "ur_mean_hours", "ur_std_hours"))
 
 
 @query("count_jobs", "select exit_state, count(*) as n_jobs from jobs group by exit_state")
@@ -109,7 +109,7 @@ def _ur(spark, sf_dir):
 
 
 @query("underpred_amounts", METRICS + f"""
-select {KEYS}, round(ur_total_hours, 4) as ur_total_hours, round(ur_mean_hours, 4) as ur_mean_hours,
+select {KEYS}, round(ur_total_hours, 7) as ur_total_hours, round(ur_mean_hours, 4) as ur_mean_hours,
   round(ur_std_hours, 4) as ur_std_hours from wm""")
 def _amounts(spark, sf_dir):
     return rounded(M.underpred_amounts(window_preds(spark, sf_dir), M.EXPERIMENT_KEYS), 4)
@@ -122,7 +122,7 @@ def _metrics(spark, sf_dir):
 
 @query("average_metrics", METRICS + """
 select window_size, model, bias, round(avg(rmse), 4) as avg_rmse, round(avg(mae), 4) as avg_mae,
-  round(avg(ur), 4) as avg_ur, round(avg(ur_total_hours), 4) as avg_ur_total_hours,
+  round(avg(ur), 4) as avg_ur, round(avg(ur_total_hours), 7) as avg_ur_total_hours,
   round(avg(ur_mean_hours), 4) as avg_ur_mean_hours, round(avg(ur_std_hours), 4) as avg_ur_std_hours
 from wm group by all""")
 def _averages(spark, sf_dir):
@@ -139,8 +139,8 @@ def _pooled(spark, sf_dir):
 
 
 @query("overprediction_totals", """
-select model, bias, round(coalesce(sum(req - act) filter (act < req), 0) / 3600, 4) as user_over_hours,
-  round(coalesce(sum(pred - act) filter (act < pred), 0) / 3600, 4) as model_over_hours
+select model, bias, round(coalesce(sum(req - act) filter (act < req), 0) / 3600, 7) as user_over_hours,
+  round(coalesce(sum(pred - act) filter (act < pred), 0) / 3600, 7) as model_over_hours
 from window_preds group by all""")
 def _totals(spark, sf_dir):
     return rounded(M.overprediction_totals(window_preds(spark, sf_dir), ["model", "bias"]), 4)

@@ -169,9 +169,9 @@ def _grouped_ensembles(spark, sf_dir):
 averages as (select window_size, model, bias, count(*) as n_windows, avg(rmse) as rmse, avg(mae) as mae, avg(ur) as ur,
   avg(ur_total_hours) as t, avg(ur_mean_hours) as me, avg(ur_std_hours) as s from wm group by all)
 select window_size, model, bias, n_windows, round(rmse, 4) as avg_rmse, round(mae, 4) as avg_mae, round(ur, 4) as avg_ur,
-  round(t, 4) as avg_ur_total_hours, round(me, 4) as avg_ur_mean_hours, round(s, 4) as avg_ur_std_hours, n_jobs, n_under,
+  round(t, 7) as avg_ur_total_hours, round(me, 4) as avg_ur_mean_hours, round(s, 4) as avg_ur_std_hours, n_jobs, n_under,
   round(100 - 100.0::double * n_under / n_jobs, 4) as success_rate, round(100.0::double * n_under / n_jobs, 4) as under_rate,
-  round(u, 4) as user_over_hours, round(m, 4) as model_over_hours
+  round(u, 7) as user_over_hours, round(m, 7) as model_over_hours
 from averages join pooled using (window_size, model, bias)""")
 def _evaluate(spark, sf_dir):
     return rounded(evaluate_results(window_preds(spark, sf_dir), ceil=True), 4)

@@ -32,8 +32,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded as in the SQL.
+
+    Totals in hours are multiples of 1/72,000 (or a tenth of that): with seven digits none lies half-way.
+    """
     doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(c, digits) for c in doubles}) if doubles else df
+    return df.withColumns({c: F.round(c, 7 if c.endswith(("total_hours", "over_hours")) else digits)
+                           for c in doubles}) if doubles else df
 
 
 def kept(df: DataFrame) -> DataFrame:
