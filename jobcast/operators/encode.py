@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobcast.operators.scaling import BROADCAST_ROWS, number_sorted
+from jobcast.operators.scaling import BROADCAST_BYTES, BROADCAST_ROWS, fits_broadcast, number_sorted
 
 HOT_ENTRIES = 1000
+HOT_BYTES = BROADCAST_BYTES // HOT_ENTRIES
 HASH_SPREAD = 4096
 
 
@@ -22,20 +23,20 @@ def split_hash32(key: str, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def attach_code(df: DataFrame, col: str, dictionary: DataFrame, size: int, out: str,
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add the code of ``col`` from a table ``(value, n, code)`` of ``size`` rows; no code for NULL.
+def attach_code(df: DataFrame, col: str, dictionary: DataFrame, small: bool, out: str) -> DataFrame:
+    """Add the code of ``col`` from a table ``(value, n, code)``; no code for NULL.
 
     A small dictionary is broadcast. A large one is joined by shuffle after
     its most frequent entries, at most ``HOT_ENTRIES``, have been broadcast:
     rows they cover are spread evenly instead of following their hot value.
     """
     value = F.col(col)
-    if size <= max_rows:
+    if small:
         entries = dictionary.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
         return df.join(F.broadcast(entries), value == F.col("__value"), "left").withColumn(
             out, F.col("__code")).drop("__value", "__code")
-    hot = dictionary.orderBy(F.desc("n"), "code").limit(HOT_ENTRIES).select(
+    short = F.octet_length(F.col("value").cast("string")) <= HOT_BYTES
+    hot = dictionary.where(short).orderBy(F.desc("n"), "code").limit(HOT_ENTRIES).select(
         F.col("value").alias("__hot"), F.col("code").alias("__hot_code"))
     rest = dictionary.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
     marked = df.join(F.broadcast(hot), value == F.col("__hot"), "left").withColumns({
@@ -76,13 +77,15 @@ def label_encode(df: DataFrame, cols: Sequence[str], as_string: bool = False,
     present = reduce(lambda a, b: a | b, [F.col(s).isNotNull() for s in SLOTS])
     values = df.select(F.inline(entries)).where(present).groupBy(*order).agg(F.count("*").alias("n"))
     numbered, _ = number_sorted(values, order, "categories", "place")
-    sizes = {r["which"]: r["size"] for r in
-             numbered.groupBy("which").agg(F.count("*").alias("size")).collect()}
+    measured = numbered.groupBy("which").agg(
+        F.count("*").alias("size"), F.coalesce(F.sum(F.octet_length("string")), F.lit(0)).alias("bytes")).collect()
+    sizes = {r["which"]: r["size"] for r in measured}
+    small = {r["which"] for r in measured if r["size"] <= max_rows and r["bytes"] <= BROADCAST_BYTES}
     starts = [0, *accumulate(sizes.get(i, 0) for i in range(len(cols)))]
     for i, c in enumerate(cols):
         own = numbered.where(F.col("which") == i).select(
             F.col(slots[c]).alias("value"), "n", (F.col("place") - starts[i]).alias("code"))
-        coded = attach_code(df, c, own, sizes.get(i, 0), "__new_" + c, max_rows)
+        coded = attach_code(df, c, own, i in small, "__new_" + c)
         df = coded.withColumn(c, F.coalesce("__new_" + c, F.lit(sizes.get(i, 0)))).drop("__new_" + c)
     return df
 
@@ -92,10 +95,10 @@ def first_seen_id(df: DataFrame, col: str, order_cols: Sequence[str], out: str |
     """1-based ids of the values of ``col`` in order of first appearance; NULL gives ``default``."""
     firsts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
         F.min(F.struct(*order_cols)).alias("first"), F.count("*").alias("n"))
-    numbered, size = number_sorted(firsts, ["first", "value"], "first-seen", "place")
+    numbered, _ = number_sorted(firsts, ["first", "value"], "first-seen", "place")
     entries = numbered.select("value", "n", (F.col("place") + 1).alias("code"))
     out = out or col + "_id"
-    return attach_code(df, col, entries, size, "__id", max_rows).withColumn(
+    return attach_code(df, col, entries, fits_broadcast(entries, max_rows), "__id").withColumn(
         out, F.coalesce("__id", F.lit(default))).drop("__id")
 
 

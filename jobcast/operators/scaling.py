@@ -8,24 +8,35 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobcast.session import store
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HASH_BITS = 32
 SLICE_BITS = 12
 
 
+def text_bytes(df: DataFrame) -> Column:
+    """Total bytes of all text columns."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts],
+                  F.lit(0).cast("long"))
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows; cheap on a stored or generated table."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Count at most ``max_rows + 1`` rows and their text; cheap on a stored or generated table."""
+    head = df.limit(max_rows + 1)
+    size = head.agg(F.count("*").alias("rows"), text_bytes(head).alias("bytes")).first()
+    return size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES
 
 
 def attach(df: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "left",
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``df`` to a stored table with one row per ``keys``; missing keys match each other.
 
-    The table is broadcast only after counting it. A larger one is joined by
+    The table is broadcast only after counting its rows and text. A larger one is joined by
     shuffle, where adaptive execution splits the partitions of hot keys.
     """
     renamed = dim.select(*[F.col(c).alias("__k_" + c) if c in keys else F.col(c) for c in dim.columns])

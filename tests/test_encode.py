@@ -75,3 +75,12 @@ def test_curve_choices(spark):
     # differences -40 -10 -12 -8 -5, second 30 -2 4 3: first negative at place 1
     assert codes(E.elbow_k(df), "elbow_k", "window_start") == {"bend": 3, "convex": 2}
     assert codes(E.silhouette_k(df), "silhouette_k", "window_start") == {"bend": 3, "convex": 2}
+
+
+def test_broadcast_needs_few_rows_and_little_text(spark, monkeypatch):
+    from jobcast.operators import scaling
+
+    df = spark.range(100).select(F.repeat(F.lit("x"), 50).alias("s"))
+    assert scaling.fits_broadcast(df, 100) and not scaling.fits_broadcast(df, 99)
+    monkeypatch.setattr(scaling, "BROADCAST_BYTES", 4000)
+    assert not scaling.fits_broadcast(df, 100)
