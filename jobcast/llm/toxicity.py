@@ -68,7 +68,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], tex
     what it is applied to. Of a category, the ``features`` marks (see ``word_marks``) with the largest chi-square are used. Each later
     classifier is also given the earlier categories' probabilities; for training these come from models that did not see
     the document (``folds`` folds), so that it does not trust them more than it can later. Missing labels and ids teach nothing; of
-    repeated labels the largest counts. Both values of a category weigh the same in its fit. A category with a single value gets that value's share and no weights.
+    repeated labels the largest counts. A row weighs the inverse root of its value's share, so that a rare value counts for more. A category with a single value gets that value's share and no weights.
     """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories]).dropna()
     share = min(1.0, sample_docs / max(1, known.count()))
@@ -91,7 +91,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], tex
             continue
         seen = CountVectorizerModel.from_vocabulary(marks, "marks", "seen").setBinary(True).setMinTF(1.0).transform(data)
         ready = store(VectorAssembler(inputCols=["seen", *[f"p_{e.category}" for e in chain]], outputCol="x").transform(seen).drop("seen").withColumn(
-            "weight", F.when(F.col(c) == 1, 0.5 / mean).otherwise(0.5 / (1 - mean))), "toxic-fit")
+            "weight", F.when(F.col(c) == 1, mean ** -0.5).otherwise((1 - mean) ** -0.5)), "toxic-fit")
         learner = LogisticRegression(featuresCol="x", labelCol=c, weightCol="weight", regParam=0.0005, maxIter=30, standardization=False,
                                      probabilityCol="pr", rawPredictionCol="raw", predictionCol="pred")
         last = learner.fit(ready)
