@@ -17,7 +17,7 @@ from jobcast.session import store
 CHUNK = 1 << 19
 INDEX_BITS = 20
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -105,7 +105,13 @@ class Sorted:
     """Keys of one block in order, each with the least document that has it; and where every input row went."""
 
     def __init__(self, key: np.ndarray, form: np.ndarray, doc: np.ndarray) -> None:
-        order = np.lexsort((doc, form, key))
+        lead = (key << U(24)) | (form >> U(24))  # one sort; only rows that agree so far are compared in full
+        order = np.argsort(lead)
+        tied = np.zeros(len(key) + 1, bool)
+        tied[1:-1] = np.diff(lead[order]) == 0
+        tied = np.flatnonzero(tied[1:] | tied[:-1])
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((doc[rows], form[rows], lead[rows]))]
         k, f, d = key[order], form[order], doc[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
