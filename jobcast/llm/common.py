@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -40,6 +40,34 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 
+Batches = Iterator[pa.RecordBatch]
+BLOCK_TYPE = "block long, blob binary"
+
+
+def pack(batches: Batches, block_bytes: int, text: str) -> Batches:
+    """(block, blob) inside a task; see ``pack_blocks``."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([number], pa.int64()), "blob": pa.array([_encode(pa.Table.from_batches(held))], pa.binary())})
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - before
+            at = to
+            if size >= block_bytes or at < batch.num_rows:
+                yield out()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield out()
+
+
 def pack_blocks(df: DataFrame, block_bytes: int, text: str = "text") -> DataFrame:
     """(block, blob): rows of ``df`` packed into compressed blocks of about ``block_bytes`` of text.
 
@@ -47,30 +75,12 @@ def pack_blocks(df: DataFrame, block_bytes: int, text: str = "text") -> DataFram
     over the same stored table gives the same blocks. Passes that need something back from elsewhere shuffle the
     blocks by number, compressed, and can share one such exchange.
     """
+    return df.mapInArrow(lambda batches: pack(batches, block_bytes, text), BLOCK_TYPE)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({
-                "block": pa.array([number], pa.int64()), "blob": pa.array([_encode(pa.Table.from_batches(held))], pa.binary())})
-
-        for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
-            ends, at = np.cumsum(lengths, dtype=np.int64), 0
-            while at < batch.num_rows:
-                before = int(ends[at - 1]) if at else 0
-                to = max(at + 1, int(np.searchsorted(ends, before + block_bytes - size, "right")))
-                held.append(batch.slice(at, to - at))
-                size += int(ends[to - 1]) - before
-                at = to
-                if size >= block_bytes or at < batch.num_rows:
-                    yield out()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield out()
-
-    return df.mapInArrow(run, "block long, blob binary")
+def map_blocks(df: DataFrame, block_bytes: int, each: Callable[[Batches], Batches], out_type: str, text: str = "text") -> DataFrame:
+    """``each`` over the same blocks where they arise, in the worker that packs them."""
+    return df.mapInArrow(lambda batches: each(pack(batches, block_bytes, text)), out_type)
 
 
 def bytes_of(rows: pa.Table, text: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobcast.llm.common import bytes_of, pack_blocks, parts_for, text_bytes, unpack
+from jobcast.llm.common import bytes_of, map_blocks, pack_blocks, parts_for, text_bytes, unpack
 from jobcast.session import store
 
 ORDER = 5
@@ -202,12 +202,11 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
     flagged = flagged if small else store(flagged, "kn-docs")
     total = text_bytes(docs, text)
     shards = parts_for(total, SHARD_BYTES)
-    local = pack_blocks(flagged, BLOCK_BYTES)
-    asked = store(local.mapInArrow(requests(shards), "block long, shard int, asked binary, seen binary, counts binary"), "kn-requests")
+    asked = store(map_blocks(flagged, BLOCK_BYTES, requests(shards), "block long, shard int, asked binary, seen binary, counts binary"), "kn-requests")
     counts = store(asked.groupBy("shard").applyInArrow(summed, "g long, c long"), "kn-counts")
     model = probabilities(counts).withColumn("shard", shard_column(F.col("g"), shards))
     answers = asked.select("block", "shard", "asked").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answered, "block long, codes binary, logs binary")
-    blocks = local.repartition(parts_for(total, BLOCK_BYTES), "block")
+    blocks = pack_blocks(flagged, BLOCK_BYTES).repartition(parts_for(total, BLOCK_BYTES), "block")
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         scored, "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, logprob double")
     return out.select("doc_id", "lang", "text_hash", "trusted", "n_bytes",

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobcast.llm.common import bytes_of, ids_of, pack_blocks, parts_for, text_bytes, unpack
+from jobcast.llm.common import bytes_of, ids_of, map_blocks, pack_blocks, parts_for, text_bytes, unpack
 from jobcast.session import store
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 INDEX_BITS = 20
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 4 << 20
@@ -287,8 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
     parts, shards = parts_for(total, PART_BYTES), parts_for(total, SHARD_BYTES)
     named = kept_columns.withColumnRenamed(text, "__text") if text != "text" else kept_columns
     column = "text" if text == "text" else "__text"
-    local = pack_blocks(named, BLOCK_BYTES, column)
-    blocks = local.repartition(parts, "block")
+    blocks = pack_blocks(named, BLOCK_BYTES, column).repartition(parts, "block")
 
     def rows_of(blob: bytes) -> pa.Table:
         t = unpack(blob)
@@ -302,7 +301,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
                 yield from out_runs(block, Sorted(key, form, ids_of(rows)[at]), shards).to_batches()
 
     run_type = "block long, shard int, blob binary"
-    first = store(looked_up(local.mapInArrow(emit, run_type)), "suffix-codes")
+    first = store(looked_up(map_blocks(named, BLOCK_BYTES, emit, run_type, column)), "suffix-codes")
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())]).empty_table()]
