@@ -85,7 +85,7 @@ class Entries:
         stops[:-1] = (anchor[1:] != anchor[:-1]) | ~inside[1:]
         self.last = np.flatnonzero(inside & stops)
         at = anchor[self.first]
-        self.key = grams[at]
+        self.key = mixed(grams[at] + ODD)  # anchors have small hashes, shards need even ones
         span = (sums[self.last + length] - sums[self.first]) * down[self.first]
         self.form = mixed(mixed(span) + U(3) * (at - self.first).astype(U) * ODD + (self.last - self.first).astype(U))
 
