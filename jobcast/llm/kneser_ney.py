@@ -14,10 +14,12 @@ from jobcast.llm.common import bytes_of, map_blocks, pack_blocks, parts_for, tex
 from jobcast.session import store
 
 ORDER = 5
+HELD = 5
 CHUNK = 1 << 20
 BLOCK_BYTES = 24 << 20
 SHARD_BYTES = 24 << 20
 BROADCAST_IDS = 2_000_000
+BROADCAST_LANGUAGES = 10_000
 QUANTILE = 0.995
 MARGIN = 1.05
 #: Digits count as one sign, all white space as another; every other byte is itself.
@@ -67,7 +69,7 @@ def gathered(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's different grams; those of its trusted texts and their counts."""
     rows = unpack(blob)
     data, offsets = bytes_of(rows)
-    trusted = rows.column("trusted").to_numpy().astype(bool)
+    trusted = rows.column("teaches").to_numpy().astype(bool)
     every, own, count = [], [], []
     for code, text in grams(data, offsets):
         every.append(np.unique(code))
@@ -139,7 +141,7 @@ def scored(left: pa.Table, right: pa.Table) -> pa.Table:
             each[place] = np.repeat(logs, np.diff(np.append(new, len(code))))
             start = np.flatnonzero(np.diff(text, prepend=-1))
             total[text[start]] += np.add.reduceat(each, start)
-        out.append(rows.drop_columns(["text"]).append_column("n_bytes", pa.array(np.diff(offsets))).append_column("logprob", pa.array(total)))
+        out.append(rows.drop_columns(["text", "teaches"]).append_column("n_bytes", pa.array(np.diff(offsets))).append_column("logprob", pa.array(total)))
     return pa.concat_tables(out)
 
 
@@ -186,7 +188,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, lang, text_hash, trusted, n_bytes, perplexity) for every row of ``docs``; ``trusted`` holds the trusted doc_ids.
 
-    The units are bytes: a model of order ``ORDER`` has few enough different grams for joins, whatever the language.
+    The model learns from the trusted texts but the held-out ones. The units are bytes: a model of order ``ORDER`` has few enough different grams for joins, whatever the language.
     Texts are packed into blocks. A block sends each of its different grams once, with the counts of its trusted texts,
     to the gram's shard. Shards add the counts up, the model is made of joins, and each shard answers each block with the
     log-probabilities it asked for; the texts are scored where the answers arrive. Memory follows the block and the
@@ -198,7 +200,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                       F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     flagged = own.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("__id"), "left").withColumn(
-        "trusted", F.col("__id").isNotNull()).drop("__id")
+        "trusted", F.col("__id").isNotNull()).drop("__id").withColumn("teaches", F.col("trusted") & ~held_out())
     flagged = flagged if small else store(flagged, "kn-docs")
     total = text_bytes(docs, text)
     shards = parts_for(total, SHARD_BYTES)
@@ -216,21 +218,28 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
 def classify_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``perplexities`` with ``threshold`` and ``keep`` for every row.
 
-    A language's threshold is the ``quantile`` of its trusted texts' perplexities, times ``margin``; a language (or missing
-    language) without trusted texts takes that of all trusted texts. Above it a text is rejected. Texts without
-    a perplexity, and all texts if none is trusted, are kept.
+    A language's threshold is the ``quantile`` of the perplexities of its held-out trusted texts, times ``margin``; a
+    language (or missing language) without any takes that of all. Above it a text is rejected. Texts without
+    a perplexity, and all texts if no held-out one is trusted, are kept.
     """
     scores = store(perplexities(docs, trusted, text), "kn-scores")
     at = (F.percentile_approx("perplexity", quantile, 10000) * F.lit(margin)).alias("own")
-    ours = scores.where("trusted and perplexity is not null")
+    ours = scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull())
     by = ours.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(at)
     every = ours.agg(at).first()["own"]  # one number
-    joined = scores.join(by, F.coalesce("lang", F.lit("")) == F.col("of"), "left").withColumn(
+    by = store(by, "kn-thresholds")
+    few = by.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    joined = scores.join(F.broadcast(by) if few else by, F.coalesce("lang", F.lit("")) == F.col("of"), "left").withColumn(
         "threshold", F.coalesce("own", F.lit(every).cast("double")))
     return joined.select("doc_id", "lang", "text_hash", "trusted", "n_bytes", "perplexity", "threshold",
                          F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 
 
+def held_out() -> Column:
+    """One trusted text in ``HELD``, by a hash of its id: not learned from, so that its perplexity is that of new text."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+
+
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids whose quality labels are all 1."""
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
