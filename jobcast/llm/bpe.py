@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobcast.llm.common import tidied
+
 BITS = 24
 MASK = (1 << BITS) - 1
 NONE = 1 << 62
@@ -189,7 +191,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 decoded = pa.array([c.decode(i) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], names=[*batch.schema.names, "ids", "decoded"])
 
-    return kept.mapInArrow(run, out_type)
+    return kept.mapInArrow(tidied(run), out_type)
 
 
 def digests(coded: DataFrame) -> DataFrame:

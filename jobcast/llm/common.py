@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -40,6 +42,30 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all().combine_chunks()
 
 
+def tidy() -> None:
+    """Give freed memory back: workers are reused, and what one stage freed would count against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do it by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """``f`` over batches, or over the rows of one group or of two, tidied up at its end."""
+    def drained(out):
+        yield from out
+        tidy()
+
+    def done(out):
+        if isinstance(out, Iterator):
+            return drained(out)
+        tidy()
+        return out
+
+    if f.__code__.co_argcount == 2:  # Spark looks at the number of arguments
+        return lambda left, right: done(f(left, right))
+    return lambda rows: done(f(rows))
+
+
 Batches = Iterator[pa.RecordBatch]
 BLOCK_TYPE = "block long, blob binary"
 
@@ -75,12 +101,12 @@ def pack_blocks(df: DataFrame, block_bytes: int, text: str = "text") -> DataFram
     over the same stored table gives the same blocks. Passes that need something back from elsewhere shuffle the
     blocks by number, compressed, and can share one such exchange.
     """
-    return df.mapInArrow(lambda batches: pack(batches, block_bytes, text), BLOCK_TYPE)
+    return df.mapInArrow(tidied(lambda batches: pack(batches, block_bytes, text)), BLOCK_TYPE)
 
 
 def map_blocks(df: DataFrame, block_bytes: int, each: Callable[[Batches], Batches], out_type: str, text: str = "text") -> DataFrame:
     """``each`` over the same blocks where they arise, in the worker that packs them."""
-    return df.mapInArrow(lambda batches: each(pack(batches, block_bytes, text)), out_type)
+    return df.mapInArrow(tidied(lambda batches: each(pack(batches, block_bytes, text))), out_type)
 
 
 def bytes_of(rows: pa.Table, text: str = "text") -> tuple[np.ndarray, np.ndarray]:

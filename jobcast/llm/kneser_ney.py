@@ -10,13 +10,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobcast.llm.common import bytes_of, map_blocks, pack_blocks, parts_for, text_bytes, unpack
+from jobcast.llm.common import bytes_of, map_blocks, pack_blocks, parts_for, text_bytes, tidied, unpack
 from jobcast.session import store
 
 ORDER = 5
 HELD = 5
 CHUNK = 1 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 24 << 20
 BROADCAST_IDS = 2_000_000
 BROADCAST_LANGUAGES = 10_000
@@ -205,12 +205,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
     total = text_bytes(docs, text)
     shards = parts_for(total, SHARD_BYTES)
     asked = store(map_blocks(flagged, BLOCK_BYTES, requests(shards), "block long, shard int, asked binary, seen binary, counts binary"), "kn-requests")
-    counts = store(asked.groupBy("shard").applyInArrow(summed, "g long, c long"), "kn-counts")
+    counts = store(asked.groupBy("shard").applyInArrow(tidied(summed), "g long, c long"), "kn-counts")
     model = probabilities(counts).withColumn("shard", shard_column(F.col("g"), shards))
-    answers = asked.select("block", "shard", "asked").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answered, "block long, codes binary, logs binary")
+    answers = asked.select("block", "shard", "asked").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(tidied(answered), "block long, codes binary, logs binary")
     blocks = pack_blocks(flagged, BLOCK_BYTES).repartition(parts_for(total, BLOCK_BYTES), "block")
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        scored, "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, logprob double")
+        tidied(scored), "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, logprob double")
     return out.select("doc_id", "lang", "text_hash", "trusted", "n_bytes",
                       F.when(F.col("n_bytes") > 0, F.exp(-F.col("logprob") / F.col("n_bytes"))).alias("perplexity"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobcast.llm.common import tidied
+
 BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 4000
 MAX_LANGUAGES = 256
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", docs_per_langu
         yield pa.RecordBatch.from_pydict({"lang": pa.array(lang.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "n": pa.array(both[lang, bucket])})
 
     sample = own.where(draw < share[F.col("lang")])
-    for r in sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInArrow(tidied(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < BUCKETS:
             counts[r["bucket"], r["lang"]] = r["n"]
         else:
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", switch: float =
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, span)],
                                                  names=[*b.schema.names, "lang_pred", "score", "spans"])
 
-    return kept.mapInArrow(run, out_type)
+    return kept.mapInArrow(tidied(run), out_type)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobcast.llm.common import tidied
 from jobcast.llm.components import components
 from jobcast.session import store
 
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text: str = "t
             found = [fingerprint(t.as_py(), width, words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(tidied(run), "doc_id long, fp array<long>")
 
 
 def segment(fp: Column, s: int, bits: int) -> Column:

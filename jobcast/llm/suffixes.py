@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobcast.llm.common import bytes_of, ids_of, map_blocks, pack_blocks, parts_for, text_bytes, unpack
+from jobcast.llm.common import bytes_of, ids_of, map_blocks, pack_blocks, parts_for, text_bytes, tidied, unpack
 from jobcast.session import store
 
 CHUNK = 1 << 18
 INDEX_BITS = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 U = np.uint64
@@ -216,7 +216,7 @@ def shard_scan(t: pa.Table) -> pa.Table:
 
 
 def looked_up(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("shard").applyInArrow(shard_scan, "block long, shard int, codes binary")
+    return runs.groupBy("shard").applyInArrow(tidied(shard_scan), "block long, shard int, codes binary")
 
 
 def entries_of(rows: pa.Table, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, list[Entries], np.ndarray, np.ndarray, np.ndarray]:
@@ -309,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
             out.append(out_runs(block, partial_windows(right, rows_of(blob.as_py()), length, gram, shards)[-1], shards))
         return pa.concat_tables(out)
 
-    windows = looked_up(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(second, run_type))
+    windows = looked_up(blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(tidied(second), run_type))
     both = first.withColumn("round", F.lit(1)).unionByName(windows.withColumn("round", F.lit(2)))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out_type = T.StructType([*kept_columns.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
         return pa.concat_tables(out) if out else empty
 
     empty = spark.createDataFrame([], out_type).toArrow()
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(last, out_type)
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(tidied(last), out_type)
 
 
 def digests(found: DataFrame) -> DataFrame:

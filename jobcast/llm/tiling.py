@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobcast.llm.common import tidied
 from jobcast.session import store
 
 SEED_WORDS = 5
@@ -196,7 +197,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 rows = [r for i, t in zip(b.column(0).to_pylist(), b.column(1)) for r in shared.value.match(i, tokens(t.as_py()), coverage)]
                 yield pairs_batch(rows)
 
-        return own.mapInArrow(scan, PAIR_TYPE)
+        return own.mapInArrow(tidied(scan), PAIR_TYPE)
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     # rows are told apart by id and text: either may repeat
     marked = [store(d.groupBy(c, "text").agg(F.count("*").alias("times")).withColumn("id", F.xxhash64(c, "text")), n)
               for d, c, n in ((own, "doc_id", "tile-docs"), (items, "item_id", "tile-items"))]
-    left, right = [m.select("id", "text").mapInArrow(seeds, "id long, seed long") for m in marked]
+    left, right = [m.select("id", "text").mapInArrow(tidied(seeds), "id long, seed long") for m in marked]
     met = left.join(right.withColumnRenamed("id", "item"), "seed").select("id", "item").distinct()
     paired = met.join(marked[0], "id").select("item", F.col("doc_id"), F.col("text").alias("doc_text"), F.col("times").alias("doc_times")) \
         .join(marked[1].withColumnRenamed("id", "item"), "item").select("doc_id", "doc_text", "item_id", "text", F.explode(F.array_repeat(F.lit(1), (F.col("doc_times") * F.col("times")).cast("int"))))
@@ -217,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             for d, dt, i, it, _ in zip(*[c.to_pylist() for c in b.columns]):
                 yield pairs_batch(list(Items([(i, it)], size).match(d, tokens(dt), coverage)))
 
-    return paired.mapInArrow(tile, PAIR_TYPE)
+    return paired.mapInArrow(tidied(tile), PAIR_TYPE)
 
 
 def pairs_batch(rows: list[tuple]) -> pa.RecordBatch:

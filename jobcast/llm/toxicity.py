@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobcast.llm.common import tidied
 from jobcast.session import store
 
 WORDS = re.compile(r"[^\W\d_]+")
@@ -41,7 +42,7 @@ def with_marks(docs: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.string()))], names=[*columns, "marks"])
 
     own = docs.select(*columns, F.col(text).alias("__text"))
-    return own.mapInArrow(run, T.StructType(own.drop("__text").schema.fields).add("marks", T.ArrayType(T.StringType())))
+    return own.mapInArrow(tidied(run), T.StructType(own.drop("__text").schema.fields).add("marks", T.ArrayType(T.StringType())))
 
 
 class Link:
@@ -157,4 +158,4 @@ def score_chain(docs: DataFrame, chain: Sequence[Link], text: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[k] for r in rows], pa.float64()) for k in range(len(names))]],
                                              names=[*b.schema.names, *names])
 
-    return kept.mapInArrow(run, out_type)
+    return kept.mapInArrow(tidied(run), out_type)
