@@ -18,8 +18,8 @@ HASH_SPREAD = 4096
 
 
 def split_hash32(key: str, seed: int):
-    """The 32-bit number behind hash splits and samples: the same on every engine and run."""
-    text = F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))
+    """The 32-bit number behind hash splits and samples: the same on every engine and run; a missing key counts as an empty one."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -66,8 +66,10 @@ def label_encode(df: DataFrame, cols: Sequence[str], as_string: bool = False,
 
     With ``as_string`` values are ordered as text and a missing one is the text
     ``nan``; otherwise they keep their own order and a missing one comes last.
-    One pass over the trace collects the categories of all columns.
+    NaN is a missing value too. One pass over the trace collects the categories of all columns.
     """
+    floats = [c for c in cols if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
     if as_string:
         df = df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
     slots = {c: slot_of(df.schema[c].dataType) for c in cols}

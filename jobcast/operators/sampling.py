@@ -14,6 +14,7 @@ from jobcast.session import store
 from jobcast.spec import TraceSpec
 
 CHUNK = 100_000
+DRAWS_PER_KEY = 1000
 
 
 def split_hash(df: DataFrame, key: str, test_fraction: float, seed: int, out: str = "is_test") -> DataFrame:
@@ -23,7 +24,12 @@ def split_hash(df: DataFrame, key: str, test_fraction: float, seed: int, out: st
 
 def split_exact(df: DataFrame, key: str, by: Sequence[str], test_fraction: float, seed: int,
                 out: str = "is_test") -> DataFrame:
-    """Exactly ``ceil(test_fraction * n)`` test rows of each group, chosen by hash order."""
+    """Exactly ``ceil(test_fraction * n)`` test rows of each group, chosen by hash order.
+
+    Keys tell rows apart, so a missing one fails the job.
+    """
+    df = df.withColumn(key, F.coalesce(F.col(key), F.raise_error(F.lit(f"split_exact needs a {key} in every row")).cast(
+        df.schema[key].dataType)))
     wanted = F.ceil(F.lit(float(test_fraction)) * F.col("__size"))
     return first_by_hash(df, by, split_hash32(key, seed), key, wanted, "__size", out)
 
@@ -68,8 +74,9 @@ def balanced_resample(df: DataFrame, target: str, by: Sequence[str], key: str,
     """Draw with replacement until each non-empty target bin has the size of its group's largest.
 
     Draw ``j`` of a bin takes the row whose place in the bin comes from a hash
-    of (group, bin, j). Places and draws are both spread over all tasks, also when
-    one bin holds most rows: the join key is the place, not the bin.
+    of (group, bin, j). The join key is the place, not the bin, so a bin that holds most rows is spread. In a bin of few
+    rows each is drawn often: there every row is repeated under several salts, and draws are dealt over these, so that
+    no key gets more than about ``DRAWS_PER_KEY`` draws on average.
     """
     by = list(by)
     keys = [*by, "bin"]
@@ -81,13 +88,16 @@ def balanced_resample(df: DataFrame, target: str, by: Sequence[str], key: str,
         F.lit(0).cast("long"), F.floor((F.col("max_bin") - 1) / F.lit(CHUNK))))).repartition("__chunk", *keys)
     draws = chunks.withColumn("draw", F.explode(F.sequence(
         F.col("__chunk") * CHUNK + 1, F.least(F.col("max_bin"), (F.col("__chunk") + 1) * CHUNK))))
+    salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("max_bin") / (F.col("bin_n") * F.lit(DRAWS_PER_KEY))))
+    placed = attach(placed, sizes.select(*keys, salts.alias("__salts")), keys).withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
     text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys],
                        F.col("draw").cast("string"), F.lit(str(seed)))
     pick = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") % F.col("bin_n") + 1
-    picked = draws.select(*[F.col(k).alias("__d_" + k) for k in keys], "draw", pick.alias("__pick"))
+    picked = draws.select(*[F.col(k).alias("__d_" + k) for k in keys], "draw", pick.alias("__pick"), (F.col("draw") % salts).alias("__draw_salt"))
     on = reduce(lambda a, b: a & b, [placed[k].eqNullSafe(picked["__d_" + k]) for k in keys],
-                placed["__place"] == picked["__pick"])
-    return placed.join(picked, on).drop("__place", "__pick", *["__d_" + k for k in keys])
+                (placed["__place"] == picked["__pick"]) & (placed["__salt"] == picked["__draw_salt"]))
+    return placed.join(picked, on).drop("__place", "__pick", "__salt", "__draw_salt", *["__d_" + k for k in keys])
 
 
 def balance_weights(df: DataFrame, target: str, by: Sequence[str], n_bins: int = 10,

@@ -11,14 +11,15 @@ METRICS = ("rmse", "mae", "ur", "ur_total_hours", "ur_mean_hours", "ur_std_hours
 
 
 def evaluate_results(preds: DataFrame, ceil: bool = False) -> DataFrame:
-    """Per window size, model and buffer: mean window metrics, pooled rates and over-prediction totals.
+    """Per trace and target (where the frame has them), window size, model and buffer: mean window metrics, pooled rates and over-prediction totals.
 
     The predictions are read once: a per-window aggregate carries both the
     window metrics and the counts and sums that the pooled figures add up.
     """
+    of = [c for c in ("trace", "target") if c in preds.columns]
     up = F.ceil("pred").cast("double") if ceil else F.col("pred")
     act, req = F.col("act"), F.col("req")
-    per_window = preds.groupBy("window_size", "window_start", "model", "bias").agg(
+    per_window = preds.groupBy(*of, "window_size", "window_start", "model", "bias").agg(
         rmse_of().alias("rmse"), F.avg(F.abs(act - F.col("pred"))).alias("mae"),
         under_ratio_of().alias("ur"), *under_amounts_of(),
         F.count("*").alias("n"), F.count_if(up < act).alias("n_short"),
@@ -26,7 +27,7 @@ def evaluate_results(preds: DataFrame, ceil: bool = False) -> DataFrame:
         F.sum(F.when(act < up, up - act)).alias("model_over"),
     )
     share = F.lit(100.0) * F.sum("n_short") / F.sum("n")
-    return per_window.groupBy("window_size", "model", "bias").agg(
+    return per_window.groupBy(*of, "window_size", "model", "bias").agg(
         F.count("*").alias("n_windows"),
         *[F.avg(c).alias("avg_" + c) for c in METRICS],
         F.sum("n").alias("n_jobs"), F.sum("n_short").alias("n_under"),

@@ -18,7 +18,7 @@ from jobcast.operators.sampling import split_exact, split_hash
 from jobcast.operators.windows import assign_windows_sliding, nearest_center, window_table
 from jobcast.plans.train import FIT_THREADS, GROUP, fit_and_score, of_group, prepare_rows
 from jobcast.session import fresh_path, store
-from jobcast.sources.predictions import SCHEMA, scan_predictions, sink_predictions
+from jobcast.sources.predictions import SCHEMA, drop_stale, scan_predictions, sink_predictions
 from jobcast.spec import TraceSpec
 
 TEST_FRACTION = 0.2
@@ -90,7 +90,7 @@ def as_results(preds: DataFrame, spec: TraceSpec) -> DataFrame:
         preds = preds.withColumn("req", F.lit(None).cast("double"))
     keyed = preds.withColumnRenamed(spec.key, "job_id")
     named = keyed.withColumns({
-        "job_id": F.col("job_id").cast("bigint"), "trace": F.lit(spec.name), "target": F.lit(spec.target),
+        "trace": F.lit(spec.name), "target": F.lit(spec.target),
         "window_size": F.lit(spec.window_days), "window_start": F.col("window_start").cast("timestamp_ntz")})
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     return named.select(*names)
@@ -119,5 +119,10 @@ def experiment_grouped(df: DataFrame, spec: TraceSpec, preset: str = "reference"
 def kept_results(preds: DataFrame, spec: TraceSpec, root: str | None, models: Sequence[str]) -> DataFrame:
     spark = preds.sparkSession
     root = root or fresh_path(spark, "predictions")
-    sink_predictions(as_results(preds, spec), root)
-    return scan_predictions(spark, root, models, spec.biases)
+    results = store(as_results(preds, spec), "results")
+    sink_predictions(results, root)
+    windows = [r[0] for r in results.select(F.col("window_start").cast("string")).distinct().collect()]  # one row per window
+    drop_stale(spark, root, {"trace": [spec.name], "target": [spec.target], "model": models, "bias": spec.biases,
+                             "window_size": [spec.window_days]}, windows)
+    schema = SCHEMA.replace("job_id bigint", f"job_id {results.schema['job_id'].dataType.simpleString()}")
+    return scan_predictions(spark, root, models, spec.biases, windows, schema, [spec.name], [spec.target], [spec.window_days])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,34 @@ def sink_predictions(df: DataFrame, root: str) -> None:
      .partitionBy(*PARTITIONS).parquet(root))
 
 
+def drop_stale(spark: SparkSession, root: str, fixed: dict[str, Sequence], windows: Sequence) -> None:
+    """Delete windows that an earlier run of the same experiments left and that are not among ``windows``.
+
+    ``fixed`` gives the values of the other partition columns; partitions of other experiments stay.
+    """
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path("/".join([root.rstrip("/"), *[f"{c}=*" for c in PARTITIONS]]))
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    current = {str(w) for w in windows}
+    for status in fs.globStatus(pattern) or []:
+        path = status.getPath()
+        values = dict(unquote(part).split("=", 1) for part in path.toString().split("/")[-len(PARTITIONS):])
+        same = all(values[c] in {str(x) for x in chosen} for c, chosen in fixed.items())
+        if same and values["window_start"] not in current:
+            fs.delete(path, True)
+
+
 def scan_predictions(spark: SparkSession, root: str, models: Sequence[str] | None = None,
                      biases: Sequence[str] | None = None, windows: Sequence | None = None,
-                     schema: str = SCHEMA) -> DataFrame:
-    """Results of the chosen experiments; other partitions are not read."""
+                     schema: str = SCHEMA, traces: Sequence[str] | None = None, targets: Sequence[str] | None = None,
+                     window_sizes: Sequence[int] | None = None) -> DataFrame:
+    """Results of the chosen experiments; other partitions are not read.
+
+    Job ids are read as whole numbers; pass a ``schema`` with another type for traces that name jobs otherwise.
+    """
     df = spark.read.schema(schema).parquet(root)
-    for name, chosen in (("model", models), ("bias", biases), ("window_start", windows)):
+    for name, chosen in (("model", models), ("bias", biases), ("window_start", windows), ("trace", traces),
+                         ("target", targets), ("window_size", window_sizes)):
         if chosen is not None:
             kind = df.schema[name].dataType
             df = df.where(F.col(name).isin(*[F.lit(str(x)).cast(kind) for x in chosen]))

@@ -17,17 +17,16 @@ def only(df):
 
 
 @pytest.mark.parametrize("p", [0.5, 0.25, 0.0, 1.0, 0.9])
-@pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_exact_quantile(spark, p, one_task_rows):
+def test_exact_quantile(spark, p):
     rng = np.random.default_rng(1)
     groups = {"one": [4.0], "two": [1.0, 2.0], "same": [3.0] * 50, None: [1.0, 5.0, 2.0],
               "big": (rng.lognormal(size=30_001) * 100).tolist(), "ties": rng.integers(0, 3, 30_000).astype(float).tolist()}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("two", None)], "g string, v double")
-    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", ["g"], p, one_task_rows=one_task_rows).collect()}
+    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", ["g"], p).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert got[g] == pytest.approx(np.quantile(vs, p), rel=1e-12)
-    whole = only(exact_quantile(df.where("g = 'big'"), "v", [], p, one_task_rows=one_task_rows))
+    whole = only(exact_quantile(df.where("g = 'big'"), "v", [], p))
     assert whole["quantile"] == pytest.approx(np.quantile(groups["big"], p), rel=1e-12)
 
 
