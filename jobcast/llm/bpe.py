@@ -22,7 +22,7 @@ from jobcast.llm.common import tidied
 BITS = 24
 MASK = (1 << BITS) - 1
 NONE = 1 << 62
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 SLICE = 256
 #: From here on Unicode versions classify code points differently.
 LATER = re.compile("[\u0558-\U0010ffff]")
@@ -125,6 +125,11 @@ class Coder:
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """A worker outlives its task: what the task remembered must not stay beside the next stage's rows."""
+        self.words.clear()
+        self.runs.clear()
+
     def _words(self, words: list[str]) -> bytes:
         known = self.words
         if len(known) > CACHED_WORDS:
@@ -190,6 +195,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else []).cast(pa.int32()))
                 decoded = pa.array([c.decode(i) for i in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], names=[*batch.schema.names, "ids", "decoded"])
+        c.forget()
 
     return kept.mapInArrow(tidied(run), out_type)
 
