@@ -88,31 +88,33 @@ def links_of(classes: DataFrame, words: int, segments: int, bits: int, radius: i
     the radius. Each fingerprint looks up its own segments and, of the ball of one bit around them, those keys where a
     set bit is cleared: of two segments that differ in one bit, one side always finds the other.
 
-    A key with more than ``hot`` entries is not compared pair by pair. Its entries link to the entry with the least id,
-    if they are within the radius; components over all links found so far then leave only entries outside the
+    A key with more than ``hot`` entries is not compared pair by pair. Whoever looks it up is a member and links to the
+    member with the least id, if within the radius: prober rather than entry, so that the keys of one group of near
+    copies agree on few leaders. Components over all links found so far then leave only members outside the
     key's largest component, and these are compared with all others of the key. Nothing is dropped.
     """
     fp = F.col("fp")
     own = F.array(*[F.struct(F.lit(s).alias("s"), segment(fp, s, bits).alias("key")) for s in range(segments)])
     entries = store(classes.select("id", F.explode(own).alias("e")).select("id", F.col("e.s").alias("s"), F.col("e.key").alias("key")), "entries")
-    crowded = store(entries.groupBy("s", "key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where(F.col("n") > hot), "crowded")
+    crowded = store(entries.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("s", "key"), "crowded")
     ball = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(
         F.col("key").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0,
         F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda k: k.isNotNull())
-    probes = entries.select(F.col("id").alias("p"), "s", F.explode(F.concat(F.array("key"), ball)).alias("key"), F.col("key").alias("mine"))
+    # place 0 is the fingerprint's own key
+    probes = entries.select(F.col("id").alias("p"), "s", F.posexplode(F.concat(F.array("key"), ball)).alias("place", "key"))
     some = crowded.limit(1).count() > 0
     if some:
-        quiet = entries.join(crowded.select("s", "key"), ["s", "key"], "left_anti")
+        quiet = entries.join(crowded, ["s", "key"], "left_anti")
     else:
         quiet = entries
-    met = probes.join(quiet, ["s", "key"]).where((F.col("mine") != F.col("key")) & (F.col("p") != F.col("id")) | (F.col("p") < F.col("id")))
+    met = probes.join(quiet, ["s", "key"]).where((F.col("place") > 0) & (F.col("p") != F.col("id")) | (F.col("p") < F.col("id")))
     pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
     found = store(near_pairs(pairs, classes, words, radius), "links")
     if not some:
         return found
-    # whoever looks up a crowded key belongs to it
-    members = store(probes.join(crowded, ["s", "key"]).select("s", "key", "lead", F.col("p").alias("id")).distinct(), "members")
-    led = near_pairs(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, words, radius)
+    members = store(probes.join(crowded, ["s", "key"]).select("s", "key", F.col("p").alias("id")), "members")
+    leads = members.groupBy("s", "key").agg(F.min("id").alias("lead"))
+    led = near_pairs(members.join(leads, ["s", "key"]).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, words, radius)
     so_far = store(found.unionByName(led).distinct(), "links")
     label = components(so_far)
     placed = store(members.join(label.withColumnRenamed("node", "id"), "id", "left").select(
@@ -140,7 +142,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, segments: i
 
     Fingerprints of 64 * ``words`` bits over shingles of ``width`` words (fewer words: the whole sequence; none or a
     missing text: zero, linked like any other). Fingerprints within ``radius`` bits are linked; ``component_id`` is the
-    smallest doc_id reachable, ``n_links`` the number of other fingerprints directly linked. Equal fingerprints are one
+    smallest doc_id reachable, ``n_links`` the number of other fingerprints found directly linked (of a crowded key's
+    links only those that its components need are looked for). Equal fingerprints are one
     class from the start, so copies never meet as pairs. Repeated doc_ids keep a row each; rows without a doc_id get
     the component of their fingerprint. An empty table gives an empty result.
     """
