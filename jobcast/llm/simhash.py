@@ -88,18 +88,24 @@ def links_of(classes: DataFrame, words: int, segments: int, bits: int, radius: i
     the radius. Each fingerprint looks up its own segments and, of the ball of one bit around them, those keys where a
     set bit is cleared: of two segments that differ in one bit, one side always finds the other.
 
-    A key with more than ``hot`` entries is not compared pair by pair. Whoever looks it up is a member and links to the
-    member with the least id, if within the radius: prober rather than entry, so that the keys of one group of near
-    copies agree on few leaders. Components over all links found so far then leave only members outside the
-    key's largest component, and these are compared with all others of the key. Nothing is dropped.
+    A key with more than ``hot`` entries, or within the ball of such a key, may be looked up by many and is not compared
+    pair by pair. Whoever looks it up is a member and links to the member with the least id, if within the radius:
+    prober rather than entry, so that the keys of one group of near copies agree on few leaders. Components over all
+    links found so far then leave only members outside the key's largest component, and these are compared with the
+    others of the key. By the triangle inequality two members whose distances from the leader differ by more than the
+    radius are not linked; for the others the join itself compares the fingerprints that its rows carry, so that
+    only links leave it. No link is lost.
     """
     fp = F.col("fp")
     own = F.array(*[F.struct(F.lit(s).alias("s"), segment(fp, s, bits).alias("key")) for s in range(segments)])
     entries = store(classes.select("id", F.explode(own).alias("e")).select("id", F.col("e.s").alias("s"), F.col("e.key").alias("key")), "entries")
-    crowded = store(entries.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("s", "key"), "crowded")
+    full = store(entries.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("s", "key"), "full")
+    one = F.lit(1).cast("long")
     ball = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.when(
-        F.col("key").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0,
-        F.col("key").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))), lambda k: k.isNotNull())
+        F.col("key").bitwiseAND(F.call_function("shiftleft", one, i)) != 0,
+        F.col("key").bitwiseXOR(F.call_function("shiftleft", one, i)))), lambda k: k.isNotNull())
+    around = full.select("s", F.explode(ball).alias("key")).distinct().join(entries, ["s", "key"], "left_semi")
+    crowded = store(full.unionByName(around).distinct(), "crowded")
     # place 0 is the fingerprint's own key
     probes = entries.select(F.col("id").alias("p"), "s", F.posexplode(F.concat(F.array("key"), ball)).alias("place", "key"))
     some = crowded.limit(1).count() > 0
@@ -112,28 +118,34 @@ def links_of(classes: DataFrame, words: int, segments: int, bits: int, radius: i
     found = store(near_pairs(pairs, classes, words, radius), "links")
     if not some:
         return found
-    members = store(probes.join(crowded, ["s", "key"]).select("s", "key", F.col("p").alias("id")), "members")
-    leads = members.groupBy("s", "key").agg(F.min("id").alias("lead"))
-    led = near_pairs(members.join(leads, ["s", "key"]).where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, words, radius)
-    so_far = store(found.unionByName(led).distinct(), "links")
-    label = components(so_far)
-    placed = store(members.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        "s", "key", "id", F.coalesce("component", "id").alias("component")), "placed")
+    looked = store(probes.join(crowded, ["s", "key"]).select("s", "key", F.col("p").alias("b")), "looked")
+    members = store(looked.join(looked.groupBy("s", "key").agg(F.min("b").alias("a")), ["s", "key"]), "members")
+    spokes = store(measured(members.select("a", "b"), classes, words), "spokes")
+    so_far = store(found.unionByName(spokes.where((F.col("d") <= radius) & (F.col("a") != F.col("b"))).select("a", "b")).distinct(), "links")
+    label = components(so_far).withColumnRenamed("node", "b")
+    placed = store(members.join(spokes, ["a", "b"]).join(label, "b", "left").select(
+        "s", "key", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"), "d"), "placed")
     sizes = placed.groupBy("s", "key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("s", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    rest = placed.join(largest, ["s", "key"]).where("component <> largest").select(
-        "s", "key", F.col("id").alias("other"), F.col("component").alias("theirs"))
-    across = placed.join(rest, ["s", "key"]).where("component <> theirs").select(
-        F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-    return store(so_far.unionByName(near_pairs(across, classes, words, radius)).distinct(), "links")
+    largest = sizes.groupBy("s", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("kinds"))
+    split = store(placed.join(largest.where("kinds > 1").drop("kinds"), ["s", "key"]).join(classes, "id"), "split")
+    rest = split.where("component <> largest").select(
+        "s", "key", F.col("id").alias("other"), F.col("component").alias("theirs"), F.col("d").alias("far"), F.col("fp").alias("print"))
+    across = split.join(rest, ["s", "key"]).where(F.expr("component <> theirs and (component = largest or id < other)") & (
+        F.abs(F.col("d") - F.col("far")) <= radius) & (distance(F.col("fp"), F.col("print"), words) <= radius))
+    return store(so_far.unionByName(across.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct(), "links")
 
 
-def near_pairs(pairs: DataFrame, classes: DataFrame, words: int, radius: int) -> DataFrame:
-    """The distinct pairs whose whole fingerprints are within the radius. With one word an id is its fingerprint."""
+def measured(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """(a, b, d): the distinct pairs and the bits in which they differ. With one word an id is its fingerprint."""
     if words == 1:
-        return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
+        return pairs.distinct().select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"))
     left, right = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    return pairs.distinct().join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb"), words) <= radius).select("a", "b")
+    return pairs.distinct().join(left, "a").join(right, "b").select("a", "b", distance(F.col("fa"), F.col("fb"), words).alias("d"))
+
+
+def near_pairs(pairs: DataFrame, classes: DataFrame, words: int, radius: int) -> DataFrame:
+    """The distinct pairs whose whole fingerprints are within the radius."""
+    return measured(pairs, classes, words).where(F.col("d") <= radius).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, segments: int = 2, bits: int = 32, radius: int = 2,
