@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from jobcast.llm import bpe, components, kneser_ney, language, simhash, suffixes, tiling, toxicity
 from jobcast.llm.queries import TOKENIZER
 
@@ -135,6 +136,45 @@ def plain_repeats(rows, length=50):
     return out
 
 
+def test_similar_documents_equal_brute_force(spark, docs_of):
+    """Pairs just above, at and just below 0.8 (1 change of 49 words: 40 / 50 shingles), and a crowd of near copies."""
+    rng = random.Random(5)
+    rows, n = [], 0
+    for words, changes in [(49, 1)] * 60 + [(184, 4)] * 30 + [(52, 1)] * 30 + [(48, 1)] * 60 + [(39, 1)] * 30:
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
+        other = list(base)
+        for c in range(changes):
+            other[5 + c * (words - 10) // changes + rng.randrange(5)] = f"new{n}x{c}"
+        rows += [(n, " ".join(base), "en"), (n + 1, " ".join(other), "en")]
+        n += 2
+    base = [f"c{i}" for i in range(60)]
+    for i in range(40):
+        copy = list(base)
+        for at in rng.sample(range(60), i % 3):
+            copy[at] = f"copy{i}"
+        rows.append((n + i, " ".join(copy), "en"))
+    rows += [(n + 50, "", "en"), (n + 51, None, "en"), (n + 52, "too short", "en"), (n + 53, "Too  short", "en")]
+    sets = {i: frozenset(simhash.shingle_set(t, 5).tolist()) for i, t, _ in rows}
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    at_limit = 0
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or len(a & b) / len(a | b) >= 0.8):
+                at_limit += len(a & b) * 5 == len(a | b) * 4
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    assert at_limit >= 60
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), **corpus_pipeline.NEAR).collect()}
+    assert got == {i: root(i) for i in sets}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()}
+    assert kept == {i for i in sets if root(i) == i}
+
+
 @pytest.mark.parametrize("block", [4096, 4 << 20])
 def test_repeated_spans(docs_of, odd_rows, block, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
