@@ -215,22 +215,46 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
                       F.when(F.col("n_bytes") > 0, F.exp(-F.col("logprob") / F.col("n_bytes"))).alias("perplexity"))
 
 
+def spread(scores: DataFrame, quantile: float) -> tuple[float, float, float]:
+    """(between, within, z) of held-out texts with ``mean``: the variance of a text's mean log-probability is ``between`` plus
+    ``within`` over its bytes, by least squares; ``z`` is the ``quantile`` of the distances from ``mean`` in standard deviations."""
+    off = F.log("perplexity") - F.col("mean")
+    size = F.col("n_bytes").cast("double")
+    found = scores.select(size.alias("n"), (size * off * off).alias("y")).agg(
+        F.regr_slope("y", "n").alias("slope"), F.regr_intercept("y", "n").alias("intercept"),
+        F.avg("y").alias("mean"), F.try_divide(F.sum("y"), F.sum("n")).alias("share")).first()  # one row
+    between, within = found["slope"], found["intercept"]
+    if between is None or between < 0:
+        between, within = 0.0, found["mean"] or 0.0
+    elif within < 0:
+        between, within = found["share"], 0.0
+    z = scores.agg(F.percentile_approx(F.try_divide(off, F.sqrt(between + within / size)), quantile, 10000)).first()[0]
+    return between, within, z or 0.0
+
+
 def classify_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """``perplexities`` with ``threshold`` and ``keep`` for every row.
 
-    A language's threshold is the ``quantile`` of the perplexities of its held-out trusted texts, times ``margin``; a
-    language (or missing language) without any takes that of all. Above it a text is rejected. Texts without
-    a perplexity, and all texts if no held-out one is trusted, are kept.
+    The threshold follows the text's length: the mean log-probability per byte of the language's held-out trusted texts, plus
+    z standard errors of a text of so many bytes, as a perplexity times ``margin``. Variances and z come from the
+    held-out texts of all languages, z as the ``quantile`` of their own standardised distances; the standard error includes that of
+    the language's mean. A language (or missing language) without any takes the mean and the spread of all. Above its threshold a text is
+    rejected. Texts without a perplexity, and all texts if no held-out one is trusted, are kept and have no threshold.
     """
     scores = store(perplexities(docs, trusted, text), "kn-scores")
-    at = (F.percentile_approx("perplexity", quantile, 10000) * F.lit(margin)).alias("own")
-    ours = scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull())
-    by = ours.groupBy(F.coalesce("lang", F.lit("")).alias("of")).agg(at)
-    every = ours.agg(at).first()["own"]  # one number
-    by = store(by, "kn-thresholds")
+    ours = store(scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull()).select(
+        F.coalesce("lang", F.lit("")).alias("of"), "n_bytes", "perplexity"), "kn-held-out")
+    mean = (F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("mean")
+    by = store(ours.groupBy("of").agg(mean, F.count("*").alias("texts"), F.sum("n_bytes").alias("bytes")), "kn-means")
     few = by.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    joined = scores.join(F.broadcast(by) if few else by, F.coalesce("lang", F.lit("")) == F.col("of"), "left").withColumn(
-        "threshold", F.coalesce("own", F.lit(every).cast("double")))
+    by = F.broadcast(by) if few else by
+    every = ours.agg(mean).first()["mean"]  # one number
+    between, within, z = spread(ours.join(by.select("of", "mean"), "of"), quantile)
+    between_all, within_all, z_all = spread(ours.withColumn("mean", F.lit(every).cast("double")), quantile)
+    size = F.col("n_bytes")
+    own = F.col("mean") + z * F.sqrt(between * (1 + 1 / F.col("texts")) + within * (F.try_divide(F.lit(1.0), size) + 1 / F.col("bytes")))
+    other = F.lit(every).cast("double") + z_all * F.sqrt(between_all + F.try_divide(F.lit(within_all), size))
+    joined = scores.join(by, F.coalesce("lang", F.lit("")) == F.col("of"), "left").withColumn("threshold", F.exp(F.coalesce(own, other)) * margin)
     return joined.select("doc_id", "lang", "text_hash", "trusted", "n_bytes", "perplexity", "threshold",
                          F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))
 

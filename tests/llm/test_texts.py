@@ -341,3 +341,23 @@ def test_perplexities_equal_plain_model(spark, docs_of, odd_rows, monkeypatch):
     assert not judged[200] and all(judged[i] for i in (1, 3, 4, 110, 118))
     assert all(r.keep for r in kneser_ney.classify_quality(docs_of(rows), trusted.limit(0)).collect())
     assert kneser_ney.classify_quality(docs_of(rows).limit(0), trusted).count() == 0
+
+
+def test_thresholds_follow_length(spark, monkeypatch):
+    """Tiny trusted texts of high perplexity do not raise the limit of long ones."""
+    held = [r.doc_id for r in spark.range(3000).select(F.col("id").alias("doc_id")).where(kneser_ney.held_out()).limit(400).collect()]
+    rng = random.Random(4)
+    rows = []
+    for i, doc_id in enumerate(held):
+        size = rng.choice([3, 7, 20]) if i < 8 else rng.choice([400, 900, 2000, 6000])
+        rows.append((doc_id, "en" if i % 2 else "de", 0, True, size, math.exp(1.5 + abs(rng.gauss(0, 1)) * math.sqrt(1 / size + 1e-4))))
+    rows[0] = (held[0], "de", 0, True, 3, 13.0)
+    junk = [(-1, "en", 0, False, 3905, 7.1), (-2, "en", 0, False, 1409, 7.2), (-3, "xx", 0, False, 3905, 7.1), (-4, "en", 0, False, 0, None)]
+    made = spark.createDataFrame(rows + junk, "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, perplexity double")
+    monkeypatch.setattr(kneser_ney, "perplexities", lambda *_: made)
+    got = {r.doc_id: r for r in kneser_ney.classify_quality(None, None).collect()}
+    assert len(got) == len(rows) + len(junk) and not any(got[i].keep for i in (-1, -2, -3)) and got[-4].keep
+    assert sum(got[i].keep for i in held) >= len(held) - 4
+    one = spark.createDataFrame(rows[9:10] + junk, made.schema)
+    monkeypatch.setattr(kneser_ney, "perplexities", lambda *_: one)
+    assert [r.keep for r in kneser_ney.classify_quality(None, None).orderBy("doc_id").collect()] == [True, False, False, False, True]
