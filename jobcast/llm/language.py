@@ -84,8 +84,9 @@ class Scorer:
     def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The language of every word of every text: highest sum of word scores less ``switch`` for each change.
 
-        A text keeps its best single language if no stretch of words gains more than ``switch`` in any other one: then no
-        path with changes can be better. Only the other texts need the dynamic program.
+        A text keeps its best single language if no stretch of words gains more than ``switch`` in another one, and no
+        beginning and end gain more than that together. Then no path with changes is better: k stretches in other languages need
+        at least k changes, or k - 1 if both the first and the last word are in one. Only the other texts need the dynamic program.
         """
         sizes = np.array([len(t) for t in texts])
         rows = self.rows([w for t in texts for w in t])
@@ -102,8 +103,11 @@ class Scorer:
         drop = np.concatenate([np.zeros((1, gain.shape[1])), gain[:-1]])
         step = np.abs(gain).max() * 2 + 1  # lifts each text below the one before, so that minima start anew
         low = np.minimum.accumulate(drop - text[:, None] * step, axis=0) + text[:, None] * step
-        worst = np.zeros(len(texts))
-        worst[full] = np.maximum.reduceat((gain - low).max(axis=1), (ends - sizes)[full])
+        starts, worst = (ends - sizes)[full], np.zeros(len(texts))
+        stretch = np.maximum.reduceat((gain - low).max(axis=1), starts)
+        first = np.maximum.reduceat((gain - np.repeat(drop[starts], sizes[full], axis=0)).max(axis=1), starts)
+        last = np.maximum.reduceat((np.repeat(gain[ends[full] - 1], sizes[full], axis=0) - drop).max(axis=1), starts)
+        worst[full] = np.maximum(stretch, first + last)
         for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
             out.append(np.full(b - a, best[k]) if worst[k] <= self.switch else viterbi(score[a:b], self.switch))
         return out

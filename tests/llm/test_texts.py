@@ -276,6 +276,21 @@ def test_paths_equal_viterbi():
             assert abs(worth(score, path) - worth(score, language.viterbi(score, 8.0))) < 1e-6
 
 
+def test_two_stretches_beat_the_best_single_language():
+    scorer = language.Scorer(language.Model(["a", "b", "c"], np.ones((language.BUCKETS, 3)), np.ones((language.SCRIPTS, 3))), 8.0)
+    scorer.rows(["x", "y", "z"])
+    scorer.table[[scorer.known[w] for w in "xyz"]] = [[-7, 0, -50], [-7, -50, 0], [0, -50, -50]]
+    assert [p.tolist() for p in scorer.paths([["x", "y"], ["z"], ["x", "y"], ["x", "z", "y"]])] == [[1, 2], [0], [1, 2], [0, 0, 0]]
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 4, 6):
+        for _ in range(300):
+            scorer.table = rng.integers(-12, 1, (3, 3)).astype(np.float32)
+            words = [rng.choice(["x", "y", "z"]) for _ in range(n)]
+            score = scorer.table[[scorer.known[w] for w in words]].astype(float)
+            worth = [sum(score[range(n), p]) - 8 * np.count_nonzero(np.diff(p)) for p in (scorer.paths([words])[0], language.viterbi(score, 8.0))]
+            assert worth[0] == worth[1]
+
+
 def test_toxicity_chain(spark, docs_of, odd_rows):
     rng = random.Random(3)
     rows, labels = [], []
