@@ -64,7 +64,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, whole=True)
 
 
 @query

@@ -79,17 +79,19 @@ def gram_scores(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("gram", (F.log("p_allow") - F.log("p_block")).alias("llr"))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id", whole: bool = False) -> DataFrame:
     """(key, host, path, rule, verdict, score) for every row of ``pages`` (key, url; other columns are not read).
 
     The longest fitting rule decides. Where none fits, two character models decide, one of the URLs that rules allow
-    and one of those they block, learned from four fifths of the different ruled host-and-path texts, weighted by their number. ``score``
+    and one of those they block, learned from four fifths of the different ruled texts, weighted by their number. A text is
+    host and path or, with ``whole``, the URL as it is: scheme, query and fragment included, also without ``://``. ``score``
     is the mean log-likelihood difference per character. The remaining fifth calibrates the limit: the point that lies the
     same number of standard deviations from both classes' means. At or above it a URL is allowed. Without ruled URLs
     on both sides there is nothing to compare: the score is null and the verdict ``allow``. A missing or malformed URL has
-    empty host and path and is judged like an empty text. Repeated keys keep a row each.
+    empty host and path; a missing one, and without ``whole`` a malformed one, is judged like an empty text. Repeated keys keep a row each.
     """
-    judged = apply_rules(pages.select(key, "url"), rules).drop("url").withColumn("text", F.concat("host", "path"))
+    text = F.coalesce("url", F.lit("")) if whole else F.concat("host", "path")
+    judged = apply_rules(pages.select(key, "url"), rules).withColumn("text", text).drop("url")
     texts = store(judged.groupBy("text").agg(F.count("*").alias("n"), F.first("ruled").alias("ruled")).withColumn(
         "held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0), "url-texts")
     gram = F.explode(grams_of(F.col("text"))).alias("gram")

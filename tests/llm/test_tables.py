@@ -84,6 +84,17 @@ def test_url_scores_equal_plain_models(spark):
         assert got[1000 + i].verdict == ("allow" if i % 2 else "block")
 
 
+def test_whole_urls_are_judged(spark):
+    """The query string decides where host and path say nothing, also without a scheme."""
+    rows = [(i, f"http://{'a.example.net/en/' if i % 2 else 'b.net/'}{i % 9}?{'news=story' if i % 2 else 'win=casino'}{i}#top") for i in range(300)]
+    rows += [(1000 + i, f"http://same.host/page?{'news=story' if i % 2 else 'win=casino'}{i}") for i in range(20)]
+    rows += [(2000, "news=story"), (2001, "win=casino"), (2002, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge_urls(pages, URL_RULES, whole=True).collect()}
+    assert len(got) == len(rows) and all(got[1000 + i].verdict == ("allow" if i % 2 else "block") for i in range(20))
+    assert got[2000].score > got[2001].score and got[2000].host == got[2001].path == "" and got[2002].score is not None
+
+
 def test_shards(spark):
     rows = [(i, i * 7 % 13) for i in range(3000)] + [(5, 1)] * 20 + [(None, 2)] * 3
     df = spark.createDataFrame(rows, "doc_id long, size long").withColumn("slot", F.lit("clash"))
