@@ -248,7 +248,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, prints: DataFrame, width: i
 
 def similar_documents(docs: DataFrame, width: int, words: int, bands: int, rows: int, radius: int, similarity: float,
                       text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: the smallest doc_id reachable over pairs of at least ``similarity``.
+    """(doc_id, text_hash, component_id) for every row of ``docs``: the smallest doc_id reachable over pairs of at least ``similarity``.
 
     Similarity is Jaccard's, of the sets of different shingles of ``width`` words (fewer words: the whole sequence), compared
     exactly. Compared are texts that share a key of one of the ``bands`` and whose sets' fingerprints of 64 * ``words`` bits
@@ -268,4 +268,4 @@ def similar_documents(docs: DataFrame, width: int, words: int, bands: int, rows:
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     known = store(classes.join(linked.join(least, "component").select("id", "least"), "id", "left").select(
         "id", F.coalesce("least", "rep").alias("component_id")), "known")
-    return prints.join(known, "id").select("doc_id", "component_id")
+    return prints.join(known, "id").select("doc_id", "text_hash", "component_id")

@@ -141,6 +141,18 @@ def test_pipeline_stages(spark, sf_dir, docs_of, odd_rows):
         assert 0 < stage(spark, docs_of(odd_rows), sf_dir).count() <= len(odd_rows), name
 
 
+def test_stages_tell_rows_apart_by_text(spark, sf_dir, docs_of):
+    """Rows without an id, and clean rows whose id another text has."""
+    item = max((r.text for r in spark.read.parquet(sf_dir + "/benchmark.parquet").where("text is not null").collect()), key=len)
+    clean = " ".join(f"clean{i}" for i in range(40))
+    rows = [(None, "before " + item + " after", "en"), (7, item, "en"), (7, clean, "en"), (8, clean + " else", "en"), (None, None, "en")]
+    assert sorted(r.text or "" for r in corpus_pipeline.benchmark_passages(spark, docs_of(rows), sf_dir).collect()) == ["", clean, clean + " else"]
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, clean, "en"), (7, clean, "en"), (7, other, "en"), (None, clean, "en")]
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), sf_dir).collect()}
+    assert kept == {(1, clean), (7, other), (None, clean)}
+
+
 def test_registered():
     import __spark_entry__ as entry
 
