@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from jobcast.checks.registry import SPEC, finished, jobs, kept, query, rounded
 from jobcast.operators import cluster as C
 
-MAX_K = 5
-
 
 @query("kmeans_group_jobs", """
 , p as (select job_id, cast(k % 2 as int) as side, coalesce(mszl, avg(mszl) over ()) / 16384 as m, nnumr from finished)
@@ -55,6 +53,25 @@ def _silhouette(spark, sf_dir):
     return rounded(C.silhouette_curve(sides(spark, sf_dir), ["queue", "run_time"], 2))
 
 
+def places(spark, sf_dir):
+    """Ten equally distant places of as many jobs: whatever places a group joins, its measures are known."""
+    names = [f"q{i}" for i in range(10)]
+    return jobs(spark, sf_dir).select(*[(F.col("job_id") % 10 == i).cast("double").alias(q) for i, q in enumerate(names)]), names
+
+
+@query("wcss_curve_places", """
+select cast(k as int) as k, round(n * (10 - k) / 10.0, 6) as wcss
+from (select count(*) as n from jobs) cross join (select unnest(generate_series(2, 10)) as k)""")
+def _wcss_places(spark, sf_dir):
+    return rounded(C.wcss_curve(*places(spark, sf_dir)))
+
+
+@query("silhouette_curve_places", """
+select cast(k as int) as k, round(k / 10.0, 2) as silhouette from (select unnest(generate_series(2, 10)) as k)""")
+def _silhouette_places(spark, sf_dir):
+    return rounded(C.silhouette_curve(*places(spark, sf_dir)), 2)
+
+
 @query("silhouette_exact", """
 , p0 as (select wait_time / 30 as x, elpl / 3600 as y,
     case when k < 50 then 0 when elpl < 43200 then 1 else 2 end as label from jobs),
@@ -76,4 +93,4 @@ def _exact(spark, sf_dir):
 
 @query("optimal_k")
 def _optimal(spark, sf_dir):
-    return C.optimal_k(kept(finished(spark, sf_dir).select(*SPEC.features)), SPEC.features, MAX_K)
+    return C.optimal_k(kept(finished(spark, sf_dir).select(*SPEC.features)), SPEC.features)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from jobcast.checks import QUERIES
 from jobcast.operators import cluster as C
 
 FEATURES = ["x", "y"]
@@ -76,3 +77,11 @@ def test_exact_silhouette_against_numpy(spark, tile_points):
     got = C.silhouette_exact(df, FEATURES, "c", tile_points).first()
     assert got["n_jobs"] == 150
     assert got["silhouette"] == pytest.approx(silhouette(points, labels), abs=1e-12)
+
+
+def test_tuning_query_tries_up_to_ten_groups(spark, sf_dir, monkeypatch):
+    def curve(df, features, max_k, *_):
+        return [(k, 100.0 / k, 1.0 - abs(k - 8) / 10) for k in range(2, max_k + 1)]
+
+    monkeypatch.setattr(C, "fitted_curve", curve)
+    assert QUERIES["optimal_k"](spark, sf_dir).first()["silhouette_k"] == 8
