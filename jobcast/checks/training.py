@@ -100,7 +100,7 @@ scored as (select rows.window_start, rows.cluster, '{model}' as model, y, pred f
 
 @query("train_cluster_gbt", cluster_sql("clustering_xgb", LOG_LEAF))
 def _gbt(spark, sf_dir):
-    return rounded(T.train_cluster_gbt(labelled(spark, sf_dir), FEATURES, "run_time", "one_tree").biases, 4)
+    return rounded(T.train_cluster_gbt(labelled(spark, sf_dir), FEATURES, "run_time", "reference").biases, 4)
 
 
 @query("train_cluster_rf", cluster_sql("clustering_rf", "avg(y)"))

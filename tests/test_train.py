@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from jobcast.checks import QUERIES
 from jobcast.checks.registry import SPEC, finished
 from jobcast.checks.training import FEATURES, HALF_MONTHS, labelled, trace
 from jobcast.operators.metrics import BIAS_TYPES
@@ -91,3 +92,15 @@ def test_experiments_fill_one_store(spark, sf_dir):
 
 def test_spec_defaults_name_known_biases():
     assert set(SPEC.biases) == set(BIAS_TYPES)
+
+
+def test_grouped_boosting_is_checked_with_published_settings(spark, sf_dir, monkeypatch):
+    seen, fit = [], T.train_cluster_gbt
+
+    def spy(df, features, target, preset):
+        seen.append(preset)
+        return fit(df, features, target, "one_tree")
+
+    monkeypatch.setattr(T, "train_cluster_gbt", spy)
+    QUERIES["train_cluster_gbt"](spark, sf_dir)
+    assert seen == ["reference"]
