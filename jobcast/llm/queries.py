@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobcast.llm import bpe, kneser_ney, language, metric_tree, sharding, simhash, suffixes, tiling, toxicity, urls
+from jobcast.llm import bpe, kneser_ney, language, metric_tree, pieces, sharding, simhash, suffixes, tiling, toxicity, urls
 from jobcast.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -100,3 +101,8 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     return sharding.shard_rows(rows, "doc_id", sharding.even_tree(8), sharding.even_tree(8, grown=1)).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES))
