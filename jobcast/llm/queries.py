@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobcast.llm import bpe, kneser_ney, language, metric_tree, pieces, sharding, simhash, suffixes, tiling, toxicity, urls
+from jobcast.llm import bpe, kneser_ney, language, lexical, metric_tree, pieces, sharding, simhash, suffixes, tiling, toxicity, urls
 from jobcast.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,28 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@query
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+ORACLES["op11_reversed_search"] = r"""
+with words as (select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+asked as (select row_number() over () as i, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+wanted as (select i, item_id, term, count(*) as times from asked group by i, item_id, term),
+sizes as (select r, doc_id, cast(len(t) as bigint) as n from words where len(t) > 0),
+sums as (select count(*) as nd, cast(sum(n) as bigint) as nt from sizes),
+counts as (select r, term, count(*) as tf from (select r, unnest(t) as term from words) where term in (select term from wanted) group by r, term),
+weights as (select term, cast(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) as bigint) as w from counts, sums group by term, nd),
+scores as (select i, item_id, r, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // nt)))) as bigint) as score
+  from wanted join weights using (term) join counts using (term) join sizes using (r), sums group by i, item_id, r, doc_id),
+ranks as (select *, cast(row_number() over (partition by i order by score desc, doc_id) as int) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranks where rank <= 10
+"""
+
+
 @query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES))
