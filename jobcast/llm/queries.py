@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobcast.llm import bpe, kneser_ney, language, lexical, metric_tree, pieces, sharding, simhash, suffixes, tiling, toxicity, urls
+from jobcast.llm import bpe, kneser_ney, language, lexical, metric_tree, pieces, sharding, simhash, spelling, suffixes, tiling, toxicity, urls
 from jobcast.llm.common import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,11 @@ select item_id, rank, doc_id, score from ranks where rank <= 10
 """
 
 
+@query
+def op12_spelling_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES))
