@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from jobcast.checks.registry import FIRST, LAST, jobs, kept, query
 from jobcast.operators import encode as E
+from jobcast.operators.dictionary import encode_with, grow_dictionary
 from jobcast.operators.windows import assign_windows_tumbling
+from jobcast.session import fresh_path
 
 CURVES = """, c as (select window_start, k.k as k, job_id % k.k as label, elpl from jobs
   join windows3 on edt >= window_start and edt < window_end cross join (select unnest(range(2, 9)) as k) k),
@@ -88,3 +90,23 @@ select job_id, elpl, run_time from jobs
 order by ('0x' || substr(md5(job_id::varchar || ':7'), 1, 8))::bigint, job_id limit 100""")
 def _sample(spark, sf_dir):
     return E.random_sample_n(jobs(spark, sf_dir).select("job_id", "elpl", "run_time"), "job_id", 100, 7)
+
+
+@query("label_encode_growing", """
+, early as (select * from jobs where adt < timestamp '2024-01-03'), late as (select * from jobs where adt >= timestamp '2024-01-03'),
+u1 as (select usr, row_number() over (order by usr) - 1 as code from (select distinct usr from early)),
+u2 as (select usr, (select count(*) from u1) + row_number() over (order by usr) - 1 as code
+  from (select distinct usr from late where usr not in (select usr from u1))),
+us as (select * from u1 union all select * from u2),
+m1 as (select mszl, row_number() over (order by mszl nulls last) - 1 as code from (select distinct mszl from early)),
+m2 as (select mszl, (select count(*) from m1) + row_number() over (order by mszl nulls last) - 1 as code
+  from (select distinct mszl from late) l where not exists (select 1 from m1 where m1.mszl is not distinct from l.mszl)),
+ms as (select * from m1 union all select * from m2)
+select job_id, us.code as usr, ms.code as mszl from jobs join us on us.usr = jobs.usr join ms on ms.mszl is not distinct from jobs.mszl""")
+def _growing(spark, sf_dir):
+    """Two batches through one dictionary: the later one's new users come behind, no code changes."""
+    rows, root = kept(jobs(spark, sf_dir).select("job_id", "adt", "usr", "mszl")), fresh_path(spark, "dictionary")
+    start = F.lit("2024-01-03").cast("timestamp_ntz")
+    grow_dictionary(rows.where(F.col("adt") < start), ["usr", "mszl"], root)
+    grow_dictionary(rows.where(F.col("adt") >= start), ["usr", "mszl"], root)
+    return encode_with(rows.drop("adt"), ["usr", "mszl"], root)

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobcast.checks.registry import SPEC, finished, query, rounded
+from jobcast.checks.registry import SPEC, finished, kept, query, rounded
 from jobcast.checks.sampling import hash32
 from jobcast.operators.metrics import BIAS_TYPES, r2_score, rmse
 from jobcast.operators.sampling import split_hash
 from jobcast.operators.windows import assign_windows_tumbling
 from jobcast.plans import train as T
+from jobcast.plans.experiment import fit_centers
+from jobcast.plans.models import StoredModels
+from jobcast.session import fresh_path
 
 # Half-month windows cover the whole trace.
 HALF_MONTHS = SPEC.with_(first_window="2024-01-01", last_window="2024-01-17", window_days=16,
@@ -149,7 +152,10 @@ select job_id, s.window_start, s.cluster, s.model, t.bias, y as act, req, round(
 from scored s join buffers b on b.window_start = s.window_start and b.cluster = s.cluster and b.model = s.model
   cross join {BIAS_LIST} where is_test""")
 def _predict(spark, sf_dir):
-    rows = split_hash(labelled(spark, sf_dir), "job_id", 0.2, 33)
-    trained = T.train_variants(rows.where(~F.col("is_test")), FEATURES, "run_time",
-                               ["clustering_rf", "clustering_xgb"], "one_tree")
-    return rounded(T.predict_per_cluster(rows.where("is_test"), trained, BIAS_TYPES, "elpl"), 4)
+    """Jobs without a cluster: placed by the store's centres, scored by the store's models."""
+    rows = kept(split_hash(labelled(spark, sf_dir), "job_id", 0.2, 33).drop("cluster"))
+    train, root = rows.where(~F.col("is_test")), fresh_path(spark, "model-store")
+    # k-means numbers its groups as it likes; the SQL calls the long queue 1
+    centers = fit_centers(train, FEATURES, 2).withColumn("cluster", (F.col("center")[1] > 500).cast("int"))
+    T.train_variants(train, FEATURES, "run_time", ["clustering_rf", "clustering_xgb"], "one_tree", centers=centers, root=root)
+    return rounded(T.predict_per_cluster(rows.where("is_test"), StoredModels(spark, root), BIAS_TYPES, "elpl"), 4)

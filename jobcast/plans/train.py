@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -16,18 +16,13 @@ from jobcast.functions.filters import drop_incomplete
 from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.metrics import apply_bias, underpred_bias
 from jobcast.operators.sampling import balance_weights, balanced_resample, split_hash
+from jobcast.plans.models import VARIANTS, ModelWriter, StoredModels, fit_all, placed_jobs
 from jobcast.session import fresh_path, store
 
 GROUP = ("window_start", "cluster")
 VALIDATION_FRACTION = 0.4
 VALIDATION_SEED = 42
 FIT_THREADS = 8
-# Kinds of regressor and whether they learn from a balanced sample.
-VARIANTS = {
-    "clustering_xgb": ("gbt", False), "clustering_rf": ("rf", False),
-    "resampled_xgb": ("gbt", True), "resampled_rf": ("rf", True),
-    "baseline": ("global_gbt", False),
-}
 # Published settings of the three regressors.
 REFERENCE = {
     "gbt": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "maxBins": 256},
@@ -51,23 +46,6 @@ ONE_TREE = {
 PRESETS = {"reference": REFERENCE, "fast": FAST, "one_tree": ONE_TREE}
 
 
-@dataclass
-class GroupModels:
-    """Fitted models by ``(group values, variant)`` and the buffers of each."""
-
-    features: tuple[str, ...]
-    target: str
-    by: tuple[str, ...]
-    models: dict[tuple, object] = field(default_factory=dict)
-    biases: DataFrame | None = None
-
-    def groups(self) -> list[tuple]:
-        return sorted({g for g, _ in self.models}, key=str)
-
-    def of(self, group: tuple) -> dict[str, object]:
-        return {v: m for (g, v), m in self.models.items() if g == group}
-
-
 def on_log_scale(variant: str) -> bool:
     return VARIANTS[variant][0] != "rf"
 
@@ -149,8 +127,8 @@ def scored_schema(df: DataFrame, keep: Sequence[str]) -> StructType:
             .add("pred", "double"))
 
 
-def score_groups(df: DataFrame, trained: GroupModels, keep: Sequence[str]) -> DataFrame:
-    """Score each group with its own models."""
+def score_groups(df: DataFrame, trained: StoredModels, keep: Sequence[str]) -> DataFrame:
+    """Score each group with its own models, which are read from the store for it and dropped with it."""
     def rows_of(group: tuple) -> DataFrame:
         return score(of_group(df, trained.by, group), trained.of(group), trained.features, trained.target, keep)
 
@@ -205,23 +183,29 @@ def training_rows(rows: DataFrame, target: str, variants: Sequence[str], by: Seq
 def train_variants(df: DataFrame, features: Sequence[str], target: str, variants: Iterable[str],
                    preset: str = "reference", by: Sequence[str] = GROUP, key: str = "job_id",
                    method: str = "draw", leaky: bool = False, min_rows: int = 2,
-                   complete_on: Sequence[str] | None = None) -> GroupModels:
+                   complete_on: Sequence[str] | None = None, centers: DataFrame | None = None,
+                   root: str | None = None) -> StoredModels:
     """Fit each variant on 60 % of each group and learn its buffers on the other 40 %.
 
     Spark ML spreads each fit over the cluster and a few fits run side by side.
     ``method`` is ``draw`` (copies) or ``weights`` for balanced variants;
     ``leaky`` lets the balanced sample draw from validation rows too.
+
+    Models go to the store under ``root`` as they are fitted, one folder each; manifest, buffers and ``centers`` (``by`` without
+    ``cluster``, ``cluster``, ``center``) follow, and the whole becomes the store's newest version at once. With centres, ``df``
+    may come without ``cluster``: its jobs are placed first.
     """
-    variants, by, features = list(variants), list(by), list(features)
+    spark, variants, by, features = df.sparkSession, list(variants), list(by), list(features)
+    if centers is not None and "cluster" not in df.columns:
+        df = placed_jobs(df, features, centers)
     rows = prepare_rows(df, features, target, by, key, complete_on=complete_on)
     source = training_rows(rows, target, variants, by, key, method, leaky, min_rows)
-    trained = GroupModels(tuple(features), target, tuple(by))
-    wanted = [(g, v) for g in source.groups for v in variants]
-    with ThreadPoolExecutor(FIT_THREADS) as pool:
-        models = pool.map(lambda item: source.fit(*item, features, target, preset), wanted)
-        trained.models = {item: model for item, model in zip(wanted, models) if model is not None}
+    writer = ModelWriter(spark, root or fresh_path(spark, "models"))
+    fit_all(writer, [(g, v) for g in source.groups for v in variants],
+            lambda group, variant: source.fit(group, variant, features, target, preset), FIT_THREADS)
+    trained = writer.seal(rows, by, features, target, centers)
     held_out = score_groups(rows.where("is_val"), trained, by)
-    trained.biases = store(underpred_bias(held_out, [*by, "model"]), "buffers")
+    writer.publish(underpred_bias(held_out, [*by, "model"]))
     return trained
 
 
@@ -251,36 +235,42 @@ def fit_and_score(rows: DataFrame, features: Sequence[str], target: str, variant
 
 
 def train_cluster_gbt(df: DataFrame, features: Sequence[str], target: str, preset: str = "reference",
-                      **options) -> GroupModels:
+                      **options) -> StoredModels:
     return train_variants(df, features, target, ["clustering_xgb"], preset, **options)
 
 
 def train_cluster_rf(df: DataFrame, features: Sequence[str], target: str, preset: str = "reference",
-                     **options) -> GroupModels:
+                     **options) -> StoredModels:
     return train_variants(df, features, target, ["clustering_rf"], preset, **options)
 
 
 def train_resampled(df: DataFrame, features: Sequence[str], target: str, kind: str = "xgb",
-                    preset: str = "reference", method: str = "draw", **options) -> GroupModels:
+                    preset: str = "reference", method: str = "draw", **options) -> StoredModels:
     return train_variants(df, features, target, ["resampled_" + kind], preset, method=method, **options)
 
 
 def train_global_gbt(df: DataFrame, features: Sequence[str], target: str, preset: str = "reference",
-                     by: Sequence[str] = (), **options) -> GroupModels:
+                     by: Sequence[str] = (), **options) -> StoredModels:
     """One model for all jobs (or one per ``by``, such as the window)."""
     return train_variants(df, features, target, ["baseline"], preset, by=by, **options)
 
 
-def predict_per_cluster(df: DataFrame, trained: GroupModels, bias_types: Sequence[str],
+def predict_per_cluster(df: DataFrame, trained: StoredModels, bias_types: Sequence[str],
                         request: str | None = None, key: str = "job_id",
                         complete_on: Sequence[str] | None = None) -> DataFrame:
-    """``(by..., job_id, model, bias, pred, act[, req])``; rows of a group without a model are left out."""
+    """``(by..., job_id, model, bias, pred, act[, req])``; rows of a group without a model are left out.
+
+    Where the store holds centres, jobs are placed by them, whether or not ``df`` has a ``cluster``: nearest centre of the
+    job's window, then that cluster's models, one group at a time. A job with a gap in a feature has no place.
+    """
     by = list(trained.by)
+    if trained.centers is not None:
+        df = placed_jobs(df.drop("cluster"), trained.features, trained.centers)
     rows = prepare_rows(df, trained.features, trained.target, by, key, request, complete_on=complete_on)
     scored = score_groups(rows, trained, [*by, key] + (["req"] if request else []))
     return apply_bias(scored, trained.biases, bias_types, [*by, "model"])
 
 
-def predict_global(df: DataFrame, trained: GroupModels, bias_types: Sequence[str],
+def predict_global(df: DataFrame, trained: StoredModels, bias_types: Sequence[str],
                    request: str | None = None, key: str = "job_id", **options) -> DataFrame:
     return predict_per_cluster(df, trained, bias_types, request, key, **options)

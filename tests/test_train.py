@@ -44,7 +44,7 @@ def test_weights_instead_of_copies(rows):
     data = rows.where(~F.col("is_test"))
     for method in ("weights", "draw"):
         trained = T.train_resampled(data, FEATURES, "run_time", "rf", "one_tree", method=method)
-        assert len(trained.models) == 4 and trained.biases.count() == 4
+        assert len(trained.folders) == 4 and trained.biases.count() == 4
     with pytest.raises(ValueError):
         T.train_resampled(data, FEATURES, "run_time", "rf", "one_tree", method="copy")
     with pytest.raises(ValueError):
