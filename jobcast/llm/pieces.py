@@ -23,7 +23,7 @@ SPACE = "▁"
 #: A run of spaces with what follows it.
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters of runs in each of the two generations that a worker remembers, and texts that a task holds at a time.
-CACHED_CHARS = 3_000_000
+CACHED_CHARS = 6_000_000
 SLICE = 256
 #: Fixed values of the model file's format: types of pieces, and the type of merge vocabularies.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -176,10 +176,34 @@ class Model:
         return "".join([self.shown[i] for i in ids.tolist()])[cut:]
 
 
+class Runs(dict):
+    """Ids of the runs met last, as bytes; a run that is missing is encoded when it is asked for, and listed as new.
+
+    Two generations: what is asked for again moves from the older to this one, which becomes the older when it is full.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.older, self.chars, self.new = model, {}, 0, []
+
+    def __missing__(self, run: str) -> bytes:
+        if (ids := self.older.get(run)) is None:
+            parts = self.model.parts(run)
+            ids = b"".join([self[p] for p in parts]) if len(parts) > 1 else array("i", self.model.pieces(run)).tobytes()
+            self.new.append(run)
+        self[run] = ids
+        self.chars += len(run)
+        return ids
+
+    def turn(self) -> None:
+        if self.chars > CACHED_CHARS:
+            self.older, self.chars = dict(self), 0
+            self.clear()
+
+
 class Coder:
-    """Encodes and decodes texts; remembers runs, and compares each new one with the library's ids if asked to.
+    """Encodes and decodes texts; compares each run that is new to it with the library's ids if asked to.
 
-    A worker keeps what it remembers from task to task: the runs met last, in two generations of bounded size.
+    A worker keeps the runs it remembers from task to task.
     """
 
     def __init__(self, content: bytes) -> None:
@@ -187,39 +211,19 @@ class Coder:
 
         self.model = Model(content)
         self.library = SentencePieceProcessor(model_proto=content)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.chars = 0
+        self.known = Runs(self.model)
 
-    def part_ids(self, run: str) -> bytes:
-        out = []
-        for part in self.model.parts(run):
-            ids = self.known.get(part) or self.older.get(part)
-            out.append(array("i", self.model.pieces(part)).tobytes() if ids is None else ids)
-            self.known[part] = out[-1]
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def learn(self, runs: list[list[str]], check: bool) -> None:
-        """Encode the runs that are new; the library's ids of the same strings must be equal."""
-        if self.chars > CACHED_CHARS:
-            self.known, self.older, self.chars = {}, self.known, 0
-        missing = set().union(*runs).difference(self.known)
-        new = [run for run in missing if run not in self.older]
-        self.known.update([(run, self.older[run]) for run in missing.difference(new)])
-        for run in new:
-            self.known[run] = self.part_ids(run)
-        self.chars += sum(map(len, missing))
+    def encode(self, texts: list[str | None], check: bool) -> list[np.ndarray]:
+        self.known.turn()
+        get = self.known.__getitem__
+        out = [np.frombuffer(b"".join(map(get, self.model.runs(t or ""))), np.int32) for t in texts]
+        new, self.known.new = self.known.new, []
         if check:  # the library puts a space in front by itself
             own = [r for r in new if r[0] == SPACE and len(r) > 1]
             for run, ids in zip(own, self.library.encode([r[1:].replace(SPACE, " ") for r in own], num_threads=1)):
                 if array("i", ids).tobytes() != self.known[run]:
                     raise ValueError(f"not the library's ids: {run[:100]!r}")
-
-    def encode(self, texts: list[str | None], check: bool) -> list[np.ndarray]:
-        runs = [self.model.runs(t or "") for t in texts]
-        self.learn(runs, check)
-        known = self.known
-        return [np.frombuffer(b"".join([known[r] for r in own]), np.int32) for own in runs]
+        return out
 
 
 @lru_cache(maxsize=2)
