@@ -7,6 +7,7 @@ from jobcast.checks.windows import CENTER_VIEW, CENTERS
 from jobcast.functions.labels import format_bounds_label, format_error_label
 from jobcast.functions.scalar import hours_minutes_units, overestimation_factor
 from jobcast.operators import metrics as M
+from jobcast.operators.quantiles import exact_quantile
 from jobcast.operators.cluster import kmeans_wcss
 from jobcast.operators.sampling import equal_width_bins
 from jobcast.operators.windows import assign_windows_tumbling
@@ -86,6 +87,28 @@ def _bias(spark, sf_dir):
     return rounded(M.underpred_bias(plain, ["window_start", "model"]), 4)
 
 
+@query("exact_quantile", """
+select jnam, round(quantile_cont(run_time, 0.5), 6) as run_half, round(quantile_cont(run_time, 0.9), 6) as run_most,
+  round(quantile_cont(elpl, 0.25), 6) as asked_quarter from jobs group by jnam""")
+def _quantile(spark, sf_dir):
+    """So few values are left to order that the bounds close in several rounds, also on values that many jobs share."""
+    rows = kept(jobs(spark, sf_dir).select("jnam", "run_time", "elpl"))
+    half, most = [exact_quantile(rows, "run_time", ["jnam"], p, out, rest=4) for p, out in ((0.5, "run_half"), (0.9, "run_most"))]
+    return rounded(half.join(most, "jnam").join(exact_quantile(rows, "elpl", ["jnam"], 0.25, "asked_quarter", rest=4), "jnam"))
+
+
+@query("underpred_bias_by_rounds", """
+, u as (select model, case when act > pred then act - pred end as short from window_preds where bias = 'none'),
+m as (select model, median(short) as med from u group by all),
+d as (select model, median(abs(short - med)) as mad from u join m using (model) group by all)
+select model, round(avg(short), 4) as mean, round(any_value(mad), 4) as mad,
+  round(stddev_pop(short), 4) as std_dev, round(2 * stddev_pop(short), 4) as two_sigma, count(short) as n_under
+from u join d using (model) group by all""")
+def _bias_rounds(spark, sf_dir):
+    plain = kept(window_preds(spark, sf_dir).where(F.col("bias") == "none").select("model", "act", "pred"))
+    return rounded(M.underpred_bias(plain, ["model"], rest=8), 4)
+
+
 @query("rmse", "select model, bias, round(sqrt(avg((pred - act) * (pred - act))), 4) as rmse from window_preds group by all")
 def _rmse(spark, sf_dir):
     return rounded(M.rmse(window_preds(spark, sf_dir), ["model", "bias"]), 4)

@@ -3,13 +3,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobcast.checks.aggregates import METRICS, ROUND_METRICS
-from jobcast.checks.registry import FIRST, LAST, finished, jobs, query, rounded, window_preds
+from jobcast.checks.registry import FIRST, LAST, finished, jobs, kept, query, rounded, window_preds
 from jobcast.checks.training import (
     BIAS_LIST, BUFFER_OF, HALF_MONTHS, LEAVES, LOG_LEAF, ROWS, buffers_sql, trace)
 from jobcast.operators.metrics import BIAS_TYPES, apply_bias, group_mean_predictor, underpred_bias, window_metrics
 from jobcast.operators.sampling import split_hash
 from jobcast.operators.windows import assign_windows_tumbling
-from jobcast.plans.evaluate import evaluate_results
+from jobcast.plans.evaluate import add_to_report, evaluate_results, kept_report
 from jobcast.plans.experiment import experiment_baseline, experiment_grouped
 from jobcast.plans.preprocess import preprocess_eagle, preprocess_fugaku, preprocess_m100
 from jobcast.plans.swf import to_swf
@@ -69,6 +69,16 @@ def _fugaku(spark, sf_dir):
     return success.withColumnRenamed("exit state", "exit_state").withColumn("usctmut", F.round("usctmut", 6))
 
 
+@query("preprocess_fugaku_failures", """
+select jid, usr, jnam, jobenv_req, adt, sdt, edt, exit_state, cnumr, nnumr, elpl, mszl, freq_req, cnumat,
+  round(usctmut, 6) as usctmut, mmszu, run_time as duration, wait_time, run_time from jobs where exit_state = 'failed'""")
+def _fugaku_failures(spark, sf_dir):
+    path = fresh_path(spark, "trace")
+    fugaku_trace(jobs(spark, sf_dir)).write.parquet(path)
+    _, failure = preprocess_fugaku(spark, path)
+    return failure.withColumnRenamed("exit state", "exit_state").withColumn("usctmut", F.round("usctmut", 6))
+
+
 @query("preprocess_m100", """
 , t as (select *, date_trunc('hour', adt) as submit_time, date_trunc('hour', sdt) as start_time,
   date_trunc('hour', edt) as end_time from jobs),
@@ -104,6 +114,20 @@ def _eagle(spark, sf_dir):
     return success
 
 
+@query("preprocess_eagle_failures", """
+select job_id, 'TIMEOUT' as state, usr as user, case when k % 10 <> 3 then 'a' || (user_id % 5) end as account, partition, qos,
+  jnam as name, '/home/' || usr as work_dir, 'sbatch, ' || jnam || ' -n ' || k as submit_line,
+  strftime(adt, '%Y-%m-%d %H:%M:%S') as submit_time, strftime(sdt, '%Y-%m-%d %H:%M:%S') as start_time,
+  strftime(edt, '%Y-%m-%d %H:%M:%S') as end_time, run_time, elpl as wallclock_req, cnumr as processors_req,
+  mszl as mem_req, nnumr as nodes_req, cnumat as gpus_req from jobs where exit_state = 'failed'""")
+def _eagle_failures(spark, sf_dir):
+    path = fresh_path(spark, "trace")
+    trace_rows = eagle_trace(jobs(spark, sf_dir))
+    trace_rows.write.option("header", True).option("compression", "bzip2").csv(path)
+    _, failure = preprocess_eagle(spark, path, trace_rows.schema)
+    return failure
+
+
 @query("to_swf", """
 , u as (select usr, row_number() over (order by min(row(adt, job_id))) as user_id from jobs group by usr),
 a as (select jnam, row_number() over (order by min(row(adt, job_id))) as app_id from jobs group by jnam)
@@ -163,7 +187,7 @@ def _grouped_ensembles(spark, sf_dir):
     return evaluate_results(experiment_grouped(trace(spark, sf_dir), HALF_MONTHS, "fast"))
 
 
-@query("evaluate_results", METRICS + """, pooled as (select window_size, model, bias, count(*) as n_jobs,
+EVALUATED = METRICS + """, pooled as (select window_size, model, bias, count(*) as n_jobs,
   count(*) filter (ceil(pred) < act) as n_under, coalesce(sum(req - act) filter (act < req), 0) / 3600 as u,
   coalesce(sum(ceil(pred) - act) filter (act < ceil(pred)), 0) / 3600 as m from window_preds group by all),
 averages as (select window_size, model, bias, count(*) as n_windows, avg(rmse) as rmse, avg(mae) as mae, avg(ur) as ur,
@@ -172,11 +196,24 @@ select window_size, model, bias, n_windows, round(rmse, 4) as avg_rmse, round(ma
   round(t, 7) as avg_ur_total_hours, round(me, 4) as avg_ur_mean_hours, round(s, 4) as avg_ur_std_hours, n_jobs, n_under,
   round(100 - 100.0::double * n_under / n_jobs, 4) as success_rate, round(100.0::double * n_under / n_jobs, 4) as under_rate,
   round(u, 7) as user_over_hours, round(m, 7) as model_over_hours
-from averages join pooled using (window_size, model, bias)""")
+from averages join pooled using (window_size, model, bias)"""
+
+
+@query("evaluate_results", EVALUATED)
 def _evaluate(spark, sf_dir):
     return rounded(evaluate_results(window_preds(spark, sf_dir), ceil=True), 4)
 
 
+@query("evaluate_results_added", EVALUATED)
+def _evaluate_added(spark, sf_dir):
+    """The same report kept up to date: first the windows of the first half of the month, then the others."""
+    preds, root = kept(window_preds(spark, sf_dir)), fresh_path(spark, "report")
+    early = F.col("window_start") < F.lit("2024-01-15").cast("timestamp_ntz")
+    add_to_report(preds.where(early), root, ceil=True)
+    add_to_report(preds.where(~early), root, ceil=True)
+    return rounded(kept_report(spark, root), 4)
+
+
 CHAIN = """
 , rows as (select job_id, jnam, run_time, elpl, window_start,
     ('0x' || substr(md5(job_id::varchar || ':33'), 1, 8))::bigint % 10000 < 2000 as is_test,

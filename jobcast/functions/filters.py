@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,16 +14,23 @@ from jobcast.session import store
 from jobcast.spec import TraceSpec
 
 
+def success_of(spec: TraceSpec) -> Column:
+    return (F.col(spec.state) == spec.success) & ~F.col(spec.run_time).eqNullSafe(F.lit(0.0))
+
+
+def failure_of(spec: TraceSpec) -> Column:
+    if spec.failure is None:
+        raise ValueError(f"trace {spec.name!r} names no failure state")
+    return F.col(spec.state) == spec.failure
+
+
 def filter_success(df: DataFrame, spec: TraceSpec) -> DataFrame:
     """Successful jobs whose run time is not 0; a missing run time is kept."""
-    return df.where((F.col(spec.state) == spec.success)
-                    & ~F.col(spec.run_time).eqNullSafe(F.lit(0.0)))
+    return df.where(success_of(spec))
 
 
 def filter_failure(df: DataFrame, spec: TraceSpec) -> DataFrame:
-    if spec.failure is None:
-        raise ValueError(f"trace {spec.name!r} names no failure state")
-    return df.where(F.col(spec.state) == spec.failure)
+    return df.where(failure_of(spec))
 
 
 def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobcast.functions.scalar import inf_to_null
-from jobcast.operators.quantiles import exact_quantile
+from jobcast.operators.quantiles import REST, exact_quantile
 from jobcast.operators.scaling import attach, attach_group_stats
 from jobcast.session import store
 
@@ -132,7 +132,7 @@ def overprediction_totals(preds: DataFrame, by: Sequence[str] = ("model",), ceil
     return rounded_up(preds, ceil).groupBy(*by).agg(*over_totals_of())
 
 
-def underpred_bias(val_preds: DataFrame, by: Sequence[str], approx: bool = False) -> DataFrame:
+def underpred_bias(val_preds: DataFrame, by: Sequence[str], approx: bool = False, rest: int = REST) -> DataFrame:
     """Buffers learned from shortfalls: mean, median absolute deviation, deviation, twice that.
 
     Groups without a shortfall keep a row with ``n_under`` 0 and NULL buffers.
@@ -143,13 +143,13 @@ def underpred_bias(val_preds: DataFrame, by: Sequence[str], approx: bool = False
         F.avg(short).alias("mean"), F.stddev_pop(short).alias("std_dev"), F.count(short).alias("n_under"))
     # Both medians read the shortfalls alone.
     shortfalls = store(val_preds.select(*by, short.alias("short")).where(F.col("short").isNotNull()), "shortfalls")
-    middle = exact_quantile(shortfalls, "short", by, 0.5, "middle", approx)
+    middle = exact_quantile(shortfalls, "short", by, 0.5, "middle", approx, rest)
     if by:
         centred = attach(shortfalls, store(middle, "shortfall-median"), by)
     else:
         centred = shortfalls.withColumn("middle", middle.scalar())
     off = centred.select(*by, F.abs(F.col("short") - F.col("middle")).alias("off"))
-    spread = exact_quantile(off, "off", by, 0.5, "mad", approx)
+    spread = exact_quantile(off, "off", by, 0.5, "mad", approx, rest)
     joined = attach(base, store(spread, "shortfall-mad"), by) if by else base.withColumn("mad", spread.scalar())
     return joined.select(*by, "mean", "mad", "std_dev", (F.col("std_dev") * 2).alias("two_sigma"), "n_under")
 
@@ -217,11 +217,11 @@ def error_histogram(preds: DataFrame, by: Sequence[str], bounds: Sequence[float]
 
 def median_error_by_range(preds: DataFrame, bounds: Sequence[float] = ACT_BOUNDS,
                           by: Sequence[str] = ("model",), window: str = "window_start",
-                          approx: bool = False) -> DataFrame:
+                          approx: bool = False, rest: int = REST) -> DataFrame:
     """Median absolute error in minutes per window and range, then the median over windows."""
     ranged = preds.select(*by, window, act_range(F.col("act"), bounds).alias("act_range"),
                           (F.abs(gap()) / 60.0).alias("abs_error")).where(F.col("act_range").isNotNull())
-    per_window = exact_quantile(ranged, "abs_error", [*by, window, "act_range"], 0.5, "window_median", approx)
+    per_window = exact_quantile(ranged, "abs_error", [*by, window, "act_range"], 0.5, "window_median", approx, rest)
     limits = F.array(*[F.lit(int(b)) for b in bounds])
     # One row per window is left here.
     return per_window.groupBy(*by, "act_range").agg(

@@ -16,9 +16,10 @@ from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.scaling import attach
 from jobcast.operators.sampling import split_exact, split_hash
 from jobcast.operators.windows import assign_windows_sliding, nearest_center, window_table
+from jobcast.plans.ledger import Ledger
 from jobcast.plans.train import FIT_THREADS, GROUP, fit_and_score, of_group, prepare_rows
 from jobcast.session import fresh_path, store
-from jobcast.sources.predictions import SCHEMA, drop_stale, scan_predictions, sink_predictions
+from jobcast.sources.predictions import SCHEMA, scan_predictions, sink_predictions
 from jobcast.spec import TraceSpec
 
 TEST_FRACTION = 0.2
@@ -58,8 +59,8 @@ def fit_centers(train: DataFrame, work: Sequence[str], k: int, seed: int = 42) -
     return spark.createDataFrame(rows, f"window_start {kind}, cluster int, center array<double>")
 
 
-def grouped_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False) -> DataFrame:
-    """Windowed jobs with their cluster.
+def grouped_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False, ledger: Ledger | None = None) -> DataFrame:
+    """Windowed jobs with their cluster; with a ``ledger``, by the centres of its first run.
 
     Training rows are placed with gaps filled by the window's means; test rows
     by their own values, those with a gap having no cluster. Incomplete rows
@@ -77,7 +78,10 @@ def grouped_jobs(df: DataFrame, spec: TraceSpec, exact_split: bool = False) -> D
         w: F.when(F.col("is_test"), F.col(f).cast("double")).otherwise(
             F.coalesce(F.col(f).cast("double"), F.col("__m" + w))) for f, w in work.items()})
     filled = filled.drop(*["__m" + w for w in work.values()])
-    centers = fit_centers(filled.where(~F.col("is_test")), list(work.values()), spec.clusters)
+    def centers_of() -> DataFrame:
+        return fit_centers(filled.where(~F.col("is_test")), list(work.values()), spec.clusters)
+
+    centers = ledger.kept("centers", centers_of) if ledger else centers_of()
     placed = nearest_center(filled, list(work.values()), centers, ["window_start"])
     return placed.where(F.col("cluster").isNotNull() & ~F.col("__gap")).drop(*work.values(), "__gap")
 
@@ -96,33 +100,41 @@ def as_results(preds: DataFrame, spec: TraceSpec) -> DataFrame:
     return named.select(*names)
 
 
+def ledger_of(df: DataFrame, resume: str | None, spec: TraceSpec, preset: str, exact_split: bool) -> Ledger | None:
+    """The ledger of experiments with these settings below ``resume``; the trace itself must be the same."""
+    return Ledger(df.sparkSession, resume, (spec.with_(biases=()), preset, exact_split)) if resume else None
+
+
 def experiment_baseline(df: DataFrame, spec: TraceSpec, preset: str = "reference",
-                        root: str | None = None, exact_split: bool = False) -> DataFrame:
-    """One model per window over all its jobs; returns the stored predictions."""
+                        root: str | None = None, exact_split: bool = False, resume: str | None = None) -> DataFrame:
+    """One model per window over all its jobs; returns the stored predictions. See ``experiment_grouped`` for ``resume``."""
     jobs = drop_incomplete(windowed_jobs(df, spec, exact_split)).select(*used_columns(spec))
     rows = prepare_rows(jobs, spec.features, spec.target, ["window_start"], spec.key, spec.request, ["is_test"])
     preds = fit_and_score(rows, spec.features, spec.target, ["baseline"], preset, spec.biases,
-                          ["window_start"], spec.key)
+                          ["window_start"], spec.key, ledger=ledger_of(df, resume, spec, preset, exact_split))
     return kept_results(preds, spec, root, ["baseline"])
 
 
 def experiment_grouped(df: DataFrame, spec: TraceSpec, preset: str = "reference",
                        variants: Sequence[str] = GROUPED, root: str | None = None,
-                       exact_split: bool = False) -> DataFrame:
-    """K-means groups per window and one model per group and variant; returns the stored predictions."""
-    rows = prepare_rows(grouped_jobs(df, spec, exact_split), spec.features, spec.target, GROUP, spec.key,
+                       exact_split: bool = False, resume: str | None = None) -> DataFrame:
+    """K-means groups per window and one model per group and variant; returns the stored predictions.
+
+    With ``resume``, a folder, each group's scored rows are kept there as soon as its models have been fitted. A run that
+    stopped and is started again on the same trace fits the groups and variants that are missing, no others.
+    """
+    ledger = ledger_of(df, resume, spec, preset, exact_split)
+    rows = prepare_rows(grouped_jobs(df, spec, exact_split, ledger), spec.features, spec.target, GROUP, spec.key,
                         spec.request, ["is_test"])
-    preds = fit_and_score(rows, spec.features, spec.target, variants, preset, spec.biases, GROUP, spec.key)
+    preds = fit_and_score(rows, spec.features, spec.target, variants, preset, spec.biases, GROUP, spec.key, ledger=ledger)
     return kept_results(preds, spec, root, variants)
 
 
 def kept_results(preds: DataFrame, spec: TraceSpec, root: str | None, models: Sequence[str]) -> DataFrame:
     spark = preds.sparkSession
     root = root or fresh_path(spark, "predictions")
-    results = store(as_results(preds, spec), "results")
-    sink_predictions(results, root)
-    windows = [r[0] for r in results.select(F.col("window_start").cast("string")).distinct().collect()]  # one row per window
-    drop_stale(spark, root, {"trace": [spec.name], "target": [spec.target], "model": models, "bias": spec.biases,
-                             "window_size": [spec.window_days]}, windows)
+    results = as_results(preds, spec)
+    sink_predictions(results, root, {"trace": [spec.name], "target": [spec.target], "model": models, "bias": spec.biases,
+                                     "window_size": [spec.window_days]})
     schema = SCHEMA.replace("job_id bigint", f"job_id {results.schema['job_id'].dataType.simpleString()}")
-    return scan_predictions(spark, root, models, spec.biases, windows, schema, [spec.name], [spec.target], [spec.window_days])
+    return scan_predictions(spark, root, models, spec.biases, None, schema, [spec.name], [spec.target], [spec.window_days])

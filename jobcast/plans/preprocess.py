@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from jobcast.functions.filters import filter_failure, filter_success
+from jobcast.functions.filters import failure_of, filter_success, success_of
 from jobcast.functions.scalar import (
     cast_int_columns, parse_timestamps, run_time, select_columns, time_limit_seconds, wait_time)
 from jobcast.operators.encode import label_encode, sort_trace
+from jobcast.session import store
 from jobcast.sources.traces import scan_csv_bz2_trace, scan_parquet_trace
 from jobcast.spec import EAGLE, FUGAKU, M100, TraceSpec
 
@@ -27,16 +29,24 @@ def in_order(df: DataFrame, cols: list[str], ordered: bool) -> DataFrame:
     return sort_trace(df, cols) if ordered else df
 
 
+def by_outcome(df: DataFrame, spec: TraceSpec) -> tuple[DataFrame, DataFrame]:
+    """Successful and failed jobs from one evaluation of ``df``, written once in a partition each; jobs of other states are left out."""
+    marked = df.withColumn("__outcome", F.when(success_of(spec), "success").when(failure_of(spec), "failure"))
+    stored = store(marked.where(F.col("__outcome").isNotNull()), "trace", ("__outcome",))
+    success, failure = [stored.where(F.col("__outcome") == o).drop("__outcome") for o in ("success", "failure")]
+    return success, failure
+
+
 def preprocess_fugaku(spark: SparkSession, path: str, spec: TraceSpec = FUGAKU,
                       schema: StructType | str | None = None,
                       ordered: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Successful jobs with category codes, and failed jobs as they are."""
+    """Successful jobs with category codes, and failed jobs as they are; the trace is read once."""
     raw = scan_parquet_trace(spark, path, schema)
     timed = parse_timestamps(raw, [spec.submit, spec.start, spec.end])
     timed = run_time(wait_time(timed, spec.submit, spec.start), spec.start, spec.end)
-    success = label_encode(filter_success(timed, spec), FUGAKU_CATEGORIES)
+    success, failure = by_outcome(timed, spec)
     keys = [spec.end, spec.key]
-    return in_order(success, keys, ordered), in_order(filter_failure(timed, spec), keys, ordered)
+    return in_order(label_encode(success, FUGAKU_CATEGORIES), keys, ordered), in_order(failure, keys, ordered)
 
 
 def preprocess_m100(spark: SparkSession, path: str, spec: TraceSpec = M100,
@@ -52,8 +62,7 @@ def preprocess_m100(spark: SparkSession, path: str, spec: TraceSpec = M100,
 
 def preprocess_eagle(spark: SparkSession, path: str, schema: StructType | str,
                      spec: TraceSpec = EAGLE) -> tuple[DataFrame, DataFrame]:
-    """Successful jobs with wait time and category codes, and timed-out jobs as they are."""
-    raw = scan_csv_bz2_trace(spark, path, schema)
-    success = parse_timestamps(filter_success(raw, spec), [spec.start, spec.submit])
-    success = label_encode(wait_time(success, spec.submit, spec.start), EAGLE_CATEGORIES, as_string=True)
-    return success, filter_failure(raw, spec)
+    """Successful jobs with wait time and category codes, and timed-out jobs as they are; the text is unpacked once."""
+    success, failure = by_outcome(scan_csv_bz2_trace(spark, path, schema), spec)
+    success = parse_timestamps(success, [spec.start, spec.submit])
+    return label_encode(wait_time(success, spec.submit, spec.start), EAGLE_CATEGORIES, as_string=True), failure

@@ -16,6 +16,7 @@ from jobcast.functions.filters import drop_incomplete
 from jobcast.functions.scalar import inf_to_null
 from jobcast.operators.metrics import apply_bias, underpred_bias
 from jobcast.operators.sampling import balance_weights, balanced_resample, split_hash
+from jobcast.plans.ledger import Ledger
 from jobcast.plans.models import VARIANTS, ModelWriter, StoredModels, fit_all, placed_jobs
 from jobcast.session import fresh_path, store
 
@@ -211,25 +212,30 @@ def train_variants(df: DataFrame, features: Sequence[str], target: str, variants
 
 def fit_and_score(rows: DataFrame, features: Sequence[str], target: str, variants: Iterable[str], preset: str,
                   bias_types: Sequence[str], by: Sequence[str] = GROUP, key: str = "job_id",
-                  method: str = "draw", min_rows: int = 2) -> DataFrame:
+                  method: str = "draw", min_rows: int = 2, ledger: Ledger | None = None) -> DataFrame:
     """Predictions for the test rows of ``prepare_rows`` output, from models fitted on the others.
 
     A group's models are dropped once its validation and test rows are scored,
-    in one pass, so the driver holds the models of a few groups only.
+    in one pass, so the driver holds the models of a few groups only. A ``ledger`` keeps the scored rows
+    of each group; groups and variants that it has are not fitted again.
     """
     variants, by = list(variants), list(by)
     source = training_rows(rows.where(~F.col("is_test")), target, variants, by, key, method, False, min_rows)
     keep = [*by, key, "is_test"] + (["req"] if "req" in rows.columns else [])
     judged = rows.where(F.col("is_test") | F.col("is_val"))
 
-    def rows_of(group: tuple) -> DataFrame:
-        models = {v: source.fit(group, v, features, target, preset) for v in variants}
+    def rows_of(group: tuple, wanted: Sequence[str] = tuple(variants)) -> DataFrame:
+        models = {v: source.fit(group, v, features, target, preset) for v in wanted}
         models = {v: m for v, m in models.items() if m is not None}
         return score(of_group(judged, by, group), models, features, target, keep)
 
-    if all(on_log_scale(v) for v in variants):
-        source.groups = {g: n for g, n in source.groups.items() if n > 0}
-    scored = written_by_group(rows.sparkSession, list(source.groups), rows_of, scored_schema(rows, keep), "scored")
+    # variants whose logarithm leaves a group no rows have no model there
+    fitted = {g: [v for v in variants if n > 0 or not on_log_scale(v)] for g, n in source.groups.items()}
+    groups, schema = [g for g, own in fitted.items() if own], scored_schema(rows, keep)
+    if ledger:
+        scored = ledger.scored({g: fitted[g] for g in groups}, rows_of, schema, FIT_THREADS)
+    else:
+        scored = written_by_group(rows.sparkSession, groups, rows_of, schema, "scored")
     biases = underpred_bias(scored.where(~F.col("is_test")), [*by, "model"])
     return apply_bias(scored.where("is_test").drop("is_test"), biases, bias_types, [*by, "model"])
 

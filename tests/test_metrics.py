@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobcast.operators import metrics as M
+from jobcast.operators import quantiles
 from jobcast.operators.quantiles import exact_quantile
 
 FRAME = "g string, pred double, act double, req double"
@@ -16,20 +17,34 @@ def only(df):
     return rows[0].asDict()
 
 
-@pytest.mark.parametrize("p", [0.5, 0.25, 0.0, 1.0, 0.9])
-def test_exact_quantile(spark, p):
+@pytest.mark.parametrize(("p", "rest"), [(0.5, 10_000), (0.25, 100), (0.0, 1), (1.0, 1), (0.9, 3)])
+def test_exact_quantile(spark, p, rest):
     rng = np.random.default_rng(1)
     groups = {"one": [4.0], "two": [1.0, 2.0], "same": [3.0] * 50, None: [1.0, 5.0, 2.0],
               "big": (rng.lognormal(size=30_001) * 100).tolist(), "ties": rng.integers(0, 3, 30_000).astype(float).tolist()}
     df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("two", None)], "g string, v double")
-    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", ["g"], p).collect()}
+    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", ["g"], p, rest=rest).collect()}
     assert set(got) == set(groups)
     for g, vs in groups.items():
         assert got[g] == pytest.approx(np.quantile(vs, p), rel=1e-12)
-    whole = only(exact_quantile(df.where("g = 'big'"), "v", [], p))
+    whole = only(exact_quantile(df.where("g = 'big'"), "v", [], p, rest=rest))
     assert whole["quantile"] == pytest.approx(np.quantile(groups["big"], p), rel=1e-12)
 
 
+def test_no_task_orders_more_than_the_rest(spark, monkeypatch):
+    """The values kept for the last ordering are few, however large the group; rounds narrow it to them."""
+    kept, rounds = [], []
+    store, narrowed = quantiles.store, quantiles.narrowed
+    monkeypatch.setattr(quantiles, "store", lambda df, name: kept.append((name, out := store(df, name))) or out)
+    monkeypatch.setattr(quantiles, "narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    df = spark.range(50_000).selectExpr("id % 2 as g", "if(id % 10 < 3, 5.0D, double(hash(id))) as v")
+    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", ["g"], 0.8, rest=20).collect()}
+    rows = df.collect()
+    assert got == {g: np.quantile([r.v for r in rows if r.g == g], 0.8) for g in (0, 1)} and len(rounds) >= 2
+    sizes = [n for name, out in kept if name == "quantile-values" for (n,) in out.selectExpr("size(values)").collect()]
+    assert len(sizes) <= 2 and all(n <= 20 for n in sizes)
+
+
 def test_bias_of_groups(spark):
     shortfalls = [1.0, 2.0, 4.0, 10.0]
     rows = [("a", 0.0, s, 0.0) for s in shortfalls] + [("a", 5.0, 1.0, 0.0), ("none", 2.0, 1.0, 0.0), ("one", 1.0, 3.0, 0.0)]

@@ -9,6 +9,7 @@ from jobcast.operators.sampling import split_hash
 from jobcast.plans import train as T
 from jobcast.plans.evaluate import evaluate_results
 from jobcast.plans.experiment import experiment_grouped, grouped_jobs
+from jobcast.plans.ledger import Ledger
 from jobcast.sources.predictions import scan_predictions
 from jobcast.session import fresh_path
 
@@ -90,6 +91,35 @@ def test_experiments_fill_one_store(spark, sf_dir):
     assert len(report) == 4 and all(r["n_windows"] == 2 for r in report)
 
 
+def test_an_experiment_that_stopped_goes_on(spark, sf_dir, monkeypatch):
+    """After a stop, the groups and variants that are finished are not fitted again, and the results are those of one run."""
+    spec, data = HALF_MONTHS.with_(biases=("none", "two_sigma")), trace(spark, sf_dir).cache()
+    variants = ["clustering_rf", "clustering_xgb"]
+    resume, fits, fit = fresh_path(spark, "ledger"), [], T.fit_one
+
+    def stopping(*args):
+        if len(fits) >= 3:
+            raise RuntimeError("stopped")
+        fits.append(args[3])
+        return fit(*args)
+
+    monkeypatch.setattr(T, "FIT_THREADS", 1)
+    monkeypatch.setattr(T, "fit_one", stopping)
+    with pytest.raises(RuntimeError):
+        experiment_grouped(data, spec, "one_tree", variants, resume=resume)
+    done = len(Ledger(spark, resume, (spec.with_(biases=()), "one_tree", False)).entries())
+    again = []
+    monkeypatch.setattr(T, "fit_one", lambda *args: again.append(args[3]) or fit(*args))
+    got = experiment_grouped(data, spec, "one_tree", variants, resume=resume)
+    assert 0 < done < 8 and len(again) == 8 - done  # two windows, two clusters, two variants
+    count = len(again)
+    twice = experiment_grouped(data, spec, "one_tree", [*variants, "resampled_rf"], resume=resume)
+    assert len(again) == count + 4  # the new variant only
+    whole = experiment_grouped(data, spec, "one_tree", variants)
+    keyed = lambda df: {(r.job_id, r.window_start, r.model, r.bias): (r.cluster, r.pred) for r in df.collect()}
+    assert keyed(got) == keyed(whole) == keyed(twice.where("model <> 'resampled_rf'"))
+
+
 def test_spec_defaults_name_known_biases():
     assert set(SPEC.biases) == set(BIAS_TYPES)
 
