@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-from functools import cache, reduce
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,6 @@ from jobcast.session import store
 SEED = 42
 HOT = 256
 STEP = 1 << 14
-BAND_STEP = 1 << 9
 #: Odd constants that turn one 64-bit hash into the next words of a longer fingerprint.
 SPREAD = 0x9E3779B97F4A7C15
 
@@ -63,14 +62,15 @@ def majority(hashes: Iterable[np.ndarray], words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, text: str = "text") -> DataFrame:
-    """(doc_id, fp): ``fp`` is an array of ``words`` longs. A missing text has no shingles."""
+    """(doc_id, text_hash, fp): ``fp`` is an array of ``words`` longs. A missing text has no shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [fingerprint(t.as_py(), width, words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), width, words) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string")).mapInArrow(tidied(run), "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), F.col(text).cast("string")).mapInArrow(
+        tidied(run), "doc_id long, text_hash long, fp array<long>")
 
 
 def segment(fp: Column, s: int, bits: int) -> Column:
@@ -116,9 +116,8 @@ def links_of(classes: DataFrame, words: int, segments: int, bits: int, radius: i
     return compared(entries, probes, crowded, classes, words, radius)
 
 
-def compared(entries: DataFrame, probes: DataFrame, crowded: DataFrame, classes: DataFrame, words: int, radius: int,
-             check: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """(a, b) of the pairs that meet in a key, are within the radius and pass ``check``; see ``links_of`` for crowded keys."""
+def compared(entries: DataFrame, probes: DataFrame, crowded: DataFrame, classes: DataFrame, words: int, radius: int) -> DataFrame:
+    """(a, b) of the pairs that meet in a key and are within the radius; see ``links_of`` for crowded keys."""
     some = crowded.limit(1).count() > 0
     if some:
         quiet = entries.join(crowded, ["s", "key"], "left_anti")
@@ -126,13 +125,13 @@ def compared(entries: DataFrame, probes: DataFrame, crowded: DataFrame, classes:
         quiet = entries
     met = probes.join(quiet, ["s", "key"]).where((F.col("place") > 0) & (F.col("p") != F.col("id")) | (F.col("p") < F.col("id")))
     pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b"))
-    found = store(check(near_pairs(pairs, classes, words, radius)), "links")
+    found = store(near_pairs(pairs, classes, words, radius), "links")
     if not some:
         return found
     looked = store(probes.join(crowded, ["s", "key"]).select("s", "key", F.col("p").alias("b")), "looked")
     members = store(looked.join(looked.groupBy("s", "key").agg(F.min("b").alias("a")), ["s", "key"]), "members")
     spokes = store(measured(members.select("a", "b"), classes, words), "spokes")
-    linked = check(spokes.where((F.col("d") <= radius) & (F.col("a") != F.col("b"))).select("a", "b"))
+    linked = spokes.where((F.col("d") <= radius) & (F.col("a") != F.col("b"))).select("a", "b")
     so_far = store(found.unionByName(linked).distinct(), "links")
     label = components(so_far).withColumnRenamed("node", "b")
     placed = store(members.join(spokes, ["a", "b"]).join(label, "b", "left").select(
@@ -145,7 +144,7 @@ def compared(entries: DataFrame, probes: DataFrame, crowded: DataFrame, classes:
     across = split.join(rest, ["s", "key"]).where(F.expr("component <> theirs and (component = largest or id < other)") & (
         F.abs(F.col("d") - F.col("far")) <= radius) & (distance(F.col("fp"), F.col("print"), words) <= radius))
     others = across.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    return store(so_far.unionByName(check(others)).distinct(), "links")
+    return store(so_far.unionByName(others).distinct(), "links")
 
 
 def measured(pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -163,109 +162,43 @@ def near_pairs(pairs: DataFrame, classes: DataFrame, words: int, radius: int) ->
 
 def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, segments: int = 2, bits: int = 32, radius: int = 2,
                     text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, fp, component_id, n_links) for every row of ``docs``.
+    """(doc_id, text_hash, fp, component, component_id) for every row of ``docs``.
 
     Fingerprints of 64 * ``words`` bits over shingles of ``width`` words (fewer words: the whole sequence; none or a
-    missing text: zero, linked like any other). Fingerprints within ``radius`` bits are linked; ``component_id`` is the
-    smallest doc_id reachable, ``n_links`` the number of other fingerprints found directly linked (of a crowded key's
-    links only those that its components need are looked for). Equal fingerprints are one
+    missing text: zero, linked like any other). Fingerprints within ``radius`` bits are linked; ``component`` is a
+    number that the rows of a component share, ``component_id`` the smallest doc_id reachable. Equal fingerprints are one
     class from the start, so copies never meet as pairs. Repeated doc_ids keep a row each; rows without a doc_id get
-    the component of their fingerprint. An empty table gives an empty result.
+    the component of their fingerprint. ``text_hash`` is XXH64 of the text. An empty table gives an empty result.
     """
     prints = store(fingerprints(docs, width, words, text), "fingerprints")
     key = F.col("fp")[0] if words == 1 else F.xxhash64("fp")
     classes = store(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("id", key), "classes")
-    links = links_of(classes.select("id", "fp"), words, segments, bits, radius, hot)
-    label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    label = components(links_of(classes.select("id", "fp"), words, segments, bits, radius, hot))
     linked = store(classes.join(label.withColumnRenamed("node", "id"), "id").select("id", "component", "rep"), "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    joined = linked.join(least, "component").select("id", "least")
-    known = store(classes.join(joined, "id", "left").join(degree, "id", "left").select(
-        "fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id", "n_links")
+    joined = linked.join(least, "component").select("id", "component", "least")
+    known = store(classes.join(joined, "id", "left").select(
+        "fp", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("component_id")), "known")
+    return prints.join(known, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The different hashes of the text's word shingles, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+def one_of_each(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """Of ``docs`` one row for each component of ``near_duplicates``: the smallest doc_id, then the smallest hash of the text.
 
-
-@cache
-def band_functions(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    masks, odd = np.random.default_rng(SEED).integers(0, 1 << 64, (2, bands * rows), np.uint64)
-    return masks, odd | np.uint64(1)
-
-
-def band_keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One key per band, a hash of the shingles' minima under ``rows`` functions: two sets of similarity J share one with chance J ** rows."""
-    if not len(shingles):
-        return []
-    masks, odd = band_functions(bands, rows)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), BAND_STEP):
-        least = np.minimum(least, ((shingles[at: at + BAND_STEP, None] ^ masks) * odd).min(axis=0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), SEED) - (1 << 63) for row in least.reshape(bands, rows)]
-
-
-def set_prints(docs: DataFrame, width: int, words: int, bands: int, rows: int, text: str) -> DataFrame:
-    """(doc_id, text_hash, id, fp, keys): ``id`` is a hash of the text's shingle set, ``fp`` the set's fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, prints, keys = [], [], []
-            for t in b.column(2):
-                found = shingle_set(t.as_py(), width)
-                ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
-                prints.append(majority([found] if len(found) else [], words))
-                keys.append(band_keys(found, bands, rows))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(prints, longs), pa.array(keys, longs)],
-                                             names=["doc_id", "text_hash", "id", "fp", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string")).mapInArrow(
-        tidied(run), "doc_id long, text_hash long, id long, fp array<long>, keys array<long>")
-
-
-def similar_pairs(pairs: DataFrame, docs: DataFrame, prints: DataFrame, width: int, similarity: float, text: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, made anew from one text of each, have at least the given Jaccard similarity."""
-    pairs = store(pairs, "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = store(prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text_hash").alias("text_hash")), "candidate-texts")
-    own = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    texts = own.join(wanted, "text_hash").dropDuplicates(["id"]).select("id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["id", "shingles"])
-
-    sets = store(texts.mapInArrow(tidied(run), "id long, shingles array<long>"), "shingles")
-    left, right = [sets.select(F.col("id").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b")]
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
-    return joined.where(F.col("both") / (F.size("of_a") + F.size("of_b") - F.col("both")) >= similarity).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, width: int, words: int, bands: int, rows: int, radius: int, similarity: float,
-                      text: str = "text", hot: int = HOT) -> DataFrame:
-    """(doc_id, text_hash, component_id) for every row of ``docs``: the smallest doc_id reachable over pairs of at least ``similarity``.
-
-    Similarity is Jaccard's, of the sets of different shingles of ``width`` words (fewer words: the whole sequence), compared
-    exactly. Compared are texts that share a key of one of the ``bands`` and whose sets' fingerprints of 64 * ``words`` bits
-    differ in at most ``radius`` bits. Texts with equal sets, also empty ones, are one class from the start. Rows without
-    a doc_id get the component of their class. An empty table gives an empty result.
+    A row without a doc_id stays only if its component has no other. Of rows with equal doc_id and text one stays.
     """
-    prints = store(set_prints(docs, width, words, bands, rows, text), "fingerprints")
-    classes = store(prints.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "classes")
-    # equal sets have equal keys
-    keys = prints.select("id", F.posexplode("keys").alias("s", "key")).distinct()
-    entries = store(keys, "entries")
-    crowded = store(entries.groupBy("s", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("s", "key"), "crowded")
-    probes = entries.select(F.col("id").alias("p"), "s", "key", F.lit(0).alias("place"))
-    links = compared(entries, probes, crowded, classes.select("id", "fp"), words, radius,
-                     lambda pairs: similar_pairs(pairs, docs, prints, width, similarity, text))
-    linked = store(classes.join(components(links).withColumnRenamed("node", "id"), "id").select("id", "component", "rep"), "linked")
-    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    known = store(classes.join(linked.join(least, "component").select("id", "least"), "id", "left").select(
-        "id", F.coalesce("least", "rep").alias("component_id")), "known")
-    return prints.join(known, "id").select("doc_id", "text_hash", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
+    chosen = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    again = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows")).where("__rows > 1")
+    same = F.col("__id").eqNullSafe(F.col("__other")) & (F.col("__hash") == F.col("__print"))
+    chosen = store(chosen.join(again.select(F.col("__id").alias("__other"), F.col("__hash").alias("__print"), "__rows"), same, "left").select(
+        "__id", "__hash", F.col("__rows").isNotNull().alias("__again")), "chosen")
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_semi")
+
+    once = rows_of(chosen.where("not __again"))
+    repeated = chosen.where("__again")
+    if not repeated.limit(1).count():
+        return once
+    return once.unionByName(rows_of(repeated).withColumn("__hash", F.xxhash64(text)).dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
