@@ -10,11 +10,6 @@ from jobcast.llm.common import ship, table
 from jobcast.llm.queries import TOKENIZER
 from jobcast.session import store
 
-#: Of 576 fingerprint bits, texts whose five-word shingles have similarity 0.8 differ in about 87 on average, with a standard
-#: deviation of 9. All but 0.006 % of them share a key of one of 32 bands of 6 minima.
-NEAR = {"width": 5, "words": 9, "bands": 32, "rows": 6, "radius": 136, "similarity": 0.8, "hot": 4}
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents above their language's perplexity threshold go."""
     ship(spark)
@@ -24,11 +19,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more the document with the smallest id stays; documents without an id stay."""
+    """Of each group of documents whose fingerprints of three-word shingles are linked at two bits or fewer one stays.
+
+    That is the one with the smallest id; one without an id only where its group has no other.
+    """
     ship(spark)
-    found = simhash.similar_documents(docs, **NEAR)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    return simhash.one_of_each(docs, simhash.near_duplicates(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
