@@ -39,17 +39,17 @@ def sides(spark, sf_dir):
     return kept(finished(spark, sf_dir).select(((F.col("k") % 2) * 1000).alias("queue"), "run_time"))
 
 
-@query("wcss_curve", SIDES + """
+@query("wcss_curve_sides", SIDES + """
 select 2 as k, round(sum(power(p.q - mq, 2) + power(r - mr, 2)), 6) as wcss from p join s on s.q = p.q""")
-def _wcss(spark, sf_dir):
+def _wcss_sides(spark, sf_dir):
     return rounded(C.wcss_curve(sides(spark, sf_dir), ["queue", "run_time"], 2))
 
 
-@query("silhouette_curve", SIDES + """
+@query("silhouette_curve_sides", SIDES + """
 , d as (select (o.ms - 2 * (p.q * o.mq + r * o.mr) + sq) * o.n / (o.n - 1) as a,
     t.ms - 2 * (p.q * t.mq + r * t.mr) + sq as b from p join s o on o.q = p.q join s t on t.q <> p.q)
 select 2 as k, round(avg((b - a) / greatest(a, b)), 6) as silhouette from d""")
-def _silhouette(spark, sf_dir):
+def _silhouette_sides(spark, sf_dir):
     return rounded(C.silhouette_curve(sides(spark, sf_dir), ["queue", "run_time"], 2))
 
 
@@ -59,16 +59,19 @@ def places(spark, sf_dir):
     return jobs(spark, sf_dir).select(*[(F.col("job_id") % 10 == i).cast("double").alias(q) for i, q in enumerate(names)]), names
 
 
-@query("wcss_curve_places", """
-select cast(k as int) as k, round(n * (10 - k) / 10.0, 6) as wcss
-from (select count(*) as n from jobs) cross join (select unnest(generate_series(2, 10)) as k)""")
-def _wcss_places(spark, sf_dir):
+COSTS = """, curve as (select cast(k as int) as k, n * (10 - k) / 10.0 as wcss, k / 10.0 as silhouette
+  from (select count(*) as n from jobs) cross join (select unnest(generate_series(2, 10)) as k))"""
+
+
+@query("wcss_curve_places", COSTS + " select k, round(wcss, 6) as wcss from curve")
+@query("wcss_curve", COSTS + " select k, round(wcss, 6) as wcss from curve")
+def _wcss(spark, sf_dir):
     return rounded(C.wcss_curve(*places(spark, sf_dir)))
 
 
-@query("silhouette_curve_places", """
-select cast(k as int) as k, round(k / 10.0, 2) as silhouette from (select unnest(generate_series(2, 10)) as k)""")
-def _silhouette_places(spark, sf_dir):
+@query("silhouette_curve_places", COSTS + " select k, round(silhouette, 2) as silhouette from curve")
+@query("silhouette_curve", COSTS + " select k, round(silhouette, 2) as silhouette from curve")
+def _silhouette(spark, sf_dir):
     return rounded(C.silhouette_curve(*places(spark, sf_dir)), 2)
 
 
@@ -91,6 +94,28 @@ def _exact(spark, sf_dir):
     return rounded(C.silhouette_exact(points, ["x", "y"], "label"))
 
 
-@query("optimal_k")
+@query("silhouette_exact_continuous", """
+, p as (select job_id as id, run_time / 3600 as x, elpl / 3600 as y, cast(k % 3 as int) as label from finished),
+s as (select label, count(*) as size from p group by label),
+t as (select a.id, a.label, b.label as c, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) as tot from p a cross join p b group by all),
+ab as (select id, max(case when c = t.label then tot / (size - 1) end) as a, min(case when c <> t.label then tot / size end) as b
+  from t join s on s.label = t.c group by id)
+select count(*) as n_jobs, round(avg((b - a) / greatest(a, b)), 6) as silhouette from ab""")
+def _exact_continuous(spark, sf_dir):
+    """Run times that hardly two jobs share, so that the points fill several tiles."""
+    points = finished(spark, sf_dir).select((F.col("run_time") / 3600).alias("x"), (F.col("elpl") / 3600).alias("y"), (F.col("k") % 3).alias("label"))
+    return rounded(C.silhouette_exact(points, ["x", "y"], "label", tile_points=1000))
+
+
+@query("optimal_k", COSTS + """
+, bends as (select k, lead(wcss, 2) over (order by k) - 2 * lead(wcss) over (order by k) + wcss as bend, max(wcss) over () as most from curve)
+select cast(coalesce(min(k) filter (bend < -1e-9 * most), 2) as int) as elbow_k,
+  (select cast(max_by(k, silhouette) as int) from curve) as silhouette_k from bends""")
 def _optimal(spark, sf_dir):
+    """A straight line of costs has no elbow; silhouettes grow up to the number of places."""
+    return C.optimal_k(*places(spark, sf_dir))
+
+
+@query("optimal_k_trace")
+def _optimal_trace(spark, sf_dir):
     return C.optimal_k(kept(finished(spark, sf_dir).select(*SPEC.features)), SPEC.features)

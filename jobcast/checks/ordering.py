@@ -27,26 +27,43 @@ def curves(spark, sf_dir):
         F.round(F.sum("ss") / F.sum("n") / 1e9 * ((F.col("k") * 5) % 7), 6).alias("silhouette"))
 
 
-@query("label_encode", """
+CODED = """
 , coded as (select job_id, dense_rank() over (order by usr) - 1 as usr,
   case when run_time is null then (select count(distinct run_time) from jobs)
     else dense_rank() over (order by run_time nulls last) - 1 end as run_time,
   dense_rank() over (order by jnam) - 1 as jnam,
   dense_rank() over (order by jid) - 1 as jid,
   dense_rank() over (order by case when mszl is null then 'nan' else mszl::varchar end) - 1 as mszl_text from jobs)
-select * from coded""")
-def _encode(spark, sf_dir):
+select * from coded"""
+
+
+@query("label_encode_by_shuffle", CODED)
+def _encode_by_shuffle(spark, sf_dir):
+    """No dictionary fits a broadcast: frequent values first, the others by a spread join."""
+    return _encode(spark, sf_dir, max_rows=0)
+
+
+@query("label_encode", CODED)
+def _encode(spark, sf_dir, **options):
     rows = kept(jobs(spark, sf_dir).select(
         "job_id", "usr", "run_time", "jnam", "jid", F.col("mszl").alias("mszl_text")))
-    native = E.label_encode(rows, ["usr", "run_time", "jnam", "jid"])
-    return E.label_encode(native, ["mszl_text"], as_string=True)
+    native = E.label_encode(rows, ["usr", "run_time", "jnam", "jid"], **options)
+    return E.label_encode(native, ["mszl_text"], as_string=True, **options)
 
 
-@query("first_seen_id", """
+FIRST_SEEN = """
 , f as (select usr, row_number() over (order by min(row(adt, job_id))) as usr_id from jobs group by usr)
-select job_id, jobs.usr, usr_id from jobs join f on jobs.usr = f.usr""")
-def _first(spark, sf_dir):
-    return E.first_seen_id(jobs(spark, sf_dir).select("job_id", "adt", "usr"), "usr", ["adt", "job_id"]).drop("adt")
+select job_id, jobs.usr, usr_id from jobs join f on jobs.usr = f.usr"""
+
+
+@query("first_seen_id_by_shuffle", FIRST_SEEN)
+def _first_by_shuffle(spark, sf_dir):
+    return _first(spark, sf_dir, max_rows=0)
+
+
+@query("first_seen_id", FIRST_SEEN)
+def _first(spark, sf_dir, **options):
+    return E.first_seen_id(jobs(spark, sf_dir).select("job_id", "adt", "usr"), "usr", ["adt", "job_id"], **options).drop("adt")
 
 
 @query("sequential_job_number", """

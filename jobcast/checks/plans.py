@@ -177,14 +177,29 @@ def _grouped(spark, sf_dir):
                                       ["clustering_xgb", "clustering_rf"]).drop("cluster"), 4)
 
 
-@query("experiment_baseline_ensembles")
+def jobs_judged_sql(models: list[str]) -> str:
+    """What holds whatever the models predict: every complete test job once for each model and buffer, and nothing is missed or invented."""
+    names = ", ".join(f"('{m}')" for m in models)
+    return ROWS.replace("nnumr, cast", "nnumr, mszl, freq_req, cast") + f"""
+, judged as (select window_start from rows where is_test and mszl is not null and not isinf(freq_req))
+select m.model, t.bias, 16 as window_size, count(distinct window_start) as n_windows, count(*) as n_jobs
+from judged cross join (values {names}) m(model) cross join {BIAS_LIST} group by all"""
+
+
+def jobs_judged(report):
+    return report.select("model", "bias", "window_size", "n_windows", "n_jobs")
+
+
+@query("experiment_baseline_ensembles", jobs_judged_sql(["baseline"]))
 def _baseline_ensembles(spark, sf_dir):
-    return evaluate_results(experiment_baseline(trace(spark, sf_dir), HALF_MONTHS, "fast"))
+    """Boosted trees on all five features."""
+    return jobs_judged(evaluate_results(experiment_baseline(trace(spark, sf_dir), HALF_MONTHS, "fast")))
 
 
-@query("experiment_grouped_ensembles")
+@query("experiment_grouped_ensembles", jobs_judged_sql(["clustering_xgb", "clustering_rf", "resampled_xgb", "resampled_rf"]))
 def _grouped_ensembles(spark, sf_dir):
-    return evaluate_results(experiment_grouped(trace(spark, sf_dir), HALF_MONTHS, "fast"))
+    """All four variants on all five features."""
+    return jobs_judged(evaluate_results(experiment_grouped(trace(spark, sf_dir), HALF_MONTHS, "fast")))
 
 
 EVALUATED = METRICS + """, pooled as (select window_size, model, bias, count(*) as n_jobs,

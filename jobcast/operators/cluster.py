@@ -21,8 +21,10 @@ from jobcast.operators.windows import nearest_center, squared_distance
 from jobcast.session import store
 
 FIT_THREADS = 4
-TILE_POINTS = 4096
+TILE_POINTS = 32_768
 TILE_ROWS = 256
+# Share of a curve's largest cost below which a second difference is a rounding error.
+ROUNDING = 1e-9
 
 
 def work_names(features: Sequence[str]) -> list[str]:
@@ -101,12 +103,16 @@ def silhouette_curve(df: DataFrame, features: Sequence[str], max_k: int = 10, sc
 
 def optimal_k(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: bool = False,
               seed: int = 42, exact: bool = False) -> DataFrame:
-    """The elbow's and the silhouette's choice of k, from one fit per k on unscaled features."""
+    """The elbow's and the silhouette's choice of k, from one fit per k on unscaled features.
+
+    Differences of the cost within rounding (``elbow_k``'s ``tolerance``) are no bend, and of silhouettes that agree to nine digits the smallest k counts.
+    """
     measure = exact_silhouette if exact else mean_silhouette
     rows = fitted_curve(df, features, max_k, scale, seed, lambda m, v: (*cost(m, v), *measure(m, v)))
     curve = df.sparkSession.createDataFrame(
         [("all", *r) for r in rows], "curve string, k int, wcss double, silhouette double")
-    return elbow_k(curve, ["curve"]).join(silhouette_k(curve, ["curve"]), "curve").drop("curve")
+    even = curve.withColumn("silhouette", F.round("silhouette", 9))
+    return elbow_k(curve, ["curve"], tolerance=ROUNDING).join(silhouette_k(even, ["curve"]), "curve").drop("curve")
 
 
 def kmeans_wcss(df: DataFrame, features: Sequence[str], centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -117,27 +123,48 @@ def kmeans_wcss(df: DataFrame, features: Sequence[str], centers: Sequence[Sequen
     return placed.groupBy("cluster").agg(F.count("*").alias("n_jobs"), F.sum(distance).alias("wcss"))
 
 
-def tile_sums(features: list[str], targets: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-    """For each target point, its summed distance to the sources of each cluster."""
-    if targets.empty or sources.empty:
+def cell_sums(features: list[str], cell: pd.DataFrame) -> pd.DataFrame:
+    """For the points of one tile or of two, the summed distances to the others' clusters, in both directions.
+
+    The cell's distances are made once, ``TILE_ROWS`` rows at a time, and added up along both sides.
+    """
+    parts = [p for _, p in cell.groupby("tile", sort=True)]
+    # a pair of tiles of which one is empty has nothing to add; a tile with itself needs one direction only
+    if len(parts) < 2 and not cell["alone"].iloc[0]:
         return pd.DataFrame({"point": [], "cluster": [], "total": []})
-    there = sources[features].to_numpy(dtype=float)
-    here = targets[features].to_numpy(dtype=float)
-    labels, member = np.unique(sources["label"].to_numpy(), return_inverse=True)
-    share = np.zeros((len(there), len(labels)))
-    share[np.arange(len(there)), member] = sources["weight"].to_numpy(dtype=float)
-    totals = np.empty((len(here), len(labels)))
+    left, right = parts[0], parts[-1]
+    here, there = [p[features].to_numpy(dtype=float) for p in (left, right)]
+    (mine, share), (theirs, other) = [shares(p) for p in (left, right)]
+    to_right, to_left = np.zeros((len(here), len(theirs))), np.zeros((len(there), len(mine)))
     for at in range(0, len(here), TILE_ROWS):
         block = here[at:at + TILE_ROWS]
         square = np.zeros((len(block), len(there)))
         for axis in range(here.shape[1]):
             square += (block[:, axis, None] - there[None, :, axis]) ** 2
-        totals[at:at + TILE_ROWS] = np.sqrt(square) @ share
-    return pd.DataFrame({
-        "point": np.repeat(targets["point"].to_numpy(), len(labels)),
-        "cluster": np.tile(labels, len(here)),
-        "total": totals.ravel(),
-    })
+        away = np.sqrt(square, out=square)
+        to_right[at:at + TILE_ROWS] = away @ other
+        if len(parts) == 2:
+            to_left += away.T @ share[at:at + TILE_ROWS]
+    frames = [totals_of(left, theirs, to_right)] + ([totals_of(right, mine, to_left)] if len(parts) == 2 else [])
+    return pd.concat(frames, ignore_index=True)
+
+
+def shares(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters in a tile, and each point's weight in the column of its own."""
+    labels, member = np.unique(part["label"].to_numpy(), return_inverse=True)
+    share = np.zeros((len(part), len(labels)))
+    share[np.arange(len(part)), member] = part["weight"].to_numpy(dtype=float)
+    return labels, share
+
+
+def totals_of(part: pd.DataFrame, labels: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"point": np.repeat(part["point"].to_numpy(), len(labels)), "cluster": np.tile(labels, len(part)), "total": totals.ravel()})
+
+
+def tile_count(n: int, tasks: int, tile_points: int) -> int:
+    """Tiles of ``n`` points: enough cells for all tasks, none with fewer than ``TILE_ROWS`` points, none with more than ``tile_points``."""
+    wanted = int(np.ceil(np.sqrt(4 * tasks)))
+    return max(1, -(-n // tile_points), min(wanted, n // TILE_ROWS))
 
 
 def silhouette_exact(df: DataFrame, features: Sequence[str], label: str,
@@ -145,26 +172,22 @@ def silhouette_exact(df: DataFrame, features: Sequence[str], label: str,
     """Mean Euclidean silhouette of given integer labels over the whole frame.
 
     The measure needs the distances between all distinct points. Equal points
-    are merged into weighted ones first; the rest is cut into tiles of bounded
-    size, and a task sums the distances between two tiles without emitting pairs.
-    The work grows with the square of the distinct points: for large
+    are merged into weighted ones first; the rest is cut into p tiles of bounded size, whose pairs, each taken once, are the
+    p * (p + 1) / 2 cells of a triangle. A point goes to the p cells of its tile, and a cell adds the distances up for both of its
+    tiles: no pairs of points are emitted. The work grows with the square of the distinct points: for large
     traces ``silhouette_curve`` uses the linear-cost measure.
     """
-    features = list(features)
+    features, spark = list(features), df.sparkSession
     named = df.where(F.col(label).isNotNull()).na.drop("any", subset=features).select(
         *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("label"))
     merged = named.groupBy(*features, "label").agg(F.count("*").alias("weight"))
     points = store(merged.withColumn("point", F.monotonically_increasing_id()), "silhouette-points")
-    tiles = max(1, -(-points.count() // tile_points))
+    tiles = tile_count(points.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), tile_points)
     tiled = points.withColumn("tile", F.pmod(F.xxhash64("point"), F.lit(tiles)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    targets = tiled.select("point", *features, F.col("tile").alias("target_tile"), every.alias("source_tile"))
-    sources = tiled.select("label", "weight", *features, every.alias("target_tile"),
-                           F.col("tile").alias("source_tile"))
-    grid = ["target_tile", "source_tile"]
-    sums = targets.groupBy(*grid).cogroup(
-        sources.groupBy(*grid)).applyInPandas(
-            lambda t, s: tile_sums(features, t, s), "point long, cluster int, total double")
+    dealt = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
+        "point", "label", "weight", *features, "tile", (F.col("tile") == F.col("with")).alias("alone"),
+        F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
+    sums = dealt.groupBy("low", "high").applyInPandas(lambda cell: cell_sums(features, cell), "point long, cluster int, total double")
     sizes = store(points.groupBy("label").agg(F.sum("weight").alias("size")), "silhouette-sizes")
     totals = sums.groupBy("point", "cluster").agg(F.sum("total").alias("total"))
     sized = totals.join(sizes.withColumnRenamed("label", "cluster"), "cluster")

@@ -128,12 +128,16 @@ def wcss_second_diff(curves: DataFrame, by: Sequence[str] = ("window_start",)) -
         "second_diff", F.lead("first_diff").over(along) - F.col("first_diff"))
 
 
-def elbow_k(curves: DataFrame, by: Sequence[str] = ("window_start",)) -> DataFrame:
-    """Place of the first negative second difference plus 2; none at all gives 2."""
+def elbow_k(curves: DataFrame, by: Sequence[str] = ("window_start",), tolerance: float = 0.0) -> DataFrame:
+    """Place of the first negative second difference plus 2; none at all gives 2.
+
+    A difference counts as negative beyond ``tolerance`` times the curve's largest value.
+    """
     along = Window.partitionBy(*by).orderBy("k")
-    placed = wcss_second_diff(curves, by).withColumn("__place", F.row_number().over(along) - 1)
+    placed = wcss_second_diff(curves, by).withColumns({
+        "__place": F.row_number().over(along) - 1, "__least": F.max("wcss").over(Window.partitionBy(*by)) * -tolerance})
     return placed.groupBy(*by).agg((F.coalesce(
-        F.min(F.when(F.col("second_diff") < 0, F.col("__place"))), F.lit(0)) + 2).alias("elbow_k"))
+        F.min(F.when(F.col("second_diff") < F.col("__least"), F.col("__place"))), F.lit(0)) + 2).alias("elbow_k"))
 
 
 def silhouette_k(curves: DataFrame, by: Sequence[str] = ("window_start",)) -> DataFrame:

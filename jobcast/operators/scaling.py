@@ -19,14 +19,20 @@ SLICE_BITS = 12
 
 
 def text_bytes(df: DataFrame) -> Column:
-    """Total bytes of all text columns."""
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return reduce(lambda a, b: a + b, [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts],
-                  F.lit(0).cast("long"))
+    """Total bytes of all columns whose values have no fixed size: text, and arrays, structs and maps as text."""
+    def size(f: T.StructField) -> Column | None:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            return F.octet_length(F.to_json(F.struct(f"`{f.name}`")))
+        return None
+
+    sizes = [c for c in map(size, df.schema) if c is not None]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.sum(c), F.lit(0)) for c in sizes], F.lit(0).cast("long"))
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows and their text; cheap on a stored or generated table."""
+    """Count at most ``max_rows + 1`` rows and their bytes; cheap on a stored or generated table."""
     head = df.limit(max_rows + 1)
     size = head.agg(F.count("*").alias("rows"), text_bytes(head).alias("bytes")).first()
     return size["rows"] <= max_rows and size["bytes"] <= BROADCAST_BYTES

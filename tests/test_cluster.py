@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobcast.checks import QUERIES
 from jobcast.operators import cluster as C
+from jobcast.operators.encode import elbow_k
 
 FEATURES = ["x", "y"]
 
@@ -85,3 +86,16 @@ def test_tuning_query_tries_up_to_ten_groups(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(C, "fitted_curve", curve)
     assert QUERIES["optimal_k"](spark, sf_dir).first()["silhouette_k"] == 8
+
+
+def test_tiles_follow_tasks_and_points():
+    assert C.tile_count(10, 8, 4096) == 1 and C.tile_count(3000, 8, 4096) == 6
+    assert C.tile_count(3000, 8, 100) == 30 and C.tile_count(0, 8, 4096) == 1
+    assert C.tile_count(10**6, 200, 10**6) == 29  # 435 cells for 200 tasks
+
+
+def test_rounding_makes_no_elbow(spark):
+    rows = [("a", k, 1000.0 * (10 - k) + (1e-8 if k == 5 else 0.0)) for k in range(2, 11)] + [("b", k, float(w)) for k, w in zip(range(2, 8), (100, 60, 50, 10, 9, 8))]
+    curves = spark.createDataFrame(rows, "curve string, k int, wcss double")
+    assert dict(elbow_k(curves, ["curve"], tolerance=1e-9).collect()) == {"a": 2, "b": 3}
+    assert dict(elbow_k(curves, ["curve"]).collect())["a"] > 2

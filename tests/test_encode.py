@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobcast.operators import encode as E
+from jobcast.operators.scaling import text_bytes
 
 
 def codes(df, col, key="i"):
@@ -84,3 +85,10 @@ def test_broadcast_needs_few_rows_and_little_text(spark, monkeypatch):
     assert scaling.fits_broadcast(df, 100) and not scaling.fits_broadcast(df, 99)
     monkeypatch.setattr(scaling, "BROADCAST_BYTES", 4000)
     assert not scaling.fits_broadcast(df, 100)
+
+
+def test_nested_columns_count_as_bytes(spark):
+    """An array of many numbers does not pass a size check as if it were nothing."""
+    wide = spark.range(10).selectExpr("id", "sequence(1, 1000) as a", "named_struct('x', repeat('y', 500)) as s", "cast(repeat('z', 7) as binary) as b")
+    assert wide.agg(text_bytes(wide)).first()[0] > 10 * (3000 + 500 + 7)
+    assert spark.range(3).agg(text_bytes(spark.range(3))).first()[0] == 0
