@@ -96,31 +96,35 @@ def small(edges: DataFrame) -> DataFrame:
     return F.broadcast(edges) if size["n"] <= BROADCAST_EDGES and size["bytes"] <= BROADCAST_BYTES else edges
 
 
-def edited(walkers: DataFrame, edges: DataFrame) -> DataFrame:
-    """(word, place, goal, ...edge): words without an edit take one on each edge below their node.
+def edited(walkers: DataFrame, edges: DataFrame, at_root: bool) -> DataFrame:
+    """(word, place, goal, ...edge): words without an edit lose a letter, or get a greater one in place of one.
 
+    Each pair of near words is found once, from the longer of the two or from the one with the smaller letter.
     ``place`` counts the letters of the word that are used up at the child, ``goal`` is the length of the word it is to
-    become. On an edge with another first letter the edit is that letter, put in or put in place of the word's; on the
-    word's own edge it is any letter of the edge, or the loss of a letter behind the first. The loss of the first letter
-    of all is an edit at the root.
+    become. Edges with a greater first letter take it in place of the word's. On the word's own edge any letter can change,
+    or be lost behind the first one; the loss of the first letter of all is an edit at the root.
     """
     word, at, n = F.col("word"), F.length("node"), F.length("child") - F.length("node")
-    label, tail = letters_at(F.col("child"), at, n), letters_at(F.col("child"), at + 1, n - 1)
-    left, own = F.length("word") - at, letters_at(word, at, 1) == F.col("c")
+    label, left = letters_at(F.col("child"), at, n), F.length("word") - at
 
-    def one_edit(used: Column) -> Column:
-        return own & (left >= used) & (F.levenshtein(letters_at(word, at, used), label, 1) == 1)
-
-    def made(found: Column, used: Column, more: int) -> Column:
-        return F.when(found, F.struct((at + used).cast("int").alias("place"), (F.length("word") + more).cast("int").alias("goal")))
+    def state(used: Column, goal: Column) -> Column:
+        return F.struct((at + used).cast("int").alias("place"), goal.cast("int").alias("goal"))
 
+    tails = letters_at(word, at + 1, n - 1) == letters_at(F.col("child"), at + 1, n - 1)
+    greater = walkers.join(edges, "node").where((F.col("c") > letters_at(word, at, 1)) & (left >= n) & tails).select(
+        "word", state(n, F.length("word")).alias("way"), *EDGE)
+    same, longer = letters_at(word, at, n), letters_at(word, at, n + 1)
     ways = F.array(
-        made(F.when(own, one_edit(n - 1)).otherwise(letters_at(word, at, n - 1) == tail), n - 1, 1),
-        made(F.when(own, one_edit(n)).otherwise((left >= n) & (letters_at(word, at + 1, n - 1) == tail)), n, 0),
-        made(one_edit(n + 1) | ((at == 0) & ~own & (letters_at(word, at + 1, n) == label)), n + 1, -1))
+        F.when((left >= n) & (label > same) & (F.levenshtein(same, label, 1) == 1), state(n, F.length("word"))),
+        F.when((left > n) & (F.levenshtein(longer, label, 1) == 1), state(n + 1, F.length("word") - 1)))
     # an own edge with one word leads to the word itself only
-    met = walkers.join(edges, "node").where(~own | (F.col("n") > 1))
-    return met.select("word", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("way"), *EDGE).select("word", "way.place", "way.goal", *EDGE)
+    own = walkers.withColumn("c", letters_at(word, at, 1)).join(edges.where("n > 1"), ["node", "c"]).select(
+        "word", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("way"), *EDGE)
+    found = greater.unionByName(own)
+    if at_root:
+        second = walkers.withColumn("c", letters_at(word, F.lit(1), 1)).where(F.col("c") != letters_at(word, F.lit(0), 1)).join(edges, ["node", "c"])
+        found = found.unionByName(second.where(letters_at(word, F.lit(1), n) == label).select("word", state(n + 1, F.length("word") - 1).alias("way"), *EDGE))
+    return found.select("word", "way.place", "way.goal", *EDGE)
 
 
 EDGE = ("child", "n", "ends", "shortest", "longest", "nexts")
@@ -139,7 +143,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     The trie's edges are a table, made and walked level by level. States (word, place, node, edits) are joined with the
     edges below their nodes; words without an edit are at the nodes on their own path. A state that has used up its word
-    at the end of another is a result. One that has letters left goes on if words of the wanted length are below and
+    at the end of another is a result, in both directions. One that has letters left goes on if words of the wanted length are below and
     the next letter leads there. Each level is a written table; levels follow the longest chain of branches, not the
     longest word.
     """
@@ -153,7 +157,7 @@ def near_words(words: DataFrame) -> DataFrame:
         deeper = store(edges_of(below), "trie-edges")
         nexts = deeper.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("c"), "").alias("nexts"))
         level = small(store(edges.join(nexts, "child", "left"), "trie-level"))
-        steps = edited(walkers, level)
+        steps = edited(walkers, level, states is None)
         if states is not None:
             steps = steps.unionByName(followers(states, level))
         left = F.col("place") < F.length("word")
@@ -161,7 +165,8 @@ def near_words(words: DataFrame) -> DataFrame:
         steps = store(steps.where((~left & F.col("ends")) | goes_on).select("word", "place", "goal", F.col("child").alias("node")), "trie-steps")
         found.append(steps.where(~left).select("word", F.col("node").alias("near")))
         walkers, edges, states = below, deeper, steps.where(left)
-    return reduce(DataFrame.unionByName, found).distinct()
+    once = reduce(DataFrame.unionByName, found).distinct()
+    return once.unionByName(once.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def group_variants(docs: DataFrame, letters: int = 6, least: int = 5, times: int = 5) -> DataFrame:
