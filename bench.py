@@ -15,6 +15,7 @@ HEADLINE = (
     "balance_weights", "underpred_bias", "apply_bias", "window_metrics", "median_error_by_range",
     "error_histogram", "kde_density", "boxplot_stats", "silhouette_exact", "kmeans_group_jobs",
     "evaluate_results", "group_mean_experiment", "experiment_baseline", "stream_window_stats",
+    "label_encode_growing", "predict_per_cluster", "experiment_grouped",
 )
 
 

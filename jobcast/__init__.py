@@ -10,6 +10,7 @@ from jobcast.functions.scalar import (
     signed_abs_error, status_code_map, strip_timezone, time_limit_seconds, to_numeric_coerce, wait_time)
 from jobcast.operators.cluster import (
     kmeans_group_jobs, kmeans_wcss, optimal_k, silhouette_curve, silhouette_exact, wcss_curve)
+from jobcast.operators.dictionary import encode_with, grow_dictionary
 from jobcast.operators.encode import (
     elbow_k, first_seen_id, label_encode, random_sample_n, sequential_job_number, silhouette_k, sort_trace,
     wcss_second_diff)
@@ -23,16 +24,18 @@ from jobcast.operators.sampling import (
     split_success_failure)
 from jobcast.operators.windows import (
     assign_windows_sliding, assign_windows_tumbling, lookup_join, nearest_center, window_table)
-from jobcast.plans.evaluate import evaluate_results
+from jobcast.plans.evaluate import add_to_report, evaluate_results, kept_report
 from jobcast.plans.experiment import experiment_baseline, experiment_grouped
+from jobcast.plans.models import StoredModels
 from jobcast.plans.preprocess import preprocess_eagle, preprocess_fugaku, preprocess_m100
 from jobcast.plans.swf import to_swf
 from jobcast.plans.train import (
     predict_global, predict_per_cluster, train_cluster_gbt, train_cluster_rf, train_global_gbt, train_resampled,
     train_variants)
 from jobcast.session import drop_stored, local_session
-from jobcast.sources.predictions import scan_predictions, sink_predictions
+from jobcast.sources.predictions import clean_predictions, scan_predictions, sink_predictions
 from jobcast.sources.traces import scan_csv_bz2_trace, scan_parquet_trace
+from jobcast.sources.versions import Versions
 from jobcast.spec import EAGLE, FUGAKU, M100, TraceSpec
 from jobcast.streaming.jobs import run_available, stream_suggest, stream_window_stats
 
