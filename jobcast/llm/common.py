@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobcast.session import fresh_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,7 +34,7 @@ def parts_for(total_bytes: int, part_bytes: int, least: int = 8) -> int:
 
 def _encode(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_table(rows)
     return sink.getvalue().to_pybytes()
 
@@ -97,16 +99,27 @@ def pack(batches: Batches, block_bytes: int, text: str) -> Batches:
 def pack_blocks(df: DataFrame, block_bytes: int, text: str = "text") -> DataFrame:
     """(block, blob): rows of ``df`` packed into compressed blocks of about ``block_bytes`` of text.
 
-    A row larger than that has a block of its own. Numbers follow the partition and the place in it, so every pass
-    over the same stored table gives the same blocks. Passes that need something back from elsewhere shuffle the
-    blocks by number, compressed, and can share one such exchange.
+    A row larger than that has a block of its own. Numbers follow the partition and the place in it: another reading of
+    ``df`` may deal its rows otherwise. Whoever reads the blocks more than once stores them first. Passes that need
+    something back from elsewhere shuffle the blocks by number, compressed, and can share one such exchange.
     """
     return df.mapInArrow(tidied(lambda batches: pack(batches, block_bytes, text)), BLOCK_TYPE)
 
 
-def map_blocks(df: DataFrame, block_bytes: int, each: Callable[[Batches], Batches], out_type: str, text: str = "text") -> DataFrame:
-    """``each`` over the same blocks where they arise, in the worker that packs them."""
-    return df.mapInArrow(tidied(lambda batches: each(pack(batches, block_bytes, text))), out_type)
+def store_blocks(blocks: DataFrame, name: str, parts: int) -> DataFrame:
+    """Write blocks once, each in one of ``parts`` buckets by its number, and return the stored table.
+
+    Every pass over it sees the same blocks, and a grouping by number with ``parts`` partitions reads the buckets where they are: the
+    texts are not shuffled. The catalog only lends its description of the table and forgets it at once; the files are
+    an intermediate table like any other.
+    """
+    spark = blocks.sparkSession
+    path = fresh_path(spark, name)
+    known = "blocks_" + path.rsplit("-", 1)[-1]
+    blocks.write.bucketBy(parts, "block").option("path", path).saveAsTable(known)
+    stored = spark.table(known)
+    spark.sql(f"drop table {known}")
+    return stored
 
 
 def bytes_of(rows: pa.Table, text: str = "text") -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobcast.llm.common import bytes_of, map_blocks, pack_blocks, parts_for, text_bytes, tidied, unpack
+from jobcast.llm.common import bytes_of, pack_blocks, parts_for, store_blocks, text_bytes, tidied, unpack
 from jobcast.session import store
 
 ORDER = 5
@@ -21,6 +21,8 @@ SHARD_BYTES = 24 << 20
 BROADCAST_IDS = 2_000_000
 BROADCAST_LANGUAGES = 10_000
 QUANTILE = 0.995
+#: Held-out texts from which on a language has variances and a quantile of its own.
+FEW_TEXTS = 200
 MARGIN = 1.05
 #: Digits count as one sign, all white space as another; every other byte is itself.
 SIGN = np.array([48 if 48 <= b < 58 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256)], np.uint8)
@@ -109,40 +111,49 @@ def summed(t: pa.Table) -> pa.Table:
 
 
 def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Each block's grams of one shard, with their log-probabilities."""
-    out = {"block": [], "codes": [], "logs": []}
+    """For each block's grams of one shard, in ascending order, their log-probabilities."""
+    out = {"block": [], "shard": [], "logs": []}
     order = np.argsort(right.column("g").to_numpy())
     known, logs = right.column("g").to_numpy()[order], right.column("logp").to_numpy()[order].astype(np.float32)
-    for block, asked in zip(left.column("block").to_pylist(), left.column("asked").to_pylist()):
+    for block, shard, asked in zip(*[left.column(c).to_pylist() for c in ("block", "shard", "asked")]):
+        wanted = widened(asked)
+        place = np.searchsorted(known, wanted)
+        if len(wanted) and (not len(known) or (known[np.minimum(place, len(known) - 1)] != wanted).any()):
+            raise ValueError(f"block {block} asks for grams that shard {shard} of the model does not have")
         out["block"].append(block)
-        out["codes"].append(asked)
-        out["logs"].append(zstandard.compress(logs[np.searchsorted(known, widened(asked))].tobytes(), 1))
-    return pa.table({"block": pa.array(out["block"], pa.int64()), "codes": pa.array(out["codes"], pa.binary()), "logs": pa.array(out["logs"], pa.binary())})
+        out["shard"].append(shard)
+        out["logs"].append(zstandard.compress(logs[place].tobytes(), 1))
+    return pa.table({"block": pa.array(out["block"], pa.int64()), "shard": pa.array(out["shard"], pa.int32()), "logs": pa.array(out["logs"], pa.binary())})
 
 
-def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+def scored(shards: int):
     """A block's texts with the sum of their log-probabilities."""
-    keys = [widened(b) for b in right.column("codes").to_pylist()]
-    values = [np.frombuffer(zstandard.decompress(b), np.float32) for b in right.column("logs").to_pylist()]
-    key, value = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.float32), *values])
-    order = np.argsort(key)
-    key, value = key[order], value[order].astype(np.float64)
-    out = []
-    for blob in left.column("blob").to_pylist():
-        rows = unpack(blob)
-        data, offsets = bytes_of(rows)
-        total = np.zeros(rows.num_rows)
-        for code, text in grams(data, offsets):
-            mixed = np.sort(code << 20 | np.arange(len(code)))
-            sorted_code, place = mixed >> 20, mixed & (CHUNK - 1)
-            new = np.flatnonzero(np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]]))
-            logs = value[np.searchsorted(key, sorted_code[new])]
-            each = np.empty(len(code))
-            each[place] = np.repeat(logs, np.diff(np.append(new, len(code))))
-            start = np.flatnonzero(np.diff(text, prepend=-1))
-            total[text[start]] += np.add.reduceat(each, start)
-        out.append(rows.drop_columns(["text", "teaches"]).append_column("n_bytes", pa.array(np.diff(offsets))).append_column("logprob", pa.array(total)))
-    return pa.concat_tables(out)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for block, blob in zip(left.column("block").to_pylist(), left.column("blob")):
+            rows = unpack(blob.as_py())
+            data, offsets = bytes_of(rows)
+            codes = [code for code, _ in grams(data, offsets)]
+            key = np.unique(np.concatenate([np.unique(c) for c in codes])) if codes else np.zeros(0, np.int64)
+            del codes
+            of, value = shard_of(key, shards), np.full(len(key), np.nan)
+            for shard, logs in zip(right.column("shard").to_pylist(), right.column("logs").to_pylist()):
+                value[of == shard] = np.frombuffer(zstandard.decompress(logs), np.float32)
+            if np.isnan(value).any():
+                raise ValueError(f"answers to block {block} are missing")
+            total = np.zeros(rows.num_rows)
+            for code, text in grams(data, offsets):
+                mixed = np.sort(code << 20 | np.arange(len(code)))
+                sorted_code, place = mixed >> 20, mixed & (CHUNK - 1)
+                new = np.flatnonzero(np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]]))
+                logs = value[np.searchsorted(key, sorted_code[new])]
+                each = np.empty(len(code))
+                each[place] = np.repeat(logs, np.diff(np.append(new, len(code))))
+                start = np.flatnonzero(np.diff(text, prepend=-1))
+                total[text[start]] += np.add.reduceat(each, start)
+            out.append(rows.drop_columns(["text", "teaches"]).append_column("n_bytes", pa.array(np.diff(offsets))).append_column("logprob", pa.array(total)))
+        return pa.concat_tables(out)
+    return run
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -191,9 +202,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
     The model learns from the trusted texts but the held-out ones. The units are bytes: a model of order ``ORDER`` has few enough different grams for joins, whatever the language.
     Texts are packed into blocks. A block sends each of its different grams once, with the counts of its trusted texts,
     to the gram's shard. Shards add the counts up, the model is made of joins, and each shard answers each block with the
-    log-probabilities it asked for; the texts are scored where the answers arrive. Memory follows the block and the
-    shard, both bounded; what travels follows the input. A missing or empty text has perplexity null. Trusted ids are
-    broadcast if there are at most ``broadcast_ids``, else joined by shuffle and stored.
+    log-probabilities it asked for; the texts are scored where the answers arrive. The blocks are a written table that
+    every pass reads, so ``docs`` is read once and may give its rows in another order each time. Memory follows the block
+    and the shard, both bounded; what travels follows the input. A missing or empty text has perplexity null. Trusted ids
+    are broadcast if there are at most ``broadcast_ids``, else joined by shuffle.
     """
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct()
     small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
@@ -201,59 +213,72 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", broadc
                       F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     flagged = own.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("__id"), "left").withColumn(
         "trusted", F.col("__id").isNotNull()).drop("__id").withColumn("teaches", F.col("trusted") & ~held_out())
-    flagged = flagged if small else store(flagged, "kn-docs")
     total = text_bytes(docs, text)
     shards = parts_for(total, SHARD_BYTES)
-    asked = store(map_blocks(flagged, BLOCK_BYTES, requests(shards), "block long, shard int, asked binary, seen binary, counts binary"), "kn-requests")
+    blocks = store_blocks(pack_blocks(flagged, BLOCK_BYTES), "kn-blocks", parts_for(total, BLOCK_BYTES))
+    asked = store(blocks.mapInArrow(tidied(requests(shards)), "block long, shard int, asked binary, seen binary, counts binary"), "kn-requests")
     counts = store(asked.groupBy("shard").applyInArrow(tidied(summed), "g long, c long"), "kn-counts")
     model = probabilities(counts).withColumn("shard", shard_column(F.col("g"), shards))
-    answers = asked.select("block", "shard", "asked").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(tidied(answered), "block long, codes binary, logs binary")
-    blocks = pack_blocks(flagged, BLOCK_BYTES).repartition(parts_for(total, BLOCK_BYTES), "block")
+    answers = asked.select("block", "shard", "asked").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(tidied(answered), "block long, shard int, logs binary")
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        tidied(scored), "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, logprob double")
+        tidied(scored(shards)), "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, logprob double")
     return out.select("doc_id", "lang", "text_hash", "trusted", "n_bytes",
                       F.when(F.col("n_bytes") > 0, F.exp(-F.col("logprob") / F.col("n_bytes"))).alias("perplexity"))
 
 
-def spread(scores: DataFrame, quantile: float) -> tuple[float, float, float]:
-    """(between, within, z) of held-out texts with ``mean``: the variance of a text's mean log-probability is ``between`` plus
-    ``within`` over its bytes, by least squares; ``z`` is the ``quantile`` of the distances from ``mean`` in standard deviations."""
-    off = F.log("perplexity") - F.col("mean")
-    size = F.col("n_bytes").cast("double")
-    found = scores.select(size.alias("n"), (size * off * off).alias("y")).agg(
-        F.regr_slope("y", "n").alias("slope"), F.regr_intercept("y", "n").alias("intercept"),
-        F.avg("y").alias("mean"), F.try_divide(F.sum("y"), F.sum("n")).alias("share")).first()  # one row
-    between, within = found["slope"], found["intercept"]
-    if between is None or between < 0:
-        between, within = 0.0, found["mean"] or 0.0
-    elif within < 0:
-        between, within = found["share"], 0.0
-    z = scores.agg(F.percentile_approx(F.try_divide(off, F.sqrt(between + within / size)), quantile, 10000)).first()[0]
-    return between, within, z or 0.0
-
-
-def classify_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def spread(scores: DataFrame, quantile: float) -> DataFrame:
+    """(of, texts, bytes, mean, between, within, z) of held-out texts (of, mean, n_bytes, perplexity), a row for each ``of``.
+
+    The variance of a text's mean log-probability is ``between`` plus ``within`` over its bytes, by least squares; ``z`` is the
+    ``quantile`` of the distances from ``mean`` in standard deviations.
+    """
+    off, size = F.log("perplexity") - F.col("mean"), F.col("n_bytes").cast("double")
+    measured = scores.select("of", "mean", size.alias("n"), off.alias("off"), (size * off * off).alias("y"))
+    slope, cut = F.col("slope"), F.col("intercept")
+    flat = slope.isNull() | (slope < 0)
+    parts = store(measured.groupBy("of", "mean").agg(
+        F.count("*").alias("texts"), F.sum("n").alias("bytes"), F.regr_slope("y", "n").alias("slope"), F.regr_intercept("y", "n").alias("intercept"),
+        F.avg("y").alias("level"), F.try_divide(F.sum("y"), F.sum("n")).alias("share")).select(
+        "of", "mean", "texts", "bytes", F.when(flat, 0.0).when(cut < 0, F.col("share")).otherwise(slope).alias("between"),
+        F.when(flat, F.coalesce("level", F.lit(0.0))).when(cut < 0, 0.0).otherwise(cut).alias("within")), "kn-spread")
+    far = F.try_divide(F.col("off"), F.sqrt(F.col("between") + F.col("within") / F.col("n")))
+    z = measured.select("of", "n", "off").join(parts, "of").groupBy("of").agg(F.percentile_approx(far, quantile, 10000).alias("z"))
+    return parts.join(z, "of").withColumn("z", F.coalesce("z", F.lit(0.0)))
+
+
+def classify_quality(docs: DataFrame, trusted: DataFrame, text: str = "text", quantile: float = QUANTILE, margin: float = MARGIN,
+                     few_texts: int = FEW_TEXTS) -> DataFrame:
     """``perplexities`` with ``threshold`` and ``keep`` for every row.
 
     The threshold follows the text's length: the mean log-probability per byte of the language's held-out trusted texts, plus
-    z standard errors of a text of so many bytes, as a perplexity times ``margin``. Variances and z come from the
-    held-out texts of all languages, z as the ``quantile`` of their own standardised distances; the standard error includes that of
-    the language's mean. A language (or missing language) without any takes the mean and the spread of all. Above its threshold a text is
-    rejected. Texts without a perplexity, and all texts if no held-out one is trusted, are kept and have no threshold.
+    z standard errors of a text of so many bytes, as a perplexity times ``margin``. Variances and z are the language's own: z is the
+    ``quantile`` of its held-out texts' standardised distances; the standard error includes that of the language's mean. A
+    language with fewer than ``few_texts`` held-out texts takes variances and z, one (or a missing language) without any also
+    the mean, of all languages together. Above its threshold a text is rejected. Texts without a perplexity, and all texts if no
+    held-out one is trusted, are kept and have no threshold.
     """
     scores = store(perplexities(docs, trusted, text), "kn-scores")
     ours = store(scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull()).select(
         F.coalesce("lang", F.lit("")).alias("of"), "n_bytes", "perplexity"), "kn-held-out")
     mean = (F.sum(F.log("perplexity") * F.col("n_bytes")) / F.sum("n_bytes")).alias("mean")
-    by = store(ours.groupBy("of").agg(mean, F.count("*").alias("texts"), F.sum("n_bytes").alias("bytes")), "kn-means")
-    few = by.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
-    by = F.broadcast(by) if few else by
+    means = store(ours.groupBy("of").agg(mean), "kn-means")
     every = ours.agg(mean).first()["mean"]  # one number
-    between, within, z = spread(ours.join(by.select("of", "mean"), "of"), quantile)
-    between_all, within_all, z_all = spread(ours.withColumn("mean", F.lit(every).cast("double")), quantile)
+    by = store(spread(ours.join(means, "of"), quantile), "kn-thresholds")
+    # distances from each language's own mean, and from the mean of all
+    pooled = spread(ours.join(means, "of").withColumn("off", F.log("perplexity") - F.col("mean")).select(
+        F.lit("").alias("of"), F.lit(0.0).alias("mean"), "n_bytes", F.exp("off").alias("perplexity")), quantile).first()
+    whole = spread(ours.withColumn("of", F.lit("")).withColumn("mean", F.lit(every).cast("double")), quantile).first()
     size = F.col("n_bytes")
-    own = F.col("mean") + z * F.sqrt(between * (1 + 1 / F.col("texts")) + within * (F.try_divide(F.lit(1.0), size) + 1 / F.col("bytes")))
-    other = F.lit(every).cast("double") + z_all * F.sqrt(between_all + F.try_divide(F.lit(within_all), size))
+    enough = F.col("texts") >= few_texts
+
+    def pick(column: str) -> Column:
+        return F.when(enough, F.col(column)).otherwise(F.lit(pooled[column] if pooled else None).cast("double"))
+
+    own = F.col("mean") + pick("z") * F.sqrt(pick("between") * (1 + 1 / F.col("texts")) + pick("within") * (F.try_divide(F.lit(1.0), size) + 1 / F.col("bytes")))
+    told = {c: F.lit(whole[c] if whole else None).cast("double") for c in ("z", "between", "within")}
+    other = F.lit(every).cast("double") + told["z"] * F.sqrt(told["between"] + F.try_divide(told["within"], size))
+    few = by.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    by = F.broadcast(by) if few else by
     joined = scores.join(by, F.coalesce("lang", F.lit("")) == F.col("of"), "left").withColumn("threshold", F.exp(F.coalesce(own, other)) * margin)
     return joined.select("doc_id", "lang", "text_hash", "trusted", "n_bytes", "perplexity", "threshold",
                          F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("keep"))

@@ -1,6 +1,7 @@
 """Encoding, fingerprints, passages, tiles, languages, toxicity and quality against plain versions of themselves."""
 
 import hashlib
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -136,43 +137,88 @@ def plain_repeats(rows, length=50):
     return out
 
 
-def test_similar_documents_equal_brute_force(spark, docs_of):
-    """Pairs just above, at and just below 0.8 (1 change of 49 words: 40 / 50 shingles), and a crowd of near copies."""
+def test_near_duplicate_stage_equals_brute_force(spark, docs_of):
+    """One row of each component of fingerprints: smallest id, rows without an id last, of repeated rows one."""
     rng = random.Random(5)
     rows, n = [], 0
-    for words, changes in [(49, 1)] * 60 + [(184, 4)] * 30 + [(52, 1)] * 30 + [(48, 1)] * 60 + [(39, 1)] * 30:
+    for words, changes in [(49, 1)] * 20 + [(400, 1)] * 20 + [(900, 2)] * 20:
         base = [f"w{rng.randrange(10 ** 6)}" for _ in range(words)]
         other = list(base)
         for c in range(changes):
             other[5 + c * (words - 10) // changes + rng.randrange(5)] = f"new{n}x{c}"
         rows += [(n, " ".join(base), "en"), (n + 1, " ".join(other), "en")]
         n += 2
-    base = [f"c{i}" for i in range(60)]
-    for i in range(40):
+    base = [f"c{i}" for i in range(600)]
+    for i in range(60):
         copy = list(base)
-        for at in rng.sample(range(60), i % 3):
+        for at in rng.sample(range(600), i % 3):
             copy[at] = f"copy{i}"
         rows.append((n + i, " ".join(copy), "en"))
-    rows += [(n + 50, "", "en"), (n + 51, None, "en"), (n + 52, "too short", "en"), (n + 53, "Too  short", "en")]
-    sets = {i: frozenset(simhash.shingle_set(t, 5).tolist()) for i, t, _ in rows}
-    label = {i: i for i in sets}
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    at_limit = 0
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if i < j and (a == b or len(a & b) / len(a | b) >= 0.8):
-                at_limit += len(a & b) * 5 == len(a | b) * 4
-                label[max(root(i), root(j))] = min(root(i), root(j))
-    assert at_limit >= 60
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), **corpus_pipeline.NEAR).collect()}
-    assert got == {i: root(i) for i in sets}
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()}
-    assert kept == {i for i in sets if root(i) == i}
+    rows += [(n + 80, "", "en"), (n + 81, None, "en"), (n + 82, "too short", "en"), (n + 83, "Too  short", "en")]
+    rows += [(None, rows[0][1], "en"), (None, "only without an id", "en"), (None, "only without an id", "en"), rows[4], rows[4]]
+    prints = defaultdict(lambda: math.inf)
+    for i, t, _ in rows:
+        f = plain_fingerprint(t)
+        prints[f] = min(prints[f], math.inf if i is None else i)
+    least = plain_components(dict(prints))
+    want = Counter({i for i in least.values() if i < math.inf}) + Counter({None: 1})
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(rows), "").collect()
+    assert Counter(r.doc_id for r in kept) == want and len(want) < 130
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(rows)).where("doc_id is not null").collect()}
+    assert got == {i: least[plain_fingerprint(t)] for i, t, _ in rows if i is not None}
+
+
+@pytest.mark.parametrize("size", [400, 800, 1600])
+def test_links_of_a_group_grow_with_it(spark, docs_of, size, monkeypatch):
+    """Of a group of near copies beyond the hot limit, what the joins make grows with the group, not with its square."""
+    made = []
+    keep = simhash.store
+    monkeypatch.setattr(simhash, "store", lambda df, name: made.append((name, out := keep(df, name))) or out)
+    rng = random.Random(size)
+    base = [f"c{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:]), "en") for i in range(size) for k in [rng.randrange(300)]]
+    simhash.near_duplicates(docs_of(rows), hot=16).count()
+    assert all(df.count() <= 100 * size for name, df in made if name not in ("looked", "members", "spokes", "placed"))
+
+
+def dealt_anew(df):
+    """The same rows, in another order and in other partitions at each reading."""
+    import os
+
+    import pyarrow as pa
+
+    def run(batches):
+        rows = pa.Table.from_batches(list(batches), schema) if (batches := list(batches)) else schema.empty_table()
+        order = np.random.default_rng(int.from_bytes(os.urandom(8))).permutation(rows.num_rows)
+        yield from rows.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=7)
+
+    schema = df.limit(0).toArrow().schema
+    return df.repartition(3).mapInArrow(run, df.schema)
+
+
+def test_readings_in_another_order(spark, docs_of, odd_rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 3000)
+    random.seed(6)
+    lines = [" ".join(random.choice("abcdefghij") * random.randrange(1, 6) for _ in range(12)) for _ in range(30)]
+    rows = odd_rows[:5] + odd_rows[8:] + [(20 + k, random.choice(["", "x", "é"]) + " ".join(random.choices(lines, k=6)), "en") for k in range(60)]
+    want = plain_repeats([r[:2] for r in rows])
+    for r in suffixes.repeated_spans(dealt_anew(docs_of(rows))).collect():
+        assert bytes(r.kept) in want[r.doc_id if r.doc_id is not None else math.inf]
+    trusted = spark.createDataFrame([(i,) for i in range(20, 60)], "doc_id long")
+    plain, anew = [{(r.doc_id, r.text_hash): r.perplexity for r in kneser_ney.perplexities(d, trusted).collect()}
+                   for d in (docs_of(rows), dealt_anew(docs_of(rows)))]
+    assert plain.keys() == anew.keys() and all(x is y or math.isclose(x, y, rel_tol=1e-6) for x, y in ((plain[k], anew[k]) for k in plain))
+
+
+def test_missing_grams_are_an_error():
+    import pyarrow as pa
+
+    asked = pa.table({"block": [1], "shard": pa.array([0], pa.int32()), "asked": [kneser_ney.squeezed(np.array([3, 9], np.int64))]})
+    for have in ([3], [3, 12], []):
+        model = pa.table({"g": pa.array(have, pa.int64()), "logp": pa.array([-1.0] * len(have))})
+        with pytest.raises(ValueError, match="grams"):
+            kneser_ney.answered(asked, model)
 
 
 @pytest.mark.parametrize("block", [4096, 4 << 20])
@@ -180,7 +226,7 @@ def test_repeated_spans(docs_of, odd_rows, block, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
     random.seed(4)
     lines = [" ".join(random.choice("abcdefghij") * random.randrange(1, 6) for _ in range(12)) for _ in range(30)]
-    rows = odd_rows[:5] + odd_rows[8:] + [(20 + k, random.choice(["", "x", "é"]) + " ".join(random.choices(lines, k=6)) + "a" * random.randrange(120), "en") for k in range(60)]
+    rows = odd_rows + [(20 + k, random.choice(["", "x", "é"]) + " ".join(random.choices(lines, k=6)) + "a" * random.randrange(120), "en") for k in range(60)]
     got = suffixes.repeated_spans(docs_of(rows).withColumn("kept", F.lit("clash"))).collect()
     want = plain_repeats([r[:2] for r in rows])
     assert len(got) == len(rows)
@@ -229,11 +275,14 @@ def test_tiles_equal_plain_tiling():
 def test_contaminated(spark, docs_of, odd_rows, limit):
     passage = "one two three four five six seven eight nine ten eleven twelve".split()
     swapped = passage[6:] + ["and", "then"] + passage[:6]
-    rows = odd_rows[:5] + [(50, "Intro. " + " ".join(passage).upper() + "!", "en"), (51, " ".join(swapped), "en"),
+    rows = odd_rows + [(50, "Intro. " + " ".join(passage).upper() + "!", "en"), (51, " ".join(swapped), "en"),
                            (52, " ".join(passage[:8]), "en"), (53, " ".join(random.Random(1).sample(passage, 12)), "en")]
     items = spark.createDataFrame([(1, " ".join(passage)), (2, "too short"), (3, None), (None, "x y z x y z x")], "item_id long, text string")
     got = tiling.contaminated(docs_of(rows), items, broadcast_bytes=limit).collect()
     assert sorted((r.doc_id, r.item_id, r.n_covered, r.n_tiles) for r in got) == [(50, 1, 12, 1), (51, 1, 12, 2)]
+    again = [(50, rows[-4][1], "en"), (50, rows[-4][1], "en"), (None, rows[-4][1], "en")]
+    found = tiling.contaminated(docs_of(again), items.union(items.where("item_id = 1")), broadcast_bytes=limit).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(50, 1), (None, 1)}
     assert tiling.contaminated(docs_of(rows).limit(0), items, broadcast_bytes=limit).count() == 0
     assert tiling.contaminated(docs_of(rows), items.limit(0), broadcast_bytes=limit).count() == 0
 
@@ -310,6 +359,114 @@ def test_toxicity_chain(spark, docs_of, odd_rows):
     assert [e.weights for e in none] == [{}, {}]
 
 
+def test_probabilities_of_a_fold_have_not_seen_its_labels(spark, docs_of, monkeypatch):
+    """Turning the labels of one fold round changes the out-of-fold probabilities of the others, not its own."""
+    rng = random.Random(8)
+    rows = [(i, talk("en", 30, i) + f" mark{i % 40} " + rng.choice(["scum", "kind"]), "en") for i in range(300)]
+    kept = []
+    store = toxicity.store
+    monkeypatch.setattr(toxicity, "store", lambda df, name: kept.append((name, out := store(df, name))) or out)
+
+    def probabilities(turned):
+        kept.clear()
+        labels = spark.createDataFrame([(i, int("scum" in t) ^ int(i in turned), i % 2 if i % 7 else None) for i, t, _ in rows], "doc_id long, low long, toxic long")
+        toxicity.fit_chain(docs_of(rows), labels, ["low", "toxic"], features=50)
+        return {r.doc_id: (r.fold, r.p_low) for name, out in kept if name == "toxic-folds" for r in out.collect()}
+
+    before = probabilities(set())
+    own = {i for i, (fold, _) in before.items() if fold == 0}
+    after = probabilities(own)
+    assert len(before) == 300 and 0 < len(own) < 300
+    assert all(math.isclose(before[i][1], after[i][1], abs_tol=1e-9) for i in own)
+    assert any(abs(before[i][1] - after[i][1]) > 0.1 for i in before.keys() - own)
+
+
+def test_link_is_a_logistic_function():
+    link = toxicity.Link("c", {"a$": 2.0, "b$": -1.0}, [0.5], 0.25)
+    assert math.isclose(link.probability(["a$", "b$", "z$"], [0.5]), 1 / (1 + math.exp(-(0.25 + 2 - 1 + 0.25))))
+    assert toxicity.Reader([link]).probabilities("A b, a!")[0] == toxicity.Link("c", {"a$": 2.0, "b$": -1.0}, [], 0.25).probability(["a$", "b$"], [])
+
+
+def plain_identify(train, text):
+    """Counts of trigram buckets in dictionaries, candidates by script, and the best of all paths of a short text."""
+    counts, letters = defaultdict(Counter), defaultdict(Counter)
+    for t, lang in train:
+        bucket, _, script = language.word_grams(language.words_of(t))
+        counts[lang].update(bucket.tolist())
+        letters[lang].update(script.tolist())
+    names = sorted(counts)
+    use = {}
+    for s in range(language.SCRIPTS):
+        own = {k for k in names if letters[k][s] >= 0.01 * max(1, sum(letters[k].values()))}
+        use[s] = own or set(names)
+    words = language.words_of(text)
+    table = []
+    for w in words:
+        bucket, _, script = language.word_grams([w])
+        own = {k: sum(math.log(counts[k][b] + 0.5) - math.log(sum(counts[k].values()) + 0.5 * language.BUCKETS) for b in bucket.tolist()) for k in names}
+        table.append({k: own[k] if k in use[int(script[0])] else min(own.values()) - 20 for k in names})
+    worth = {path: sum(row[k] for row, k in zip(table, path)) - 8.0 * sum(a != b for a, b in zip(path, path[1:]))
+             for path in itertools.product(names, repeat=len(words))}
+    return max(worth.values()), worth
+
+
+def test_identified_paths_are_the_best_of_all(docs_of):
+    train = [(talk(lang, 40, i), lang) for i, lang in enumerate(list(TALK) * 10)]
+    model = language.fit(docs_of([(i, t, lang) for i, (t, lang) in enumerate(train)]))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(TALK[rng.choice(["en", "fr", "ru"])].split()) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    for r in language.identify(docs_of([(i, t, None) for i, t in enumerate(texts)]), model).collect():
+        top, worth = plain_identify(train, r.text)
+        path = tuple(s.lang for s in r.spans for _ in range(s.first, s.end))
+        assert math.isclose(worth[path], top, abs_tol=1e-3)
+        weight = Counter()
+        for w, k in zip(language.words_of(r.text), path):
+            weight[k] += len(w)
+        assert weight[r.lang_pred] == max(weight.values()) and math.isclose(r.score, weight[r.lang_pred] / sum(weight.values()))
+
+
+def test_numbers_are_no_letters(docs_of):
+    model = language.fit(docs_of([(i, talk(lang, 40, i), lang) for i, lang in enumerate(list(TALK) * 5)]))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs_of([(1, "½ ² Ⅷ", None), (2, "12_34 ٣", None), (3, "the ½river", None)]), model).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
+
+
+def test_thresholds_equal_plain_quantiles(spark, monkeypatch):
+    """Variances and z of each language with enough texts, those of all together for the others."""
+    held = [r.doc_id for r in spark.range(4000).select(F.col("id").alias("doc_id")).where(kneser_ney.held_out()).limit(560).collect()]
+    rng = random.Random(9)
+    rows = []
+    for i, doc_id in enumerate(held):
+        lang = "en" if i < 250 else "de" if i < 510 else "fr"
+        size = rng.choice([30, 200, 900, 2500, 6000])
+        rows.append((doc_id, lang, i, True, size, math.exp({"en": 1.4, "de": 1.6, "fr": 1.5}[lang] + rng.gauss(0, 1) * math.sqrt({"en": 1, "de": 4, "fr": 2}[lang] / size + 1e-4))))
+    asked = [(-1 - i, lang, 0, False, size, 4.5) for i, (lang, size) in enumerate([("en", 500), ("de", 500), ("fr", 500), ("xx", 500)])]
+    made = spark.createDataFrame(rows + asked, "doc_id long, lang string, text_hash long, trusted boolean, n_bytes long, perplexity double")
+    monkeypatch.setattr(kneser_ney, "perplexities", lambda *_: made)
+    got = {r.doc_id: r.threshold for r in kneser_ney.classify_quality(None, None).collect()}
+
+    def spread(points):
+        n, off = np.array([p[0] for p in points], float), np.array([p[1] for p in points])
+        slope, cut = np.polyfit(n, n * off ** 2, 1)
+        if slope < 0:
+            slope, cut = 0.0, (n * off ** 2).mean()
+        elif cut < 0:
+            slope, cut = (n * off ** 2).sum() / n.sum(), 0.0
+        z = np.sort(off / np.sqrt(slope + cut / n))
+        return slope, cut, z[math.ceil(kneser_ney.QUANTILE * len(z)) - 1]
+
+    of = {k: [(r[4], math.log(r[5])) for r in rows if r[1] == k] for k in ("en", "de", "fr")}
+    mean = {k: sum(n * x for n, x in v) / sum(n for n, _ in v) for k, v in of.items()}
+    all_off = [(n, x - mean[k]) for k, v in of.items() for n, x in v]
+    for doc_id, lang in ((-1, "en"), (-2, "de"), (-3, "fr")):
+        between, within, z = spread([(n, x - mean[lang]) for n, x in of[lang]] if len(of[lang]) >= kneser_ney.FEW_TEXTS else all_off)
+        wide = between * (1 + 1 / len(of[lang])) + within * (1 / 500 + 1 / sum(n for n, _ in of[lang]))
+        assert math.isclose(got[doc_id], math.exp(mean[lang] + z * math.sqrt(wide)) * kneser_ney.MARGIN, rel_tol=1e-6)
+    every = sum(n * x for v in of.values() for n, x in v) / sum(n for v in of.values() for n, _ in v)
+    between, within, z = spread([(n, x - every) for v in of.values() for n, x in v])
+    assert math.isclose(got[-4], math.exp(every + z * math.sqrt(between + within / 500)) * kneser_ney.MARGIN, rel_tol=1e-6)
+
+
 def plain_model(texts):
     """Interpolated modified Kneser-Ney in dictionaries; returns the log-probability of a text."""
     n = kneser_ney.ORDER
@@ -339,7 +496,7 @@ def plain_model(texts):
 
 def test_perplexities_equal_plain_model(spark, docs_of, odd_rows, monkeypatch):
     monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 2000)
-    rows = odd_rows[:5] + odd_rows[8:] + [(100 + i, talk("en", 50, i), "en") for i in range(20)] + [(200, "QQ@@ ##!!" * 20, "en"), (201, "x1 y2", "xx")]
+    rows = odd_rows + [(100 + i, talk("en", 50, i), "en") for i in range(20)] + [(200, "QQ@@ ##!!" * 20, "en"), (201, "x1 y2", "xx")]
     trusted = spark.createDataFrame([(i,) for i in [1, 3, None, *range(100, 115), 99999]], "doc_id long")
     held = {r.doc_id for r in docs_of(rows).where(kneser_ney.held_out()).collect()}
     log = plain_model([t for i, t, _ in rows if i in {1, *range(100, 115)} - held])
