@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobcast.llm.common import bytes_of, ids_of, map_blocks, pack_blocks, parts_for, text_bytes, tidied, unpack
+from jobcast.llm.common import bytes_of, ids_of, pack_blocks, parts_for, text_bytes, tidied, unpack
 from jobcast.session import store
 
 CHUNK = 1 << 18
 INDEX_BITS = 20
-BLOCK_BYTES = 2 << 20
-SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 PART_BYTES = 16 << 20
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -278,8 +278,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
     blocks to its family of levels (``Family``) and scans each run against them. An entry found whole in a smaller document
     is settled. One whose gram stands elsewhere in another neighbourhood, as at the ends of a match, is compared
     window by window in a second round over those entries only. Within a block equal entries travel once, so a
-    passage in every document gives a shard one entry per block. ``docs`` is read twice and must give the same rows in
-    the same partitions both times, as a stored table does; its texts are shuffled once, compressed.
+    passage in every document gives a shard one entry per block. The blocks are a written table that every pass reads, so
+    ``docs`` may give its rows in another order each time; its texts are shuffled once, compressed.
     """
     spark = docs.sparkSession
     kept_columns = docs.drop("spans", "kept")
@@ -287,7 +287,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
     parts, shards = parts_for(total, PART_BYTES), parts_for(total, SHARD_BYTES)
     named = kept_columns.withColumnRenamed(text, "__text") if text != "text" else kept_columns
     column = "text" if text == "text" else "__text"
-    blocks = pack_blocks(named, BLOCK_BYTES, column).repartition(parts, "block")
+    packed_blocks = store(pack_blocks(named, BLOCK_BYTES, column), "suffix-blocks")
+    blocks = packed_blocks.repartition(parts, "block")
 
     def rows_of(blob: bytes) -> pa.Table:
         t = unpack(blob)
@@ -301,7 +302,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 18, text: str
                 yield from out_runs(block, Sorted(key, form, ids_of(rows)[at]), shards).to_batches()
 
     run_type = "block long, shard int, blob binary"
-    first = store(looked_up(map_blocks(named, BLOCK_BYTES, emit, run_type, column)), "suffix-codes")
+    first = store(looked_up(packed_blocks.mapInArrow(tidied(emit), run_type)), "suffix-codes")
 
     def second(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())]).empty_table()]
