@@ -33,12 +33,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Where a removed run cuts a character in two, its other bytes go too.
     """
     ship(spark)
-    found = suffixes.repeated_spans(docs)
+    aside = {c: f"__own_{c}" for c in docs.columns if c in ("spans", "kept")}  # names of the operator's results
+    found = suffixes.repeated_spans(docs.withColumnsRenamed(aside))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
     cut = found.where((F.size("spans") == 0) | (F.octet_length("kept") > 0)).withColumn("text", text)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.select(*[F.col(aside[c]).alias(c) if c in aside else c for c in docs.columns])
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
