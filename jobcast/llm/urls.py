@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
 #: Stands before the first character and after the last.
 EDGE = "\x01"
+#: Characters of a text whose grams are taken at a time.
+PIECE = 512
 
 
 def after_scheme(url: Column) -> Column:
@@ -51,7 +53,10 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame
 def grams_of(text: Column) -> Column:
     """Every character with the ``ORDER`` characters before it, the end included."""
     padded = F.concat(F.lit(EDGE * ORDER), text, F.lit(EDGE))
-    return F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+    # a place in a text is found by counting from its start: long texts are cut first
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE)), lambda c: F.substring(padded, (c * PIECE + 1).cast("int"), F.lit(PIECE + ORDER)))
+    return F.flatten(F.transform(pieces, lambda piece: F.transform(
+        F.sequence(F.lit(1), F.length(piece) - ORDER), lambda i: F.substring(piece, i, F.lit(ORDER + 1)))))
 
 
 def gram_scores(counts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -92,17 +97,17 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "p
     """
     text = F.coalesce("url", F.lit("")) if whole else F.concat("host", "path")
     judged = apply_rules(pages.select(key, "url"), rules).withColumn("text", text).drop("url")
-    texts = store(judged.groupBy("text").agg(F.count("*").alias("n"), F.first("ruled").alias("ruled")).withColumn(
-        "held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0), "url-texts")
+    texts = store(judged.groupBy("text").agg(F.count("*").alias("n"), F.first("ruled").alias("ruled")).withColumns({
+        "held": F.pmod(F.xxhash64("text"), F.lit(5)) == 0, "id": F.md5("text")}), "url-texts")  # grams carry the id, not the text
     gram = F.explode(grams_of(F.col("text"))).alias("gram")
     train = texts.where("ruled is not null and not held").select("n", "ruled", gram)
     counts = store(train.groupBy("gram").agg(*[
         F.sum(F.when(F.col("ruled") == m, F.col("n")).otherwise(0)).alias(f"n_{m}") for m in ("allow", "block")]), "url-counts")
     asked = texts.where("ruled is null or held")
-    places = asked.select("text", gram)
+    places = asked.select("id", gram)
     wanted = places.select("gram").distinct()
-    scores = places.join(gram_scores(counts, wanted), "gram").groupBy("text").agg(F.avg("llr").alias("score"))
-    scored = store(asked.join(scores, "text").select("text", "ruled", F.round("score", 9).alias("score")), "url-scores")
+    scores = places.join(gram_scores(counts, wanted), "gram").groupBy("id").agg(F.avg("llr").alias("score"))
+    scored = store(asked.join(scores, "id").select("text", "ruled", F.round("score", 9).alias("score")), "url-scores")
     sides = texts.where("not held").agg(*[F.count(F.when(F.col("ruled") == m, 1)).alias(m) for m in ("allow", "block")]).first()
     stats = scored.where("ruled is not null").groupBy("ruled").agg(
         F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()
