@@ -147,7 +147,7 @@ def near_words(words: DataFrame) -> DataFrame:
     the next letter leads there. Each level is a written table; levels follow the longest chain of branches, not the
     longest word.
     """
-    walkers = words.select("word", F.lit("").alias("node"))
+    walkers = store(words.select("word", F.lit("").alias("node")), "trie-words")
     edges = store(edges_of(walkers), "trie-edges")
     states, found = None, [store(words.select("word", F.col("word").alias("near")).limit(0), "near")]
     while edges.limit(1).count():
