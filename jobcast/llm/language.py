@@ -21,6 +21,8 @@ SMOOTH = 0.5
 CACHED_WORDS = 200_000
 SLICE = 512
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Fractions, exponents, number letters and digits: the class above takes most of them for letters.
+NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(128, 0x20000)) if c.isalnum() and not c.isalpha()) + "]")
 UNKNOWN = "und"
 SPANS = T.ArrayType(T.StructType().add("first", "integer").add("end", "integer").add("lang", "string"))
 #: First code points of script ranges, and the script from there on (0: Latin and what is not listed).
@@ -130,7 +132,13 @@ def viterbi(score: np.ndarray, switch: float) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """The runs of letters, lower-cased."""
+    if not text:
+        return []
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in ([word] if word.isalpha() else NUMBERS.split(word)) if part]
 
 
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
