@@ -24,6 +24,20 @@ def test_equals_brute_force(spark, kind, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, {i for i, _ in rows if i % 20 == 0}, 5)
 
 
+def test_repeated_ids_and_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(metric_tree, "SUBTREE_ROWS", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 9, 3).tolist()) for i in range(1300)]
+    df = spark.createDataFrame(rows + rows[1:4], "vec_id long, embedding array<long>")
+    got = metric_tree.top_k(df, df.where("vec_id <> 1"), 2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.score)
+    for q, v in rows[5:200]:
+        best = sorted((-int(np.dot(v, w)) for i, w in rows + rows[1:4] if i != q))[:2]
+        assert by[q] == [-s for s in best]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, float("nan")]), (20, [0.5, 0.5]), (1, None), (2, [1.0, None]), (3, [0.25, -1.0]), (4, [0.5, 0.5]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))

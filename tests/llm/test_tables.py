@@ -1,9 +1,11 @@
 """URL rules and models, shards, the pipeline and the registration."""
 
 import math
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -84,6 +86,30 @@ def test_url_scores_equal_plain_models(spark):
         assert got[1000 + i].verdict == ("allow" if i % 2 else "block")
 
 
+def test_limit_lies_between_the_held_out_classes(spark):
+    """As many standard deviations from both means; a very long URL is judged like any other."""
+    rows = [(i, f"http://{'good' if i % 2 else 'casino'}{i % 50}.{'example.net/en/' if i % 2 else 'net/'}{i % 37}") for i in range(400)]
+    rows += [(1000 + i, f"http://{'good' if i % 2 else 'casino'}{i}.com/" + ("good" if i % 2 else "casino") * 20_000) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge_urls(pages, URL_RULES, whole=True).collect()}
+    texts = Counter(u for _, u in rows)
+    held = {r.t for r in spark.createDataFrame([(u,) for u in texts], "t string").where(F.pmod(F.xxhash64("t"), F.lit(5)) == 0).collect()}
+    counts, sides = Counter(), {"allow": [], "block": []}
+    verdict_of = {u: plain_rule(*plain_parts(u))[1] for u in texts}
+    for u, n in texts.items():
+        if verdict_of[u] and u not in held:
+            padded = urls.EDGE * urls.ORDER + u + urls.EDGE
+            for i in range(len(u) + 1):
+                counts[verdict_of[u], padded[i:i + urls.ORDER + 1]] += n
+    for u in texts:
+        if verdict_of[u] and u in held:
+            sides[verdict_of[u]].append(round(plain_llr(counts, u), 9))
+    (ma, sa), (mb, sb) = [(statistics.fmean(v), statistics.pstdev(v)) for v in (sides["allow"], sides["block"])]
+    limit = (ma * sb + mb * sa) / (sa + sb)
+    assert sa and sb and mb < limit < ma
+    assert all((got[1000 + i].score >= limit) == (got[1000 + i].verdict == "allow") == bool(i % 2) for i in range(4))
+
+
 def test_whole_urls_are_judged(spark):
     """The query string decides where host and path say nothing, also without a scheme."""
     rows = [(i, f"http://{'a.example.net/en/' if i % 2 else 'b.net/'}{i % 9}?{'news=story' if i % 2 else 'win=casino'}{i}#top") for i in range(300)]
@@ -110,6 +136,40 @@ def test_shards(spark):
     assert sharding.shard_rows(df.limit(0), "doc_id", sharding.even_tree(8)).count() == 0
 
 
+def plain_place(key, tree):
+    """The tree's draws with a plain XXH64."""
+    def draw(name, weight):
+        h = xxhash.xxh64_intdigest(key.encode(), xxhash.xxh64_intdigest(name.encode(), 42))
+        return -math.log(((h >> 11) + 0.5) / float(1 << 53)) / weight
+
+    weight = {r: {k: sum(s.values()) for k, s in racks.items()} for r, racks in tree.items()}
+    region = min((r for r in tree if sum(weight[r].values()) > 0), key=lambda r: draw(f"region/{r}", sum(weight[r].values())))
+    rack = min((k for k in tree[region] if weight[region][k] > 0), key=lambda k: draw(f"rack/{k}", weight[region][k]))
+    return min((s for s, w in tree[region][rack].items() if w > 0), key=lambda s: draw(f"shard/{s}", tree[region][rack][s]))
+
+
+def test_places_equal_plain_draws(spark):
+    uneven = {"a": {"a1": {0: 1.0, 1: 2.5}, "a2": {2: 1.0, 9: 0.0}}, "b": {"b1": {3: 2.0}}, "c": {"c1": {4: 0.0}}}
+    keys = [str(i) for i in range(400)] + ["", "é日", "x" * 5000]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    for tree in (uneven, sharding.even_tree(8), sharding.even_tree(8, 1)):
+        got = rows.select("k", sharding.place(F.col("k"), tree).alias("s")).collect()
+        assert {r.k: r.s for r in got} == {k: plain_place(k, tree) for k in keys}
+
+
+def test_shards_of_null_and_equal_rows(spark):
+    """Null texts and ids, columns with the results' names, and one row many times."""
+    rows = [(i % 3 if i % 5 else None, None if i % 2 else "t", 99, 98) for i in range(600)] + [(7, None, 1, 1)] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, grown_shard int")
+    got = sharding.shard_rows(df, "doc_id", sharding.even_tree(8), slice_rows=16).collect()
+    assert len(got) == 1500 and all(r.grown_shard is None for r in got) and {r.shard for r in got} <= set(range(8))
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r.shard for r in got if r.doc_id == 7} == {plain_place("7", sharding.even_tree(8))}
+
+
 def test_weights_move_only_their_subtree(spark):
     tree = {"a": {"a1": {0: 1.0, 1: 1.0}, "a2": {2: 1.0}}, "b": {"b1": {3: 2.0}}}
     heavier = {"a": {"a1": {0: 1.0, 1: 3.0}, "a2": {2: 1.0}}, "b": {"b1": {3: 2.0}}}
@@ -150,11 +210,24 @@ def test_stages_tell_rows_apart_by_text(spark, sf_dir, docs_of):
     other = " ".join(f"other{i}" for i in range(40))
     rows = [(1, clean, "en"), (7, clean, "en"), (7, other, "en"), (None, clean, "en")]
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs_of(rows), sf_dir).collect()}
-    assert kept == {(1, clean), (7, other), (None, clean)}
+    assert kept == {(1, clean), (7, other)}
+
+
+def test_stages_keep_columns_that_clash(spark, sf_dir, docs_of):
+    """Columns that bear the names of an operator's results stay as they are."""
+    names = ["fp", "component", "component_id", "text_hash", "spans", "kept", "block", "blob", "keep", "threshold", "perplexity", "__again"]
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en"), (2, text, "en"), (3, text + " and more than that", "en"), (4, None, "en"), (5, "other words", "en")]
+    docs = docs_of(rows).withColumns({n: F.lit(f"own {n}") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns, name
+        got = kept.collect()
+        assert got and all(r[n] == f"own {n}" for r in got for n in names), name
 
 
 def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
