@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from jobcast.checks.registry import SPEC, finished, jobs, kept, query, rounded
 from jobcast.operators import cluster as C
+from jobcast.operators.metrics import mean_impute, minmax_scale
 
 
 @query("kmeans_group_jobs", """
@@ -70,11 +71,40 @@ def _wcss(spark, sf_dir):
 
 
 @query("silhouette_curve_places", COSTS + " select k, round(silhouette, 2) as silhouette from curve")
-@query("silhouette_curve", COSTS + " select k, round(silhouette, 2) as silhouette from curve")
-def _silhouette(spark, sf_dir):
+def _silhouette_places(spark, sf_dir):
     return rounded(C.silhouette_curve(*places(spark, sf_dir)), 2)
 
 
+# Distance of each queue from the origin, in times the range of the run times.
+APART = 30
+
+
+def queues(spark, sf_dir):
+    """Every job in each of ten queues far apart, placed there by its run time.
+
+    The squared distance from a job to another queue's centre is the sum of the two squares, so all queues without a centre
+    join the same one: k groups are k - 1 single queues and the 11 - k others. As the queues are alike, any choice measures the same.
+    """
+    times = mean_impute(kept(jobs(spark, sf_dir).select("run_time")), ["run_time"])
+    placed = minmax_scale(times, ["run_time"]).withColumn("queue", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    names = [f"q{i}" for i in range(10)]
+    return placed.select(*[F.when(F.col("queue") == i, APART + F.col("run_time")).otherwise(0.0).alias(q) for i, q in enumerate(names)]), names
+
+
+@query("silhouette_curve", f"""
+, t as (select coalesce(run_time, avg(run_time) over ()) as t from jobs),
+p as (select ({APART} + (t - min(t) over ()) / (max(t) over () - min(t) over ())) / {APART + 1} as x from t),
+m as (select count(*) as n, avg(x) as mx, avg(x * x) as ms from p),
+d as (select n, x * x - 2 * x * mx + ms as near, x * x + ms as far from p cross join m),
+g as (select k, unnest([11 - k, 1]) as size, unnest([1, k - 1]) as times from (select unnest(generate_series(2, 10)) as k)),
+s as (select k, size, times, avg((far - a) / greatest(a, far)) as silhouette
+  from (select k, size, times, far, n * (near + (size - 1) * far) / (size * n - 1) as a from d cross join g) group by all)
+select cast(k as int) as k, round(sum(size * times * silhouette) / 10, 9) as silhouette from s group by k""")
+def _silhouette(spark, sf_dir):
+    """The whole curve from the jobs' run times, to nine digits, as the distances inside a queue are small."""
+    return rounded(C.silhouette_curve(*queues(spark, sf_dir)), 9)
+
+
 @query("silhouette_exact", """
 , p0 as (select wait_time / 30 as x, elpl / 3600 as y,
     case when k < 50 then 0 when elpl < 43200 then 1 else 2 end as label from jobs),

@@ -1,8 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobcast.checks import QUERIES
+from jobcast.checks import ORACLES, QUERIES
 from jobcast.operators import cluster as C
 from jobcast.operators.encode import elbow_k
 
@@ -88,6 +89,17 @@ def test_tuning_query_tries_up_to_ten_groups(spark, sf_dir, monkeypatch):
     assert QUERIES["optimal_k"](spark, sf_dir).first()["silhouette_k"] == 8
 
 
+def test_silhouette_query_follows_the_run_times(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("value", F.sqrt(F.abs("value"))).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    curves = [{r["k"]: r["silhouette"] for r in QUERIES["silhouette_curve"](spark, at).collect()} for at in (sf_dir, str(tmp_path))]
+    assert all(sorted(c) == list(range(2, 11)) for c in curves)
+    assert all(curves[0][k] != curves[1][k] for k in range(2, 11))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert dict(con.execute(ORACLES["silhouette_curve"]).fetchall()) == curves[1]
+
+
 def test_tiles_follow_tasks_and_points():
     assert C.tile_count(10, 8, 4096) == 1 and C.tile_count(3000, 8, 4096) == 6
     assert C.tile_count(3000, 8, 100) == 30 and C.tile_count(0, 8, 4096) == 1
