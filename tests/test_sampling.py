@@ -83,3 +83,31 @@ def test_weights_balance_the_bins(spark):
     for r in rows:
         per_group[r["g"]].add(round(r["w"], 6))
     assert all(len(v) == 1 for v in per_group.values())
+
+
+def below(plan, node):
+    """The lines of a printed plan below each line that names ``node``."""
+    lines = plan.splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if node in line:
+            for j in range(i + 1, len(lines)):
+                if depth[j] <= depth[i]:
+                    break
+                yield lines[j]
+
+
+def test_draws_are_not_gathered_for_a_broadcast(spark):
+    """They come from a few sizes, whatever their number: Spark takes the exploded side for as small as these."""
+    drawn = R.balanced_resample(hot_groups(spark), "y", ["g"], "i")
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan
+    assert not [line for line in below(plan, "BroadcastExchange") if "Generate" in line]
+
+
+def test_rows_drawn_under_salts_are_those_of_the_places(spark, monkeypatch):
+    df = hot_groups(spark, 600)
+    whole = R.balanced_resample(df, "y", ["g"], "i").select("i", "g", "bin", "draw").collect()
+    monkeypatch.setattr(R, "DRAWS_PER_KEY", 3)
+    assert sorted(map(str, whole)) == sorted(map(str, R.balanced_resample(df, "y", ["g"], "i").select("i", "g", "bin", "draw").collect()))
