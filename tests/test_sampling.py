@@ -111,3 +111,13 @@ def test_rows_drawn_under_salts_are_those_of_the_places(spark, monkeypatch):
     whole = R.balanced_resample(df, "y", ["g"], "i").select("i", "g", "bin", "draw").collect()
     monkeypatch.setattr(R, "DRAWS_PER_KEY", 3)
     assert sorted(map(str, whole)) == sorted(map(str, R.balanced_resample(df, "y", ["g"], "i").select("i", "g", "bin", "draw").collect()))
+
+
+def test_chunks_of_draws_are_dealt_over_tasks(spark, monkeypatch):
+    """Chunks are few and small, so adaptive execution would give all of them, and so all draws, to one task."""
+    monkeypatch.setattr(R, "CHUNK", 7)
+    drawn = R.balanced_resample(hot_groups(spark), "y", ["g"], "i")
+    drawn.collect()
+    lines = drawn._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(__chunk" in line]
+    assert dealt and not any("AQEShuffleRead" in line for i in dealt for line in lines[i - 3:i])
