@@ -23,6 +23,9 @@ from jobcast.session import store
 FIT_THREADS = 4
 TILE_POINTS = 32_768
 TILE_ROWS = 256
+# Points and totals (points times clusters) of the largest share that a task holds; block of distances that it makes at once.
+SHARE_POINTS, SHARE_TOTALS = 500_000, 4_000_000
+BLOCK_ROWS, BLOCK_COLUMNS = 64, 1024
 # Share of a curve's largest cost below which a second difference is a rounding error.
 ROUNDING = 1e-9
 
@@ -123,42 +126,79 @@ def kmeans_wcss(df: DataFrame, features: Sequence[str], centers: Sequence[Sequen
     return placed.groupBy("cluster").agg(F.count("*").alias("n_jobs"), F.sum(distance).alias("wcss"))
 
 
-def cell_sums(features: list[str], cell: pd.DataFrame) -> pd.DataFrame:
-    """For the points of one tile or of two, the summed distances to the others' clusters, in both directions.
+def packed(features: list[str], share: pd.DataFrame) -> pd.DataFrame:
+    """The points of a share as one row: features, label and weight in binary."""
+    return pd.DataFrame({"share": share["share"].iloc[:1], "points": [share[[*features, "label", "weight"]].to_numpy(dtype=float).tobytes()]})
 
-    The cell's distances are made once, ``TILE_ROWS`` rows at a time, and added up along both sides.
-    """
-    parts = [p for _, p in cell.groupby("tile", sort=True)]
-    # a pair of tiles of which one is empty has nothing to add; a tile with itself needs one direction only
-    if len(parts) < 2 and not cell["alone"].iloc[0]:
-        return pd.DataFrame({"point": [], "cluster": [], "total": []})
-    left, right = parts[0], parts[-1]
-    here, there = [p[features].to_numpy(dtype=float) for p in (left, right)]
-    (mine, share), (theirs, other) = [shares(p) for p in (left, right)]
-    to_right, to_left = np.zeros((len(here), len(theirs))), np.zeros((len(there), len(mine)))
-    for at in range(0, len(here), TILE_ROWS):
-        block = here[at:at + TILE_ROWS]
-        square = np.zeros((len(block), len(there)))
-        for axis in range(here.shape[1]):
-            square += (block[:, axis, None] - there[None, :, axis]) ** 2
-        away = np.sqrt(square, out=square)
-        to_right[at:at + TILE_ROWS] = away @ other
-        if len(parts) == 2:
-            to_left += away.T @ share[at:at + TILE_ROWS]
-    frames = [totals_of(left, theirs, to_right)] + ([totals_of(right, mine, to_left)] if len(parts) == 2 else [])
-    return pd.concat(frames, ignore_index=True)
 
+def members(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters of some points, and each point's weight in the column of its own."""
+    labels, member = np.unique(points[:, -2], return_inverse=True)
+    weights = np.zeros((len(points), len(labels)))
+    weights[np.arange(len(points)), member] = points[:, -1]
+    return labels, weights
 
-def shares(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The clusters in a tile, and each point's weight in the column of its own."""
-    labels, member = np.unique(part["label"].to_numpy(), return_inverse=True)
-    share = np.zeros((len(part), len(labels)))
-    share[np.arange(len(part)), member] = part["weight"].to_numpy(dtype=float)
-    return labels, share
 
+def cell_sums(width: int, tile_points: int, cell: pd.DataFrame) -> pd.DataFrame:
+    """For the points of one share or of two, the summed distances to the others' clusters, in both directions.
 
-def totals_of(part: pd.DataFrame, labels: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"point": np.repeat(part["point"].to_numpy(), len(labels)), "cluster": np.tile(labels, len(part)), "total": totals.ravel()})
+    The cell's distances are made once, in blocks that stay in a core's cache, and added up along both sides.
+    """
+    sides = [(s, np.frombuffer(p).reshape(-1, width)) for s, p in sorted(zip(cell["share"], cell["points"]))]
+    # a pair of shares of which one is empty has nothing to add; a share with itself needs one direction only
+    if len(sides) < 2 and not cell["alone"].iloc[0]:
+        return totals_of([])
+    (_, here), (_, there) = sides[0], sides[-1]
+    (mine, weight), (theirs, other) = members(here), members(there)
+    to_right, to_left = np.zeros((len(here), len(theirs))), np.zeros((len(there), len(mine)))
+    axes = [np.ascontiguousarray(points[:, :-2].T) for points in (here, there)]
+    columns = min(tile_points, BLOCK_COLUMNS)
+    square, step = np.empty((BLOCK_ROWS, columns)), np.empty((BLOCK_ROWS, columns))
+    for at in range(0, len(here), BLOCK_ROWS):
+        rows = slice(at, min(at + BLOCK_ROWS, len(here)))
+        for to in range(0, len(there), columns):
+            cols = slice(to, min(to + columns, len(there)))
+            away, apart = [x[:rows.stop - at, :cols.stop - to] for x in (square, step)]
+            away[:] = 0.0
+            for x, y in zip(*axes):
+                np.subtract(x[rows, None], y[None, cols], out=apart)
+                np.multiply(apart, apart, out=apart)
+                np.add(away, apart, out=away)
+            np.sqrt(away, out=away)
+            to_right[rows] += away @ other[cols]
+            if len(sides) == 2:
+                to_left[cols] += away.T @ weight[rows]
+    if len(sides) == 1:
+        return totals_of([(*sides[0], theirs, to_right, True)], tile_points)
+    return totals_of([(*sides[0], theirs, to_right, False), (*sides[1], mine, to_left, False)], tile_points)
+
+
+def totals_of(sides: list[tuple], tile_points: int = TILE_POINTS) -> pd.DataFrame:
+    """A row for every ``tile_points`` points of a share: the clusters and the points' totals to these; label and weight come once, from the share's own cell."""
+    rows = [(share, at // tile_points, labels.tobytes(), totals[at:at + tile_points].tobytes(), points[at:at + tile_points, -2:].tobytes() if own else None)
+            for share, points, labels, totals, own in sides for at in range(0, len(points), tile_points)]
+    return pd.DataFrame(rows, columns=["share", "chunk", "labels", "totals", "own"])
+
+
+def chunk_scores(sizes: dict[float, int], parts: pd.DataFrame) -> pd.DataFrame:
+    """Jobs and summed silhouettes of one chunk of points, from its totals in all cells."""
+    own = np.frombuffer(next(x for x in parts["own"] if x is not None)).reshape(-1, 2)
+    size = np.array(list(sizes.values()), dtype=float)
+    column = {label: i for i, label in enumerate(sizes)}
+    total = np.zeros((len(own), len(sizes)))
+    for labels, sums in zip(parts["labels"], parts["totals"]):
+        at = [column[x] for x in np.frombuffer(labels)]
+        total[:, at] += np.frombuffer(sums).reshape(len(own), -1)
+    mine = np.array([column[x] for x in own[:, 0]])
+    every = np.arange(len(own))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a = total[every, mine] / (size[mine] - 1)
+        mean = total / size
+        mean[every, mine] = np.inf
+        b = mean.min(axis=1)
+        most = np.maximum(a, b)
+        score = np.where((size[mine] == 1) | (most == 0) | (len(sizes) == 1), 0.0, (b - a) / most)
+    return pd.DataFrame({"n_jobs": [int(own[:, 1].sum())], "score": [float((score * own[:, 1]).sum())]})
 
 
 def tile_count(n: int, tasks: int, tile_points: int) -> int:
@@ -172,32 +212,29 @@ def silhouette_exact(df: DataFrame, features: Sequence[str], label: str,
     """Mean Euclidean silhouette of given integer labels over the whole frame.
 
     The measure needs the distances between all distinct points. Equal points
-    are merged into weighted ones first; the rest is cut into p tiles of bounded size, whose pairs, each taken once, are the
-    p * (p + 1) / 2 cells of a triangle. A point goes to the p cells of its tile, and a cell adds the distances up for both of its
-    tiles: no pairs of points are emitted. The work grows with the square of the distinct points: for large
+    are merged into weighted ones first; the rest is cut into p shares, whose pairs, each taken once, are the
+    p * (p + 1) / 2 cells of a triangle. A share goes to its p cells as one packed row, and a cell adds the distances up for both of its
+    shares: no pairs of points are emitted. The shares follow the tasks, not ``tile_points``, so that what is shuffled grows with the
+    points, not with their square; inside a cell no more than ``tile_points`` are compared with a block of rows at once, and totals leave it in
+    chunks of as many. The work grows with the square of the distinct points: for large
     traces ``silhouette_curve`` uses the linear-cost measure.
     """
     features, spark = list(features), df.sparkSession
     named = df.where(F.col(label).isNotNull()).na.drop("any", subset=features).select(
         *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("label"))
-    merged = named.groupBy(*features, "label").agg(F.count("*").alias("weight"))
-    points = store(merged.withColumn("point", F.monotonically_increasing_id()), "silhouette-points")
-    tiles = tile_count(points.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), tile_points)
-    tiled = points.withColumn("tile", F.pmod(F.xxhash64("point"), F.lit(tiles)).cast("int"))
-    dealt = tiled.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
-        "point", "label", "weight", *features, "tile", (F.col("tile") == F.col("with")).alias("alone"),
-        F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"))
-    sums = dealt.groupBy("low", "high").applyInPandas(lambda cell: cell_sums(features, cell), "point long, cluster int, total double")
-    sizes = store(points.groupBy("label").agg(F.sum("weight").alias("size")), "silhouette-sizes")
-    totals = sums.groupBy("point", "cluster").agg(F.sum("total").alias("total"))
-    sized = totals.join(sizes.withColumnRenamed("label", "cluster"), "cluster")
-    own = points.select("point", "label", "weight")
-    mine = F.col("cluster") == F.col("label")
-    per_point = sized.join(own, "point").groupBy("point", "weight").agg(
-        F.max(F.when(mine, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
-        F.max(F.when(mine, F.col("size"))).alias("own_size"),
-        F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"))
-    score = F.when(F.col("own_size") == 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per_point.agg(F.sum("weight").alias("n_jobs"),
-                         (F.sum(score * F.col("weight")) / F.sum("weight")).alias("silhouette"))
+    points = store(named.groupBy(*features, "label").agg(F.count("*").alias("weight")), "silhouette-points")
+    sizes = {float(r["label"]): r["size"] for r in points.groupBy("label").agg(F.sum("weight").alias("size")).collect()}  # a row per cluster
+    most = max(TILE_ROWS, min(SHARE_POINTS, SHARE_TOTALS // max(1, len(sizes))))
+    n_shares = tile_count(points.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), most)
+    shared = points.withColumn("share", F.pmod(F.xxhash64(*features, "label"), F.lit(n_shares)).cast("int"))
+    shares = store(shared.groupBy("share").applyInPandas(lambda share: packed(features, share), "share int, points binary"), "silhouette-shares")
+    dealt = shares.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1)))).select(
+        "share", "points", (F.col("share") == F.col("with")).alias("alone"),
+        F.least("share", "with").alias("low"), F.greatest("share", "with").alias("high"))
+    width = len(features) + 2
+    # a cell for each task: by size alone, adaptive execution would gather the small packed rows in few tasks
+    cells = dealt.repartition(n_shares * (n_shares + 1) // 2, "low", "high")
+    sums = cells.groupBy("low", "high").applyInPandas(
+        lambda cell: cell_sums(width, tile_points, cell), "share int, chunk int, labels binary, totals binary, own binary")
+    scores = sums.groupBy("share", "chunk").applyInPandas(lambda parts: chunk_scores(sizes, parts), "n_jobs long, score double")
+    return scores.agg(F.sum("n_jobs").alias("n_jobs"), (F.sum("score") / F.sum("n_jobs")).alias("silhouette"))

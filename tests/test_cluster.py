@@ -111,3 +111,29 @@ def test_rounding_makes_no_elbow(spark):
     curves = spark.createDataFrame(rows, "curve string, k int, wcss double")
     assert dict(elbow_k(curves, ["curve"], tolerance=1e-9).collect()) == {"a": 2, "b": 3}
     assert dict(elbow_k(curves, ["curve"]).collect())["a"] > 2
+
+
+@pytest.mark.parametrize(("share_points", "clusters"), [(300, 3), (500_000, 3), (300, 1), (300, 400)])
+def test_exact_silhouette_of_several_shares(spark, monkeypatch, share_points, clusters):
+    monkeypatch.setattr(C, "SHARE_POINTS", share_points)
+    rng = np.random.default_rng(8)
+    points, labels = rng.normal(size=(1100, 3)), rng.integers(0, clusters, size=1100)
+    points[:400] = points[400:800]  # equal points, also of other clusters
+    df = spark.createDataFrame([(*map(float, p), int(c)) for p, c in zip(points, labels)], "x double, y double, z double, c int")
+    got = C.silhouette_exact(df, ["x", "y", "z"], "c", tile_points=100).first()
+    want = silhouette(points, labels) if clusters > 1 else 0.0
+    assert got["n_jobs"] == 1100 and got["silhouette"] == pytest.approx(want, abs=1e-12)
+
+
+def test_points_are_dealt_by_tasks_not_by_the_tile(spark, monkeypatch):
+    """What is shuffled must not grow with the square of the points: a small tile makes no more copies of them."""
+    asked, count = [], C.tile_count
+    monkeypatch.setattr(C, "tile_count", lambda *args: asked.append(count(*args)) or asked[-1])
+    df = spark.range(3000).select(F.rand(3).alias("x"), F.rand(4).alias("y"), (F.col("id") % 3).cast("int").alias("c"))
+    got = [C.silhouette_exact(df, FEATURES, "c", n).first()["silhouette"] for n in (50, 4096)]
+    assert asked[0] == asked[1] <= 6 and got[0] == pytest.approx(got[1], abs=1e-12)
+
+
+def test_exact_silhouette_of_nothing(spark):
+    got = C.silhouette_exact(spark.createDataFrame([(None, 0), (1.0, None)], "x double, c int"), ["x"], "c").first()
+    assert (got["n_jobs"], got["silhouette"]) == (None, None)
