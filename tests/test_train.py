@@ -8,10 +8,11 @@ from jobcast.operators.metrics import BIAS_TYPES
 from jobcast.operators.sampling import split_hash
 from jobcast.plans import train as T
 from jobcast.plans.evaluate import evaluate_results
-from jobcast.plans.experiment import experiment_grouped, grouped_jobs
+from jobcast.plans.experiment import GROUPED, experiment_grouped, grouped_jobs
 from jobcast.plans.ledger import Ledger
 from jobcast.sources.predictions import scan_predictions
-from jobcast.session import fresh_path
+from jobcast.session import fresh_path, store
+from test_sampling import below
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +135,15 @@ def test_grouped_boosting_is_checked_with_published_settings(spark, sf_dir, monk
     monkeypatch.setattr(T, "train_cluster_gbt", spy)
     QUERIES["train_cluster_gbt"](spark, sf_dir)
     assert seen == ["reference"]
+
+
+def test_balanced_rows_are_written_without_a_broadcast_of_draws(spark, sf_dir, monkeypatch):
+    """The driver gathers what is broadcast: for an experiment's largest bins that was several GB of draws."""
+    frames = {}
+    monkeypatch.setattr(T, "store", lambda df, name, by=(): frames.update({name: df}) or store(df, name, by))
+    jobs = grouped_jobs(trace(spark, sf_dir), HALF_MONTHS)
+    rows = T.prepare_rows(jobs, HALF_MONTHS.features, "run_time", T.GROUP, "job_id", None, ["is_test"])
+    T.training_rows(rows.where(~F.col("is_test")), "run_time", GROUPED, T.GROUP, "job_id", "draw", False, 2)
+    plan = frames["balanced-rows"]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan
+    assert not [line for line in below(plan, "BroadcastExchange") if "Generate" in line]
