@@ -16,9 +16,12 @@ from jobcast.session import store
 
 CHUNK = 1 << 18
 INDEX_BITS = 20
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+#: A block gives each shard a run, so their number grows with the square of the input over both sizes.
+BLOCK_BYTES = 6 << 20
+SHARD_BYTES = 16 << 20
 PART_BYTES = 16 << 20
+#: Entries that enter a shard's family and are scanned at once.
+BATCH = 1 << 17
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
 #: A random 64-bit number for each byte value, the same everywhere.
@@ -112,6 +115,7 @@ class Sorted:
         tied = np.flatnonzero(tied[1:] | tied[:-1])
         rows = order[tied]
         order[tied] = rows[np.lexsort((doc[rows], form[rows], lead[rows]))]
+        del lead, tied, rows
         k, f, d = key[order], form[order], doc[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
@@ -173,9 +177,12 @@ class Family:
             run = self.merged([self.levels.pop(), run])
         self.levels.append(run)
 
-    def scan(self, run: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-        """0: no smaller document has the entry nor, in part, its neighbourhood; 1: one has the entry; 2: others share the
-        gram with another neighbourhood, and the windows must be compared."""
+    def settle(self) -> None:
+        """After the last run all levels merge. An entry then stands once, with its least document, so one neighbourhood is never taken for two."""
+        self.levels = [self.merged(self.levels)]
+
+    def scan(self, run: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each entry of a run: the least document that has it, and the least and the greatest that have its gram in any neighbourhood."""
         key, form, doc = run
         least, other, most = doc.copy(), np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), np.iinfo(np.int64).min)
         for lk, lf, ld in self.levels:
@@ -188,30 +195,50 @@ class Family:
             low = np.minimum.reduceat(np.append(ld, np.iinfo(np.int64).max), starts)[::2]
             high = np.maximum.reduceat(np.append(ld, np.iinfo(np.int64).min), starts)[::2]
             other[has], most[has] = np.minimum(other[has], low), np.maximum(most[has], high)
-            at, left = a[has].copy(), np.arange(len(has))
-            while len(left):  # neighbourhoods are in order behind the gram: halve the range
-                lo, hi = at, b[has]
-                while True:
-                    open_ = lo < hi
-                    if not open_.any():
-                        break
-                    mid = (lo + hi) // 2
-                    less = open_ & (lf[np.minimum(mid, len(lf) - 1)] < form[has])
-                    lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-                hit = (lo < b[has]) & (lf[np.minimum(lo, len(lf) - 1)] == form[has])
-                rows = has[hit]
-                least[rows] = np.minimum(least[rows], ld[lo[hit]])
-                break
-        return np.where(least < doc, 1, np.where(other < most, 2, 0)).astype(np.uint8)
+            # neighbourhoods are in order behind the gram: halve the range where there are several
+            lo, hi, left = a[has], b[has], np.flatnonzero(b[has] - a[has] > 1)
+            while len(left):
+                mid = (lo[left] + hi[left]) // 2
+                less = lf[mid] < form[has[left]]
+                lo[left[less]], hi[left[~less]] = mid[less] + 1, mid[~less]
+                left = left[lo[left] < hi[left]]
+            hit = (lo < b[has]) & (lf[np.minimum(lo, len(lf) - 1)] == form[has])
+            rows = has[hit]
+            least[rows] = np.minimum(least[rows], ld[lo[hit]])
+        return least, other, most
+
+
+def batches(t: pa.Table) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """The runs of a shard by block, as many at a time as make a batch: with many blocks and shards each run is short."""
+    rows, runs, size, blobs = [], [], 0, t.column("blob")
+    for i in np.argsort(t.column("block").to_numpy(), kind="stable").tolist():
+        rows.append(i)
+        runs.append(unpacked(blobs[i].as_py()))
+        size += len(runs[-1][0])
+        if size >= BATCH:
+            yield rows, runs
+            rows, runs, size = [], [], 0
+    if rows:
+        yield rows, runs
 
 
 def shard_scan(t: pa.Table) -> pa.Table:
-    """All runs of one shard enter its family; then every run is scanned against the levels."""
-    family, blobs = Family(), t.column("blob").to_pylist()
-    order = np.argsort(t.column("block").to_numpy(), kind="stable").tolist()
-    for i in order:
-        family.add(unpacked(blobs[i]))
-    codes = [zstandard.compress(family.scan(unpacked(b)).tobytes(), 1) for b in blobs]
+    """All runs of one shard enter its family, in batches; then every batch is scanned against it.
+
+    A run's codes, 0: no smaller document has the entry nor, in part, its neighbourhood; 1: one has the entry; 2: others share the
+    gram with another neighbourhood, and the windows must be compared.
+    """
+    family, codes = Family(), [b""] * t.num_rows
+    for _, runs in batches(t):
+        family.add(Family.merged(runs))
+    family.settle()
+    for rows, runs in batches(t):
+        key, form, doc = (np.concatenate(c) for c in zip(*runs))
+        s = Sorted(key, form, doc)
+        least, other, most = (x[s.of] for x in family.scan((s.key, s.form, s.doc)))
+        code = np.where(least < doc, 1, np.where(other < most, 2, 0)).astype(np.uint8)
+        for i, part in zip(rows, np.split(code, np.cumsum([len(r[0]) for r in runs])[:-1])):
+            codes[i] = zstandard.compress(part.tobytes(), 1)
     return pa.table({"block": t.column("block"), "shard": t.column("shard"), "codes": pa.array(codes, pa.binary())})
 
 

@@ -7,8 +7,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -533,3 +535,27 @@ def test_thresholds_follow_length(spark, monkeypatch):
     one = spark.createDataFrame(rows[9:10] + junk, made.schema)
     monkeypatch.setattr(kneser_ney, "perplexities", lambda *_: one)
     assert [r.keep for r in kneser_ney.classify_quality(None, None).orderBy("doc_id").collect()] == [True, False, False, False, True]
+
+
+@pytest.mark.parametrize("batch", [1 << 17, 40])
+def test_short_runs_are_scanned_together(monkeypatch, batch):
+    """Blocks and shards both grow with the input, so a run gets shorter: what each costs must not decide the time."""
+    monkeypatch.setattr(suffixes, "BATCH", batch)
+    rng, runs, scans, scan = np.random.default_rng(5), [], [], suffixes.Family.scan
+    for _ in range(150):
+        key, form, doc = (rng.integers(0, n, 6) for n in (60, 3, 40))
+        s = suffixes.Sorted(key.astype(np.uint64), form.astype(np.uint64) << np.uint64(30), doc)
+        runs.append((s.key, s.form, s.doc, suffixes.packed(s, 0, len(s.key))))
+    monkeypatch.setattr(suffixes.Family, "scan", lambda self, run: scans.append(len(run[0])) or scan(self, run))
+    order = rng.permutation(150)  # rows of a group come in any order
+    found = suffixes.shard_scan(pa.table({"block": pa.array(order), "shard": pa.array([3] * 150, pa.int32()), "blob": pa.array([runs[i][3] for i in order], pa.binary())}))
+    least = {}
+    for k, f, d, _ in runs:
+        for entry in zip(k.tolist(), f.tolist(), d.tolist()):
+            least[entry[:2]] = min(entry[2], least.get(entry[:2], 99))
+    docs = {k: [d for (other, _), d in least.items() if other == k] for k, _ in least}
+    for i, codes in zip(order, found.column("codes").to_pylist()):
+        k, f, d, _ = runs[i]
+        want = [1 if least[a, b] < c else 2 if min(docs[a]) < max(docs[a]) else 0 for a, b, c in zip(k.tolist(), f.tolist(), d.tolist())]
+        assert np.frombuffer(zstandard.decompress(codes), np.uint8).tolist() == want
+    assert len(scans) == 1 if batch > 1000 else 10 < len(scans) < 30
