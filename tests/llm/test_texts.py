@@ -559,3 +559,9 @@ def test_short_runs_are_scanned_together(monkeypatch, batch):
         want = [1 if least[a, b] < c else 2 if min(docs[a]) < max(docs[a]) else 0 for a, b, c in zip(k.tolist(), f.tolist(), d.tolist())]
         assert np.frombuffer(zstandard.decompress(codes), np.uint8).tolist() == want
     assert len(scans) == 1 if batch > 1000 else 10 < len(scans) < 30
+
+
+def test_runs_of_a_large_corpus_stay_few():
+    """The pipeline's suffix stage on 6 GB of Parquet, about 10 GB of text: a run for each block and shard."""
+    text = 10 << 30
+    assert text // suffixes.BLOCK_BYTES * suffixes.parts_for(text, suffixes.SHARD_BYTES) < 1_200_000
