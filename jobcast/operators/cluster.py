@@ -28,6 +28,9 @@ SHARE_POINTS, SHARE_TOTALS = 500_000, 4_000_000
 BLOCK_ROWS, BLOCK_COLUMNS = 64, 1024
 # Share of a curve's largest cost below which a second difference is a rounding error.
 ROUNDING = 1e-9
+# Rows from which it pays to merge equal ones before a curve's fits, and the column with their number.
+MERGE_ROWS = 2_000_000
+WEIGHT = "__weight"
 
 
 def work_names(features: Sequence[str]) -> list[str]:
@@ -55,12 +58,22 @@ def kmeans_group_jobs(df: DataFrame, features: Sequence[str], k: int, seed: int
 
 def fitted_curve(df: DataFrame, features: Sequence[str], max_k: int, scale: bool, seed: int,
                  measure: Callable[[KMeansModel, DataFrame], tuple]) -> list[tuple]:
-    """``measure`` of a k-means fit for each k from 2 on; fits share one kept vector column."""
-    vectors = feature_vectors(df, features, scale).select("__vec", *work_names(features)).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    """``measure`` of a k-means fit for each k from 2 on; fits share one kept vector column.
+
+    Of ``MERGE_ROWS`` rows or more, of which at least half repeat others in all features, equal ones are merged into one with a weight.
+    """
+    work = work_names(features)
+    ready = feature_vectors(df, features, scale).select("__vec", *work)
+    seen = ready.agg(F.count("*").alias("rows"), F.approx_count_distinct(F.xxhash64(*work)).alias("different")).first()
+    weight = {}
+    if seen["rows"] >= MERGE_ROWS and 2 * seen["different"] <= seen["rows"]:
+        # stored, so that the fits' many passes have as many tasks as the merged points need
+        merged = store(ready.groupBy(*work).agg(F.count("*").cast("double").alias(WEIGHT)), "merged-points")
+        ready, weight = VectorAssembler(inputCols=work, outputCol="__vec").transform(merged), {"weightCol": WEIGHT}
+    vectors = ready.persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(k: int) -> tuple:
-        model = KMeans(k=k, seed=seed, featuresCol="__vec", predictionCol="cluster").fit(vectors)
+        model = KMeans(k=k, seed=seed, featuresCol="__vec", predictionCol="cluster", **weight).fit(vectors)
         return (k, *measure(model, vectors))
 
     try:
@@ -75,15 +88,41 @@ def cost(model: KMeansModel, _: DataFrame) -> tuple[float]:
 
 
 def mean_silhouette(model: KMeansModel, vectors: DataFrame) -> tuple[float]:
+    if WEIGHT in vectors.columns:
+        return (merged_silhouette(model.transform(vectors)),)
     evaluator = ClusteringEvaluator(featuresCol="__vec", predictionCol="cluster",
                                     distanceMeasure="squaredEuclidean")
     return (float(evaluator.evaluate(model.transform(vectors))),)
 
 
+def merged_silhouette(placed: DataFrame) -> float:
+    """The evaluator's measure, where a row stands for ``WEIGHT`` equal points.
+
+    The evaluator has weights too, but leaves a point's whole weight out of its own cluster's size instead of 1.
+    """
+    work = [c for c in placed.columns if c not in ("__vec", "cluster", WEIGHT)]
+    square = sum((F.col(c) * F.col(c) for c in work[1:]), F.col(work[0]) * F.col(work[0]))
+    w = F.col(WEIGHT)
+    groups = placed.groupBy("cluster").agg(
+        F.sum(w).alias("n"), F.sum(square * w).alias("s"), *[F.sum(F.col(c) * w).alias(c) for c in work]).collect()  # a row for each of k
+    if len(groups) < 2:
+        raise ValueError("a silhouette needs two clusters at least")
+    far = {r["cluster"]: square + F.lit(r["s"] / r["n"]) - 2 * sum((F.col(c) * (r[c] / r["n"]) for c in work[1:]), F.col(work[0]) * (r[work[0]] / r["n"])) for r in groups}
+    own, others = F.lit(None).cast("double"), []
+    for r in groups:
+        mine = F.col("cluster") == r["cluster"]
+        # a cluster of one point has no distance
+        own = F.when(mine, far[r["cluster"]] * (r["n"] / (r["n"] - 1)) if r["n"] > 1 else F.lit(None).cast("double")).otherwise(own)
+        others.append(F.when(~mine, far[r["cluster"]]))
+    rated = placed.select(WEIGHT, own.alias("a"), F.array_min(F.array(*others)).alias("b"))
+    score = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
+    return float(rated.agg(F.sum(score * w) / F.sum(w)).first()[0])
+
+
 def exact_silhouette(model: KMeansModel, vectors: DataFrame) -> tuple[float]:
-    work = [c for c in vectors.columns if c != "__vec"]
+    work = [c for c in vectors.columns if c not in ("__vec", WEIGHT)]
     placed = model.transform(vectors).drop("__vec")
-    return (float(silhouette_exact(placed, work, "cluster").first()["silhouette"]),)
+    return (float(silhouette_exact(placed, work, "cluster", weight=WEIGHT if WEIGHT in vectors.columns else None).first()["silhouette"]),)
 
 
 def wcss_curve(df: DataFrame, features: Sequence[str], max_k: int = 10, scale: bool = True,
@@ -208,8 +247,8 @@ def tile_count(n: int, tasks: int, tile_points: int) -> int:
 
 
 def silhouette_exact(df: DataFrame, features: Sequence[str], label: str,
-                     tile_points: int = TILE_POINTS) -> DataFrame:
-    """Mean Euclidean silhouette of given integer labels over the whole frame.
+                     tile_points: int = TILE_POINTS, weight: str | None = None) -> DataFrame:
+    """Mean Euclidean silhouette of given integer labels over the whole frame; with ``weight``, a row stands for so many equal points.
 
     The measure needs the distances between all distinct points. Equal points
     are merged into weighted ones first; the rest is cut into p shares, whose pairs, each taken once, are the
@@ -221,8 +260,9 @@ def silhouette_exact(df: DataFrame, features: Sequence[str], label: str,
     """
     features, spark = list(features), df.sparkSession
     named = df.where(F.col(label).isNotNull()).na.drop("any", subset=features).select(
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("label"))
-    points = store(named.groupBy(*features, "label").agg(F.count("*").alias("weight")), "silhouette-points")
+        *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("label"),
+        (F.col(weight) if weight else F.lit(1)).cast("long").alias("weight"))
+    points = store(named.groupBy(*features, "label").agg(F.sum("weight").alias("weight")), "silhouette-points")
     sizes = {float(r["label"]): r["size"] for r in points.groupBy("label").agg(F.sum("weight").alias("size")).collect()}  # a row per cluster
     most = max(TILE_ROWS, min(SHARE_POINTS, SHARE_TOTALS // max(1, len(sizes))))
     n_shares = tile_count(points.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), most)

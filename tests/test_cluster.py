@@ -137,3 +137,19 @@ def test_points_are_dealt_by_tasks_not_by_the_tile(spark, monkeypatch):
 def test_exact_silhouette_of_nothing(spark):
     got = C.silhouette_exact(spark.createDataFrame([(None, 0), (1.0, None)], "x double, c int"), ["x"], "c").first()
     assert (got["n_jobs"], got["silhouette"]) == (None, None)
+
+
+def test_curves_of_merged_points_are_those_of_all(spark, monkeypatch):
+    """Equal points become one with a weight: fewer to fit and measure, and the same measures."""
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.integers(0, 4, size=(150, 2)) / 10 + c for c in ((0, 0), (10, 0), (0, 30))] + [np.array([[90.0, 90.0]])])
+    df = spark.createDataFrame([(*map(float, p),) for p in points], "x double, y double").cache()
+    found, fitted, fit = [], [], C.KMeans.fit
+    monkeypatch.setattr(C.KMeans, "fit", lambda self, rows: fitted.append(rows.count()) or fit(self, rows))
+    for least in (C.MERGE_ROWS, 100):
+        monkeypatch.setattr(C, "MERGE_ROWS", least)
+        for f in (C.wcss_curve, C.silhouette_curve, lambda *a: C.silhouette_curve(*a, exact=True)):
+            found.append({r[0]: r[1] for r in f(df, FEATURES, 4).where("k = 4").collect()})
+    assert set(fitted[:9]) == {451} and max(fitted[9:]) < 60
+    for all_, merged in zip(found[:3], found[3:]):
+        assert merged == pytest.approx(all_, abs=1e-9)
